@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..sources.lineage import cut
 from ..sources.tables import table
-from . import sentences, term_counts, unicode_forms
+from . import mojibake, sentences, term_counts, unicode_forms
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -30,6 +30,15 @@ def p2_sentences(spark: SparkSession, folder: str) -> DataFrame:
     return sentences.request_and_page_sentences(table(spark, folder, "check_requests"), table(spark, folder, "page_content"), with_text=True)
 
 
+def p4_found(spark: SparkSession, folder: str) -> DataFrame:
+    return p4_restored(spark, folder).select("record_kind", "page_id", "word_no")
+
+
+def p4_restored(spark: SparkSession, folder: str) -> DataFrame:
+    pages = table(spark, folder, "page_content")
+    return mojibake.repair_pages(pages, mojibake.fit(pages))
+
+
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     return term_counts.marked_terms(p5_term_counts(spark, folder))
 
@@ -39,4 +48,4 @@ def p5_term_counts(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p1_found, p1_normalized, p2_found, p2_sentences, p5_found, p5_term_counts)}
+    return {f.__name__: f for f in (p1_found, p1_normalized, p2_found, p2_sentences, p4_found, p4_restored, p5_found, p5_term_counts)}
