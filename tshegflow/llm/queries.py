@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..sources.lineage import cut
 from ..sources.tables import table
-from . import mojibake, sentences, term_counts, unicode_forms
+from . import mojibake, scan_repair, sentences, term_counts, unicode_forms
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -30,6 +30,16 @@ def p2_sentences(spark: SparkSession, folder: str) -> DataFrame:
     return sentences.request_and_page_sentences(table(spark, folder, "check_requests"), table(spark, folder, "page_content"), with_text=True)
 
 
+def p3_found(spark: SparkSession, folder: str) -> DataFrame:
+    pages = table(spark, folder, "page_content")
+    return scan_repair.faults(scan_repair.repair_scans(pages, scan_repair.fit(pages)))
+
+
+def p3_paragraphs(spark: SparkSession, folder: str) -> DataFrame:
+    pages = table(spark, folder, "page_content")
+    return scan_repair.paragraphs(scan_repair.repair_scans(pages, scan_repair.fit(pages)))
+
+
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     return p4_restored(spark, folder).select("record_kind", "page_id", "word_no")
 
@@ -48,4 +58,4 @@ def p5_term_counts(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p1_found, p1_normalized, p2_found, p2_sentences, p4_found, p4_restored, p5_found, p5_term_counts)}
+    return {f.__name__: f for f in (p1_found, p1_normalized, p2_found, p2_sentences, p3_found, p3_paragraphs, p4_found, p4_restored, p5_found, p5_term_counts)}
