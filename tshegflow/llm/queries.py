@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..sources.lineage import cut
 from ..sources.tables import table
-from . import mojibake, scan_repair, sentences, term_counts, unicode_forms
+from . import contamination, mojibake, scan_repair, sentences, term_counts, unicode_forms
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -57,5 +57,13 @@ def p5_term_counts(spark: SparkSession, folder: str) -> DataFrame:
     return term_counts.term_frequencies(table(spark, folder, "word"), table(spark, folder, "spell_errors"))
 
 
+def p6_found(spark: SparkSession, folder: str) -> DataFrame:
+    return p6_leaks(spark, folder).select("doc_id", "item_id")
+
+
+def p6_leaks(spark: SparkSession, folder: str) -> DataFrame:
+    return contamination.leaks(table(spark, folder, "documents"), table(spark, folder, "eval_items"))
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p1_found, p1_normalized, p2_found, p2_sentences, p3_found, p3_paragraphs, p4_found, p4_restored, p5_found, p5_term_counts)}
+    return {f.__name__: f for f in (p1_found, p1_normalized, p2_found, p2_sentences, p3_found, p3_paragraphs, p4_found, p4_restored, p5_found, p5_term_counts, p6_found, p6_leaks)}
