@@ -5,10 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..sources.lineage import cut
 from ..sources.tables import table
-from . import contamination, mojibake, scan_repair, sentences, term_counts, unicode_forms
+from . import contamination, mojibake, residue, scan_repair, sentences, term_counts, unicode_forms
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -65,5 +66,13 @@ def p6_leaks(spark: SparkSession, folder: str) -> DataFrame:
     return contamination.leaks(table(spark, folder, "documents"), table(spark, folder, "eval_items"))
 
 
+def p8_found(spark: SparkSession, folder: str) -> DataFrame:
+    return p8_residues(spark, folder).select("doc_id")
+
+
+def p8_residues(spark: SparkSession, folder: str) -> DataFrame:
+    return residue.residues(table(spark, folder, "documents")).withColumn("kinds", F.array_join("kinds", ","))
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p1_found, p1_normalized, p2_found, p2_sentences, p3_found, p3_paragraphs, p4_found, p4_restored, p5_found, p5_term_counts, p6_found, p6_leaks)}
+    return {f.__name__: f for f in (p1_found, p1_normalized, p2_found, p2_sentences, p3_found, p3_paragraphs, p4_found, p4_restored, p5_found, p5_term_counts, p6_found, p6_leaks, p8_found, p8_residues)}
