@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..sources.lineage import cut
 from ..sources.tables import table
-from . import contamination, mojibake, residue, scan_repair, sentences, term_counts, unicode_forms
+from . import contamination, mixing, mojibake, residue, scan_repair, sentences, term_counts, unicode_forms
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -66,6 +66,14 @@ def p6_leaks(spark: SparkSession, folder: str) -> DataFrame:
     return contamination.leaks(table(spark, folder, "documents"), table(spark, folder, "eval_items"))
 
 
+def p7_selection(spark: SparkSession, folder: str) -> DataFrame:
+    return mixing.mix(table(spark, folder, "documents"), table(spark, folder, "mix_targets"))[0]
+
+
+def p7_shares(spark: SparkSession, folder: str) -> DataFrame:
+    return mixing.mix(table(spark, folder, "documents"), table(spark, folder, "mix_targets"))[1]
+
+
 def p8_found(spark: SparkSession, folder: str) -> DataFrame:
     return p8_residues(spark, folder).select("doc_id")
 
@@ -75,4 +83,4 @@ def p8_residues(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p1_found, p1_normalized, p2_found, p2_sentences, p3_found, p3_paragraphs, p4_found, p4_restored, p5_found, p5_term_counts, p6_found, p6_leaks, p8_found, p8_residues)}
+    return {f.__name__: f for f in (p1_found, p1_normalized, p2_found, p2_sentences, p3_found, p3_paragraphs, p4_found, p4_restored, p5_found, p5_term_counts, p6_found, p6_leaks, p7_selection, p7_shares, p8_found, p8_residues)}
