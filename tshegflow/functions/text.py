@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import unicodedata
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column
@@ -15,7 +16,7 @@ from . import letters as L
 _SUBJOINED_CHARS = "".join(map(chr, range(0xF90, 0xFBD)))
 _BASE_CHARS = "".join(chr(c - 0x50) for c in range(0xF90, 0xFBD))
 #: What may not be in NFC yet: the block's composition exclusions, two marks in a row, and whatever lies beyond ASCII and the block.
-_MAYBE_UNSTABLE = "[^\\u0000-\\u007f\\u0f00-\\u0fff\\u200b-\\u200d]|[གྷཌྷདྷབྷཛྷཀྵཱཱིུྲྀླཱྀྀྒྷྜྷྡྷྦྷྫྷྐྵ]|[\\u0f39\\u0f72\\u0f74\\u0f7a-\\u0f7d\\u0f80\\u0f84][\\u0f39\\u0f71-\\u0f84]|[\\u200b-\\u200d]"
+_MAYBE_UNSTABLE = f"[^\\u0000-\\u007f{L.BLOCK}]|[{L.NOT_NFC}]|[\\u0f39\\u0f71\\u0f72\\u0f74\\u0f7a-\\u0f7d\\u0f80\\u0f84][\\u0f39\\u0f71-\\u0f84]"
 
 
 @F.pandas_udf(T.StringType())
@@ -39,21 +40,29 @@ def strip(text: Column) -> Column:
     return F.regexp_replace(text, f"^[{L.WHITE_SPACE}]+|[{L.WHITE_SPACE}]+$", "")
 
 
+@lru_cache(65536)
+def _begins(char: str) -> bool:
+    """Whether NFC of a text never reaches back over ``char``."""
+    if unicodedata.combining(char) or "\u1161" <= char <= "\u11ff":
+        return False
+    return unicodedata.is_normalized("NFC", char) and not unicodedata.category(char).startswith("M")
+
+
 def position_map_of(text: str) -> tuple[str, list[int]]:
     """The normalised text and, for each of its characters, the place in ``text`` it comes from: what a prefix of ``text`` adds to the length of its NFC."""
     out = unicodedata.normalize("NFC", text)
     if out == text:
         places = range(len(text))
     else:
-        places, done, stable, offset = [], 0, 0, 0
+        # a character that neither combines nor is taken apart begins anew, so NFC grows from there on its own
+        places, done, start, settled = [], 0, 0, 0
         for i, c in enumerate(text):
-            # NFC of a prefix only differs from the last one after the last starter, so that is where it is taken again
-            if unicodedata.combining(c) == 0 and not unicodedata.normalize("NFC", text[stable:i]).endswith(tuple("가")) and unicodedata.normalize("NFC", text[stable : i + 1]) == unicodedata.normalize("NFC", text[stable:i]) + unicodedata.normalize("NFC", c):
-                offset += len(unicodedata.normalize("NFC", text[stable:i]))
-                stable = i
-            size = offset + len(unicodedata.normalize("NFC", text[stable : i + 1]))
+            if i > start and _begins(c):
+                settled += len(unicodedata.normalize("NFC", text[start:i]))
+                start = i
+            size = settled + len(unicodedata.normalize("NFC", text[start : i + 1]))
             places += [i] * (size - done)
-            done = max(done, size)
+            done = size
     kept = [(c, p) for c, p in zip(out, [*places, *range(len(places), len(out))]) if c not in L.ZERO_WIDTH]
     return "".join(c for c, _ in kept), [p for _, p in kept]
 

@@ -203,14 +203,15 @@ def outcomes(syllables: DataFrame, inventory: DataFrame | None = None) -> DataFr
     or an empty one, ``corpus_hit`` is null and no word is unknown. ``context`` is what a particle after the syllable looks at: null where it has none to look
     at, else suffix (``-`` for none) and post-suffix.
     """
-    return judge(syllables.select("syllable").where(F.col("syllable").isNotNull()).distinct(), inventory)
+    # the parts are stored, so that what is asked of them later is not folded into one large expression
+    return judge(cut(parse(syllables.select("syllable").where(F.col("syllable").isNotNull()).distinct())), inventory)
 
 
-def judge(syllables: DataFrame, inventory: DataFrame | None = None) -> DataFrame:
-    """The columns of ``outcomes`` for every row of ``syllables``, whose own columns stay; rows are not made distinct, so it runs on a stream as well."""
+def judge(parsed: DataFrame, inventory: DataFrame | None = None) -> DataFrame:
+    """The columns of ``outcomes`` for every row of ``parsed``, whose own columns stay; rows are not made distinct, so it runs on a stream as well."""
     x = F.col("syllable")
-    own = syllables.columns
-    base = parse(syllables)
+    own = [c for c in parsed.columns if c != "parts"]
+    base = parsed
     kind = F.when(~X.has_tibetan(x), "other").when(X.is_numeral(x) | X.is_punctuation(x), "skipped").when(x.isin(*L.EXCEPTIONS), "exception").otherwise("syllable")
     base = base.withColumn("kind", kind)
     parts = F.col("parts")

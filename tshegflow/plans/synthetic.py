@@ -21,7 +21,7 @@ GOLDEN = tuple(
 སྐདའི syllable invalid_post_suffix structure . .|ཀཔ syllable invalid_suffix suffix . .|ངྲ syllable invalid_subscript_combination subscript . .|ཀཁགངཅཆ syllable too_many_consonants structure . .
 """.replace("\n", "|").strip("|").split("|")
 )
-DELIMITERS = ("་", "་", "་", "། ", "​་", "\n")
+DELIMITERS = ("\u0f0b", "\u0f0b", "\u0f0b", "\u0f0d ", "\u200b\u0f0b", "\n")
 
 
 def golden(spark: SparkSession) -> DataFrame:
