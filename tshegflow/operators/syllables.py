@@ -93,30 +93,17 @@ def _no_part() -> Column:
     return F.lit(None).cast("string")
 
 
-def _empty_to_null(c: Column) -> Column:
-    return F.when(c != "", c)
-
-
-def _parts(groups: Column, names: str) -> Column:
-    at = {n: i for i, n in enumerate(names.split())}
-    get = lambda n: groups[at[n]] if n in at else F.lit("")
-    lead = F.regexp_replace(get("lead"), f"[^{L.BASE}]", "")
-    return F.struct(
-        _empty_to_null(get("prefix")).alias("prefix"), _empty_to_null(get("superscript")).alias("superscript"), _empty_to_null(X.to_base(get("root"))).alias("root"),
-        F.regexp_replace(get("subscripts"), f"[^{L.SUBJOINED}]", "").alias("subscripts"), _empty_to_null(get("vowel")).alias("vowel"), _empty_to_null(get("suffix")).alias("suffix"),
-        _no_part().alias("suffix_vowel"), _empty_to_null(get("post_suffix")).alias("post_suffix"), F.concat(lead, get("unparsed")).alias("unparsed"),
-    )
+_SLOTS = ("lead", "prefix", "superscript", "root", "subscripts", "vowel", "suffix", "post_suffix", "unparsed")
 
 
 def _fit(x: Column, shapes: tuple[tuple[str, str], ...]) -> Column:
-    """The parts by the first shape that fits all of ``x``."""
+    """The slots by the first shape that fits all of ``x``, as one string."""
     out = None
     for pattern, names in reversed(shapes):
         whole = f"(?s)^{pattern}$"
-        n = len(names.split())
-        groups = F.split(F.regexp_replace(x, whole, "\u0001".join(f"${i + 1}" for i in range(n))), "\u0001", -1)
-        parts = _parts(groups, names)
-        out = parts if out is None else F.when(x.rlike(whole), parts).otherwise(out)
+        at = {n: f"${i}" for i, n in enumerate(names.split(), 1)}
+        slots = F.regexp_replace(x, whole, "\u0001".join(at.get(s, "") for s in _SLOTS))
+        out = slots if out is None else F.when(x.rlike(whole), slots).otherwise(out)
     return out
 
 
@@ -124,6 +111,16 @@ def _plain(x: Column, bare: tuple[tuple[str, str], ...]) -> Column:
     return F.when(x.rlike(_STACK), _fit(x, (_STACKED,))).when(x.rlike(V), _fit(x, _SHAPES_VOWEL)).otherwise(_fit(x, bare))
 
 
+def _parts(slots: Column) -> Column:
+    get = lambda n: slots[_SLOTS.index(n)]
+    some = lambda c: F.when(c != "", c)
+    lead = F.regexp_replace(get("lead"), f"[^{L.BASE}]", "")
+    return F.struct(
+        some(get("prefix")).alias("prefix"), some(get("superscript")).alias("superscript"), some(X.to_base(get("root"))).alias("root"), F.regexp_replace(get("subscripts"), f"[^{L.SUBJOINED}]", "").alias("subscripts"),
+        some(get("vowel")).alias("vowel"), some(get("suffix")).alias("suffix"), _no_part().alias("suffix_vowel"), some(get("post_suffix")).alias("post_suffix"), F.concat(lead, get("unparsed")).alias("unparsed"),
+    )
+
+
 def parse(syllables: DataFrame, syllable: str = "syllable") -> DataFrame:
     """``syllables`` with ``parts``: prefix, superscript, root, subscripts, vowel, suffix, suffix_vowel, post_suffix (null where there is none), unparsed.
 
@@ -133,9 +130,17 @@ def parse(syllables: DataFrame, syllable: str = "syllable") -> DataFrame:
     x = F.col(syllable)
     ends = x.rlike(f"(?s)^..*{L.ACHUNG}[{L.ACHUNG_VOWELS}]$")
     stem = F.when(ends, F.substring(x, F.lit(1), F.length(x) - 2))
-    staged = syllables.withColumn("_stem", _plain(stem, _SHAPES_STEM)).withColumn("_full", _plain(x, _SHAPES_BARE))
+    slots = lambda c: _settled(F.split(c, "\u0001", -1))
+    staged = syllables.withColumn("_stem", slots(_plain(stem, _SHAPES_STEM))).withColumn("_full", slots(_plain(x, _SHAPES_BARE)))
+    staged = staged.withColumn("_stem", F.when(F.col("_stem").isNotNull(), _parts(F.col("_stem")))).withColumn("_full", _parts(F.col("_full")))
     with_vowel = F.struct(*(F.lit(L.ACHUNG).alias(p) if p == "suffix" else F.substring(x, -1, 1).alias(p) if p == "suffix_vowel" else F.lit(None).cast("string").alias(p) if p == "post_suffix" else F.col(f"_stem.{p}").alias(p) for p in PARTS))
-    return staged.withColumn("parts", F.when(x == "", None).when(ends & F.col("_stem.suffix").isNull(), with_vowel).otherwise(F.col("_full"))).drop("_stem", "_full")
+    parts = F.when(x == "", None).when(ends & F.col("_stem.suffix").isNull(), with_vowel).otherwise(F.col("_full"))
+    return staged.withColumn("parts", _settled(parts)).drop("_stem", "_full")
+
+
+def _settled(c: Column) -> Column:
+    """``c``, worked out here: what is asked of it later is not folded into the expression that makes it, which would grow with every step."""
+    return F.when(F.spark_partition_id() >= 0, c)
 
 
 def _fault(error_type: str, severity: str, component: str) -> Column:
@@ -203,8 +208,7 @@ def outcomes(syllables: DataFrame, inventory: DataFrame | None = None) -> DataFr
     or an empty one, ``corpus_hit`` is null and no word is unknown. ``context`` is what a particle after the syllable looks at: null where it has none to look
     at, else suffix (``-`` for none) and post-suffix.
     """
-    # the parts are stored, so that what is asked of them later is not folded into one large expression
-    return judge(cut(parse(syllables.select("syllable").where(F.col("syllable").isNotNull()).distinct())), inventory)
+    return judge(parse(syllables.select("syllable").where(F.col("syllable").isNotNull()).distinct()), inventory)
 
 
 def judge(parsed: DataFrame, inventory: DataFrame | None = None) -> DataFrame:
@@ -216,7 +220,7 @@ def judge(parsed: DataFrame, inventory: DataFrame | None = None) -> DataFrame:
     base = base.withColumn("kind", kind)
     parts = F.col("parts")
     plain = F.when(F.col("kind") == "syllable", F.coalesce(pattern_fault(x), completeness_fault(x, parts)))
-    base = base.withColumn("_plain", plain).withColumn("_component", F.when((F.col("kind") == "syllable") & F.col("_plain").isNull(), component_fault(parts)))
+    base = base.withColumn("_plain", _settled(plain)).withColumn("_component", _settled(F.when((F.col("kind") == "syllable") & F.col("_plain").isNull(), component_fault(parts))))
     if inventory is None:
         base = base.withColumn("_hit", F.lit(None).cast("boolean"))
     else:
@@ -226,10 +230,10 @@ def judge(parsed: DataFrame, inventory: DataFrame | None = None) -> DataFrame:
         base = base.withColumn("_hit", F.when(F.col("_available"), F.coalesce("_known", F.lit(False)))).drop("_known", "_available")
     unknown = F.when((F.col("kind") == "syllable") & F.col("_plain").isNull() & F.col("_component").isNull() & ~F.col("_hit"), F.struct(F.lit("unknown_word").alias("error_type"), F.lit("warning").alias("severity"), _no_part().alias("component")))
     fault = F.coalesce("_plain", "_component", unknown)
-    base = base.withColumn("_fault", fault)
+    base = base.withColumn("_fault", _settled(fault))
     looked_up = F.col("_component").isNotNull() | (F.col("_fault.error_type") == "unknown_word")
     context = F.when(F.col("kind").isin("syllable", "exception") & F.col("_fault").isNull(), F.struct(F.coalesce(parts["suffix"], F.lit(L.NO_SUFFIX)).alias("suffix"), parts["post_suffix"].alias("post_suffix")))
-    return base.select(*own, "kind", "parts", "_fault.error_type", "_fault.severity", "_fault.component", F.when(looked_up, F.col("_hit")).alias("corpus_hit"), context.alias("context"))
+    return base.select(*own, "kind", "parts", "_fault.error_type", "_fault.severity", "_fault.component", F.when(looked_up, F.col("_hit")).alias("corpus_hit"), _settled(context).alias("context"))
 
 
 # ---- particles --------------------------------------------------------------
@@ -273,7 +277,7 @@ def checked_tokens(tokens: DataFrame, inventory: DataFrame | None = None, known:
 def token_errors(checked: DataFrame) -> DataFrame:
     """``(doc_id, position, word, error_type, severity, component, corpus_hit, category, suggestion)``, one row for each fault of a token."""
     wrong = F.when(F.col("error_type").isNull() & F.col("kind").isin("syllable", "exception"), particle_fault(F.col("syllable"), F.col("before_context")))
-    found = checked.withColumn("particle", wrong).where("error_type IS NOT NULL OR particle IS NOT NULL")
+    found = checked.withColumn("particle", _settled(wrong)).where("error_type IS NOT NULL OR particle IS NOT NULL")
     bad = F.col("particle").isNotNull()
     return found.select(
         "doc_id", "position", F.col("syllable").alias("word"), F.when(bad, "wrong_particle_form").otherwise(F.col("error_type")).alias("error_type"), F.when(bad, "error").otherwise(F.col("severity")).alias("severity"),
