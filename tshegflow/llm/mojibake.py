@@ -242,7 +242,7 @@ def _repaired(df: DataFrame, text: str, model: Classifier) -> Column:
                 out.append(row)
             yield pd.Series(out)
 
-    return run(F.col(text))
+    return run.asNondeterministic()(F.col(text))
 
 
 def repair_pages(pages: DataFrame, model: Classifier) -> DataFrame:

@@ -278,7 +278,7 @@ def _spans(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
 
 def sentence_spans(text: Column) -> Column:
     """An array of ``(start_pos, end_pos)`` in code points. Null and blank texts have an empty array."""
-    return _spans(text)
+    return _spans.asNondeterministic()(text)
 
 
 def sentences(texts: DataFrame, kind: str | Column, record_id: str, text: str, with_text: bool = True) -> DataFrame:
