@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -32,21 +34,24 @@ def line_groups(centers: DataFrame, threshold: float = LINE_THRESHOLD) -> DataFr
     that line so far. A page's boxes are handled together.
     """
 
-    def gather(page: pd.DataFrame) -> pd.DataFrame:
-        page = page.sort_values(["box_no", "x", "y"], kind="stable")
+    def gather(boxes: list[dict]) -> list[dict]:
         lines: list[list[tuple[int, int]]] = []
         height = 0.0
-        for x, y in zip(page["x"].tolist(), page["y"].tolist()):
+        for box in boxes:
+            x, y = box["x"], box["y"]
             if lines and abs(height / len(lines[-1]) - y) <= threshold:
                 lines[-1].append((x, y))
                 height += y
             else:
                 lines.append([(x, y)])
                 height = float(y)
-        rows = [(n, k, x, y) for n, line in enumerate(reversed(lines), 1) for k, (x, y) in enumerate(sorted(line, key=lambda c: c[0]), 1)]
-        out = pd.DataFrame(rows, columns=["line_no", "place", "x", "y"])
-        out.insert(0, "page_id", page["page_id"].iloc[0])
-        return out
+        return [{"line_no": n, "place": k, "x": x, "y": y} for n, line in enumerate(reversed(lines), 1) for k, (x, y) in enumerate(sorted(line, key=lambda c: c[0]), 1)]
+
+    @F.pandas_udf("array<struct<line_no: int, place: int, x: int, y: int>>")
+    def grouped(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for pages in batches:
+            yield pd.Series([gather(boxes) for boxes in pages])
 
     base = centers.select(F.col("page_id").cast("long").alias("page_id"), F.col("box_no").cast("long").alias("box_no"), F.col("x").cast("int").alias("x"), F.col("y").cast("int").alias("y")).where("page_id IS NOT NULL AND x IS NOT NULL AND y IS NOT NULL")
-    return base.groupBy("page_id").applyInPandas(gather, "page_id long, line_no int, place int, x int, y int")
+    pages = base.groupBy("page_id").agg(F.array_sort(F.collect_list(F.struct("box_no", "x", "y"))).alias("boxes"))
+    return pages.select("page_id", F.inline(grouped.asNondeterministic()("boxes")))

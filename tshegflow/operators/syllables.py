@@ -25,25 +25,20 @@ PARTS = ("prefix", "superscript", "root", "subscripts", "vowel", "suffix", "suff
 #: Most distinct syllables whose outcomes are broadcast; beyond it, tokens and outcomes are joined by a shuffle.
 BROADCAST_SYLLABLES = 300_000
 
-_TOKEN = T.ArrayType(T.StructType([T.StructField("syllable", T.StringType()), T.StructField("position", T.IntegerType()), T.StructField("before", T.StringType())]))
+_TOKENS = T.StructType([T.StructField("syllables", T.ArrayType(T.StringType())), T.StructField("positions", T.ArrayType(T.IntegerType()))])
 _PIECE = re.compile(f"[^{L.TOKEN_DELIMITERS}]+")
 
 
-@F.pandas_udf(_TOKEN)
-def _tokens(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+@F.pandas_udf(_TOKENS)
+def _tokens(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
     for texts in batches:
-        out = []
+        syllables, positions = [], []
         for text in texts:
-            if not text:
-                out.append([])
-                continue
-            normal, places = X.position_map_of(text)
-            row, before = [], None
-            for m in _PIECE.finditer(normal):
-                row.append({"syllable": m.group(), "position": places[m.start()], "before": before})
-                before = m.group()
-            out.append(row)
-        yield pd.Series(out)
+            normal, places = X.position_map_of(text or "")
+            found = [m.span() for m in _PIECE.finditer(normal)]
+            syllables.append([normal[a:b] for a, b in found])
+            positions.append([places[a] for a, _ in found])
+        yield pd.DataFrame({"syllables": syllables, "positions": positions})
 
 
 def tokenize(texts: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -51,8 +46,14 @@ def tokenize(texts: DataFrame, key: str = "doc_id", text: str = "text") -> DataF
 
     Null and empty texts have no tokens. Texts with one key are separate texts only if the key is unique.
     """
-    base = texts.select(F.col(key).alias("doc_id"), _tokens.asNondeterministic()(F.col(text)).alias("tokens"))
-    return base.select("doc_id", F.posexplode("tokens").alias("token_no", "t")).select("doc_id", "token_no", "t.syllable", "t.position", "t.before")
+    base = texts.select(F.col(key).alias("doc_id"), _tokens.asNondeterministic()(F.col(text)).alias("t"))
+    each = F.transform("t.syllables", lambda s, i: F.struct(s.alias("syllable"), F.get("t.positions", i).alias("position"), F.get("t.syllables", i - 1).alias("before")))
+    return base.select("doc_id", F.posexplode(each).alias("token_no", "t")).select("doc_id", "token_no", "t.syllable", "t.position", "t.before")
+
+
+def distinct_syllables(texts: DataFrame, text: str = "text") -> DataFrame:
+    """``(syllable)``: the distinct tokens of all texts, without their places and without leaving the JVM where texts are in NFC."""
+    return texts.select(F.explode(F.regexp_extract_all(X.normalize(F.col(text)), F.lit(f"[^{L.TOKEN_DELIMITERS}]+"), 0)).alias("syllable")).distinct()
 
 
 def _class(chars: str) -> str:
@@ -295,7 +296,8 @@ def check_texts(texts: DataFrame, inventory: DataFrame | None = None, key: str =
 
     Null and empty texts have none. ``key`` must be unique for faults to be told apart.
     """
-    faults = token_errors(checked_tokens(tokenize(texts, key, text), inventory))
+    known = cut(outcomes(distinct_syllables(texts, text), inventory))
+    faults = token_errors(checked_tokens(tokenize(texts, key, text), known=known))
     info = info_rows(texts, key, text).select(
         "doc_id", F.lit(0).alias("position"), F.lit("").alias("word"), F.lit("non_tibetan_skipped").alias("error_type"), F.lit("info").alias("severity"),
         _no_part().alias("component"), F.lit(None).cast("boolean").alias("corpus_hit"), _no_part().alias("category"), _no_part().alias("suggestion"),
