@@ -41,14 +41,6 @@ SCALARS = {
     "fn_base_form": f"translate(text, '{_SUB}', '{_BASE}')",
 }
 
-# tokens of the submitted texts: pieces, then a running sum of their lengths; texts with zero-width characters or not in NFC are mapped back by the place map
-_PIECES = f"""
-  places AS (SELECT request_id, text, [i FOR i IN range(0, length(text)) IF NOT contains('​‌‍', substr(text, i + 1, 1))] AS place FROM check_requests WHERE text = nfc_normalize(text) AND text <> ''),
-  pieces AS (SELECT request_id, place, unnest(regexp_extract_all(translate(text, '​‌‍', ''), '[{_re(L.TOKEN_DELIMITERS)}\\x20\\t\\n]+|[^{_re(L.TOKEN_DELIMITERS)}\\x20\\t\\n]+')) AS piece,
-    generate_subscripts(regexp_extract_all(translate(text, '​‌‍', ''), '[{_re(L.TOKEN_DELIMITERS)}\\x20\\t\\n]+|[^{_re(L.TOKEN_DELIMITERS)}\\x20\\t\\n]+'), 1) AS k FROM places),
-  placed AS (SELECT *, coalesce(sum(length(piece)) OVER (PARTITION BY request_id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS off FROM pieces)
-"""
-
 _GOLDEN = _values([(i, *row) for i, row in enumerate(synthetic.GOLDEN)], "atom, syllable, kind, error_type, component, suffix, post_suffix")
 _DELIMITER = "CASE l_partkey % 6 WHEN 3 THEN '" + L.SHAD + " ' WHEN 4 THEN '​" + L.TSHEG + "' WHEN 5 THEN chr(10) ELSE '" + L.TSHEG + "' END"
 _FOLLOWS = _values([(p, k, a, i) for i, (p, k, a) in enumerate(L.PARTICLES) if a], "particle, category, follows, ord")
@@ -120,6 +112,9 @@ ORACLES = {
     "fn_kwic": f"""SELECT id, substr(text, greatest(position - 20, 0) + 1, position - greatest(position - 20, 0)) || '[' || substr(text, position + 1, least(position + length(word), length(text)) - position) || ']'
       || substr(text, least(position + length(word), length(text)) + 1, least(position + length(word) + 20, length(text)) - least(position + length(word), length(text))) AS context
       FROM {ONCE} JOIN page_content USING (job_id, page_number) WHERE word <> '' AND position >= 0 AND position < length(text)""",
+    "fn_token_kind": f"""SELECT syllable, CASE WHEN NOT regexp_matches(syllable, '{TIB}') THEN 'other' WHEN regexp_full_match(syllable, '[{_re(L.NUMERAL)}]+') THEN 'numeral'
+      WHEN regexp_full_match(syllable, '[{_re(L.NOT_SPELLABLE)}]+') THEN 'punctuation' WHEN syllable IN ({", ".join(map(_q, L.EXCEPTIONS))}) THEN 'exception' ELSE 'syllable' END AS kind, count(*) AS n
+      FROM (SELECT unnest(regexp_extract_all({NORMAL}, '[^{_re(L.TOKEN_DELIMITERS)}]+')) AS syllable FROM check_requests) GROUP BY ALL""",
     "rule_stack_pairs": f"SELECT * FROM {_values(_STACKS, 'kind, letter, root')}",
     "src_text_length_gate": "SELECT request_id, length(text) AS n, coalesce(length(text) BETWEEN 1 AND 100000, false) AS accepted FROM check_requests",
     "src_upload_gate": "SELECT id, CASE WHEN NOT coalesce(lower(file_name) LIKE '%.pdf', false) THEN 400 WHEN coalesce(file_size, 0) <= 0 THEN 400 WHEN file_size > 52428800 THEN 413 WHEN page_count IS NULL THEN 422 ELSE 200 END AS status_code FROM jobs",
