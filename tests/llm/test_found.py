@@ -125,6 +125,17 @@ def test_scan_repair(spark):
     assert scan_repair.repair_scans(pages.limit(0), scan_repair.fit(pages.limit(0))).count() == 0
 
 
+def _headers(spark, *lines):
+    """Which of the lines, each the first line of a page of one job, are titles."""
+    pages = spark.createDataFrame([(i, "j", 1, line) for i, line in enumerate(lines)], "page_id long, job_id string, line_no int, line string")
+    return [lines[i] for i in sorted(r.page_id for r in scan_repair.title_lines(pages).collect())]
+
+
+def test_devanagari_titles(spark):
+    titles = ["शुद्ध मन्दिर", "शुद्ध मन्दि·र", "शुद्ध शब्दकोश  119", "135  शुद्ध शब्दकोश"]
+    assert _headers(spark, *titles, "विशाल पृष्ठ", "दर्शयति।", "दर्शयति।", "पठति?", "पठति?", "स लिखति। सा", "स लिखति। सा") == titles
+
+
 # ---- p4
 
 

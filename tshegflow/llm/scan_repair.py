@@ -198,7 +198,9 @@ def _is_title(line: Column) -> Column:
     tibetan = bare.rlike(r"^[ཀ-ྼ][ཀ-ྼ་·'.,|!lI ཾ]*$") & ~bare.rlike("[་།]$") & (F.length(bare) >= 4)
     cased = bare.rlike(r"^\p{Lu}[\p{L}\p{M}·'’.,|!019\-]*(?:[ ·]+[\p{Lu}][\p{L}\p{M}·'’.,|!01590\-]*)+$") & ~bare.rlike(r"[.,!?]$")
     cjk = bare.rlike(r"^[一-鿿]{4,16}$")
-    return tibetan | cased | cjk
+    # Devanagari and other scripts without case: letters and their signs, hence no danda or other end mark
+    uncased = bare.rlike(r"^[\p{Lo}&&[^ༀ-࿿㐀-䶿一-鿿]][\p{Lo}\p{M}॰·'.,|!lI\u200c\u200d \-&&[^ༀ-࿿㐀-䶿一-鿿]]*$") & (F.length(bare) >= 4)
+    return tibetan | cased | cjk | uncased
 
 
 def title_lines(lines: DataFrame) -> DataFrame:
