@@ -136,6 +136,15 @@ def test_devanagari_titles(spark):
     assert _headers(spark, *titles, "विशाल पृष्ठ", "दर्शयति।", "दर्शयति।", "पठति?", "पठति?", "स लिखति। सा", "स लिखति। सा") == titles
 
 
+def test_titles_with_specks(spark):
+    """A speck at a title's edge or at its page number, and titles of one word or few ideographs."""
+    for titles in (
+        ["完整读本词典  176", "完整读本词典' 177", "·93 完整读本词典", "完整'本词典"], ["题记", "题记·  4"], ["HOPAS PARTIAL ANNOTATION", "HOPAS .PARTIAL ANNOTATION", "66 ·HOPAS PARTIAL ANNOTATION", "'OPAS PARTIAL ANNOTATION", "HOPAS PARTIAL ANNOTATION."],
+        ["Colophon  4", "'Colophon"], ["Late Index", "Late lndex  7", "·ate Index"], ["མཚིག་སྒེངས་དས  5", "མཚིག་སྒེངས་དས ·7", "lམཚིག་སྒེངས་དས", "·ཚིག་སྒེངས་དས  ༣."],
+    ):
+        assert _headers(spark, *titles, "of Prof. Kebel.", "Prof. Kebel.", "Prof. Kebel.", "the end.", "the end.", "Page 1.70", "Page 1.71", "第140页'", "第14页·", "ཤོག་གྲངས་༨·", "ཤོག་གྲངས་༩·", "།བོད་ཡིག་", "།བོད་ཡིག་", "谁写了？", "谁写了？") == titles
+
+
 # ---- p4
 
 

@@ -179,41 +179,67 @@ PAGE_NUMBER = re.compile(
 )
 
 
+_SPECKS = "[·'.,|!]"
+_NO_CASE = "ऀ-ॿༀ-࿿㐀-䶿一-鿿"
+_BESIDE = rf"\s\[\]()༼༽\-–{_DIGITS}"
+#: What no title has: marks that close or join a sentence, a tsheg at the end, words in lower case (``l`` may be a misread I). Implied by the shape, but quick to see.
+_RUNNING = r"[།༎༑༔།॥।。，；：！？、“”«»?;:…]|་\s*$|(?:^|\s)[\p{Ll}&&[^l]]"
+#: Words for page with nothing but numbers beside them are no titles.
+_PAGE_WORDS = r"(?i:page|seite|folio|fol|pp|p|s|སྤྱི་?|ཤོག་?|ཤོག་གྲངས་?|ཤོག་ངོས་?|第|पृष्ठ|第?[页頁]|[ivxlc]+)"
+_WORD_START, _NO_OTHER = r"[\p{Lu}·l1]", "&&[^ༀ-࿿㐀-䶿一-鿿]"
+#: A title without specks and numbers beside it, by script: Tibetan, scripts with case (capitalised throughout), ideographs, Devanagari and others without case.
+_TITLE = (
+    rf"^(?!{_PAGE_WORDS}$)(?:(?=.{{4}})[ཀ-ྼ][ཀ-ྼ་ ཾ]*(?<!་)|(?=.{{3}}){_WORD_START}[\p{{L}}\p{{M}}’019\-]*(?: +{_WORD_START}[\p{{L}}\p{{M}}’01590\-]*)*(?<!-)"
+    rf"|[一-鿿]{{2,16}}|(?=.{{4}})[\p{{Lo}}{_NO_OTHER}][\p{{Lo}}\p{{M}}॰\u200c\u200d \-{_NO_OTHER}]*)$"
+)
+
+
+def _clear(line: Column) -> Column:
+    """The line without specks. ``l`` and ``I`` are specks beside letters without case."""
+    return F.regexp_replace(F.when(line.rlike(f"[{_NO_CASE}]"), F.translate(line, "lI", "··")).otherwise(line), _SPECKS, "·")
+
+
 def _title_skeleton(line: Column, specks: bool) -> Column:
     """What is left of a title without numbers, separators and the differences between confusable characters.
 
     A speck may stand between two characters or in the place of one: with ``specks`` it counts as a character, else it is left out.
+    One that touches a number or stands alone is in nothing's place.
     """
-    out = F.regexp_replace(line, rf"[{_DIGITS}\s་\[\]()༼༽\-–]+", "")
-    out = F.regexp_replace(out, "[·'.,|!]", "·" if specks else "")
+    out = F.regexp_replace(_clear(line), rf"(?<=[{_DIGITS}])·|·(?=[{_DIGITS}])|(?<!\S)·(?!\S)", "")
+    out = F.regexp_replace(out, rf"[{_DIGITS}\s་\[\]()༼༽\-–]+", "")
+    out = out if specks else F.translate(out, "·", "")
     out = F.regexp_replace(F.regexp_replace(F.regexp_replace(out, "vv", "w"), "rn", "m"), "ri", "n")
     out = F.regexp_replace(F.regexp_replace(out, "cl", "d"), "[ིེོུ]+", "ི")
     return F.translate(out, "པདམcIbཪ", "བངསelhར")
 
 
-def _is_title(line: Column) -> Column:
-    """Not a stretch of running text: no mark that closes or joins a sentence, and titles of cased scripts are capitalised throughout."""
-    bare = F.regexp_replace(line, rf"(?:^[\s\[(]*[{_DIGITS}]+[·\])]*\s+)|(?:\s+[\[(]*[{_DIGITS}]+[·\])]*\s*$)", "")
-    bare = F.trim(bare)
-    tibetan = bare.rlike(r"^[ཀ-ྼ][ཀ-ྼ་·'.,|!lI ཾ]*$") & ~bare.rlike("[་།]$") & (F.length(bare) >= 4)
-    cased = bare.rlike(r"^\p{Lu}[\p{L}\p{M}·'’.,|!019\-]*(?:[ ·]+[\p{Lu}][\p{L}\p{M}·'’.,|!01590\-]*)+$") & ~bare.rlike(r"[.,!?]$")
-    cjk = bare.rlike(r"^[一-鿿]{4,16}$")
-    # Devanagari and other scripts without case: letters and their signs, hence no danda or other end mark
-    uncased = bare.rlike(r"^[\p{Lo}&&[^ༀ-࿿㐀-䶿一-鿿]][\p{Lo}\p{M}॰·'.,|!lI\u200c\u200d \-&&[^ༀ-࿿㐀-䶿一-鿿]]*$") & (F.length(bare) >= 4)
-    return tibetan | cased | cjk | uncased
+def _bare(line: Column) -> Column:
+    """A title without specks and without the numbers beside it. A speck at a number or at white space is white space; one in the place of a word's capital is kept."""
+    bare = F.regexp_replace(_clear(line), rf"(?<=[{_DIGITS}])·|(?<=\s)·(?!\p{{Ll}})|·(?=[\s{_DIGITS}])", " ")
+    bare = F.regexp_replace(bare, r"(?<=\S)·|·(?!\p{Ll})", "")
+    return F.trim(F.regexp_replace(bare, rf"^[{_BESIDE}]*[\s\])༽]|[\s\[(༼][{_BESIDE}]*$", ""))
+
+
+def _is_firm(line: Column) -> Column:
+    """Whether a line of a title's shape is clean enough to make a title: a full stop after capitalised words may be a speck, but may also close a sentence."""
+    ended = F.regexp_replace(line, rf"[\s\[(][{_BESIDE}]*$", "").rlike(r"[.,!?]$")
+    return line.rlike(f"[{_NO_CASE}]") | (line.rlike(r"^\P{L}*\p{Lu}") & ~ended)
 
 
 def title_lines(lines: DataFrame) -> DataFrame:
     """``(page_id, line_no)`` of title lines that stand on two or more pages of a job.
 
     ``lines`` has ``page_id``, ``job_id``, ``line_no``, ``line`` and is limited to the first and last lines of each page. Pages without a job have no titles.
-    A title with one character misread beyond the skeleton is matched by one of its halves.
+    Lines of one skeleton are a title if one of them is firm. A title with one character misread beyond the skeleton is matched by one of its halves.
     """
     keys = F.array_distinct(F.array(_title_skeleton(F.col("line"), False), _title_skeleton(F.col("line"), True)))
-    named = lines.where(F.col("job_id").isNotNull() & _is_title(F.col("line"))).select("page_id", "job_id", "line_no", F.explode(keys).alias("key")).where(F.length("key") > 2)
-    titles = named.groupBy("job_id", "key").agg(F.min("page_id").alias("a"), F.max("page_id").alias("b")).where("a < b").select("job_id", "key")
+    shaped = lines.where(F.col("job_id").isNotNull() & ~F.col("line").rlike(_RUNNING)).where(_bare(F.col("line")).rlike(_TITLE))
+    named = shaped.select("page_id", "job_id", "line_no", _is_firm(F.col("line")).alias("firm"), F.explode(keys).alias("key")).where(F.length("key") > 1)
+    titles = named.groupBy("job_id", "key").agg(F.min("page_id").alias("a"), F.max("page_id").alias("b"), F.max("firm").alias("firm")).where("a < b AND firm").select("job_id", "key")
     cut_ = F.floor(F.length("key") / 2).cast("int")
-    halves = [F.struct(F.lit(0).alias("part"), F.substring("key", F.lit(1), cut_).alias("half")), F.struct(F.lit(1).alias("part"), F.substring("key", cut_ + 1, F.length("key")).alias("half"))]
+    # two characters are matched whole
+    pieces = [F.substring("key", F.lit(1), cut_), F.substring("key", cut_ + 1, F.length("key"))]
+    halves = [F.struct(F.lit(part).alias("part"), F.when(F.length("key") > 2, half).otherwise(F.col("key")).alias("half")) for part, half in enumerate(pieces)]
     split = lambda df: df.withColumn("size", F.length("key")).select("*", F.inline(F.array(*halves)))
     # a job has few titles and each title few halves, so the right side is distinct before it meets the lines
     some = split(titles).select("job_id", "size", "part", "half").distinct()
