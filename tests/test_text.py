@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tshegflow.functions import letters as L
 from tshegflow.functions import text as X
+from tshegflow.plans import registry
 
 
 def _one(spark, column, *rows):
@@ -37,6 +38,29 @@ def test_position_map_counts_prefixes(text):
     assert X.position_map_of(text) == ("".join(c for c, _ in kept), [p for _, p in kept])
 
 
+def test_position_map_of_every_text(spark):
+    """All rows come out, the texts that NFC changes by the definition: what each prefix adds to the length of its NFC."""
+    folder = "/root/testdata/sf0.01"
+    texts = {r.request_id: r.text for r in spark.read.parquet(f"{folder}/check_requests.parquet").select("request_id", "text").collect()}
+    rows = [(r.request_id, r.value) for r in registry.queries()["fn_position_map_all"](spark, folder).collect()]
+    got, changed = dict(rows), 0
+    assert len(rows) == spark.read.parquet(f"{folder}/check_requests.parquet").count() and set(got) == set(texts)
+    for i, text in texts.items():
+        if text is None:
+            assert got[i] is None
+            continue
+        whole, places, before = unicodedata.normalize("NFC", text), range(len(text)), 0
+        if whole != text:
+            changed, places = changed + 1, []
+            for k in range(len(text)):
+                size = len(unicodedata.normalize("NFC", text[: k + 1]))
+                places += [k] * (size - before)
+                before = size
+            places += range(len(places), len(whole))
+        assert got[i] == ",".join(str(p) for c, p in zip(whole, places) if c not in L.ZERO_WIDTH)
+    assert changed and None in texts.values()
+
+
 def test_normalize_runs_only_where_needed(spark):
     rows = ["བོད་", "གྷ", "བོ​ད", "é", "ཀཱི", "", None]
     want = [None if r is None else unicodedata.normalize("NFC", r).translate(dict.fromkeys(map(ord, L.ZERO_WIDTH))) for r in rows]

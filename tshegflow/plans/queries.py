@@ -39,6 +39,11 @@ def fn_position_map(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "check_requests").where(F.col("text") == X.nfc(F.col("text"))).select("request_id", F.array_join(X.position_map(F.col("text")), ",").alias("value"))
 
 
+def fn_position_map_all(spark: SparkSession, folder: str) -> DataFrame:
+    """The map of every text; ``fn_position_map`` is its part that SQL can express, texts in NFC. A null text has a null map."""
+    return _scalar(lambda t: F.array_join(X.position_map(t), ","), spark, folder)
+
+
 def fn_format_error_type(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "spell_errors").select("error_type").where("error_type IS NOT NULL").distinct().select("error_type", X.title_case(F.col("error_type")).alias("label"))
 
@@ -267,7 +272,7 @@ def ocr_line_groups(spark: SparkSession, folder: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     plain = (
-        fn_position_map, fn_format_error_type, fn_severity_map, fn_kwic, fn_token_kind, rule_stack_pairs, src_text_length_gate, src_upload_gate, src_sync_route, tok_positions, check_text_errors, agg_check_log,
+        fn_position_map, fn_position_map_all, fn_format_error_type, fn_severity_map, fn_kwic, fn_token_kind, rule_stack_pairs, src_text_length_gate, src_upload_gate, src_sync_route, tok_positions, check_text_errors, agg_check_log,
         particle_errors, particle_suggestions, info_rows, tok_kind_counts, parse_components, check_syllable_outcome, err_component, dict_lookup_tristate, parity_type_diff, parity_count_diff, request_errors, page_check_log,
         dict_inventory, corpus_stats, corpus_cross_reference, corpus_upsert, migrate_sources, migrate_word_source, pdf_scanned_highlights, changelog_parse, job_status, ocr_box_filter, ocr_rotation_angle, ocr_line_groups,
     )
