@@ -284,6 +284,35 @@ def test_residue(text, kinds):
     assert residue.residue_kinds(text) == kinds
 
 
+@pytest.mark.parametrize(
+    ("text", "kinds"),
+    [
+        ("401 Unauthorized", ["notice"]), ("400 Bad Request", ["notice"]), ("410 Gone", ["notice"]), ("test, test, test", ["filler"]), ("bla, bla, bla", ["filler"]), ("bar bar bar", ["filler"]),
+        ("Duis aute irure dolor in reprehenderit in voluptate velit esse cillum", ["filler"]), ("Excepteur sint occaecat cupidatat non proident", ["filler"]),
+        ("The seal is gone. A test, a bar of gold and dolor.", []), ("Non est ut et in qui sed.", []),
+    ],
+)
+def test_residue_without_usual_words(text, kinds):
+    assert residue.residue_kinds(text) == kinds
+
+
+@pytest.mark.parametrize("kind", ["_FILLER", "_WHOLE", "_NOTICE"])
+@given(st.data())
+@settings(max_examples=300, deadline=None)
+def test_every_match_holds_a_trigger(kind, data):
+    patterns = {"_FILLER": [*map(unicode_forms.normalize_text, residue.FILLER)], "_WHOLE": residue.WHOLE_FILLER, "_NOTICE": [*map(unicode_forms.normalize_text, residue.NOTICES)]}[kind]
+    match = data.draw(st.sampled_from(patterns).flatmap(st.from_regex))
+    assert any(w in match for w, bits in residue.trigger_words().items() if bits & getattr(residue, kind)), match
+
+
+def test_every_pattern_has_triggers():
+    """Also those that are drawn seldom; each word of dummies counts."""
+    for pattern in (*residue.FILLER, *residue.WHOLE_FILLER, *residue.NOTICES):
+        assert residue._needed(residue.parse(pattern)), pattern
+    for token in residue.DUMMY_TOKENS:
+        assert residue.residue_kinds(f"{token}, {token}. {token}") == ["filler"]
+
+
 def test_residue_rows(spark):
     docs = spark.createDataFrame([(1, "{{ title }}", 1), (1, "{{ title }}", 1), (2, None, 1), (3, "fine", 1), (4, "x" * 500_000 + " {{ a }}", 1)], "doc_id long, text string, kinds int")
     assert sorted(r.doc_id for r in residue.residues(docs).collect()) == [1, 1, 4]

@@ -7,8 +7,10 @@ templates - is discounted by its surroundings and by how much of the text it mak
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
+from re._constants import ASSERT, ASSERT_NOT, AT, BRANCH, IN, LITERAL, MAX_REPEAT, MIN_REPEAT, SUBPATTERN
+from re._parser import parse
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -91,21 +93,97 @@ def _phrases() -> tuple[re.Pattern, re.Pattern, re.Pattern, re.Pattern]:
     return notice, filler, whole, typed
 
 
+_MOST_FORMS = 64
+
+
+def _forms(op: object, arg: object) -> list[str] | None:
+    """All that one item of a parsed pattern matches, if that is a short list."""
+    if op is LITERAL:
+        return [chr(arg)]
+    if op is IN and all(kind is LITERAL for kind, _ in arg):
+        return [chr(c) for _, c in arg]
+    if op in (AT, ASSERT, ASSERT_NOT):
+        return [""]
+    if op is MAX_REPEAT and tuple(arg[:2]) == (0, 1):
+        items = [arg[2]]
+    elif op is SUBPATTERN:
+        items = [arg[3]]
+    elif op is BRANCH:
+        items = arg[1]
+    else:
+        return None
+    out = [""] if op is MAX_REPEAT else []
+    for item in items:
+        whole = [""]
+        for part in item:
+            forms = _forms(*part)
+            if forms is None or len(whole) * len(forms) > _MOST_FORMS:
+                return None
+            whole = [a + b for a in whole for b in forms]
+        out += whole
+    return out if len(out) <= _MOST_FORMS else None
+
+
+def _needed(pattern: Iterable) -> list[str]:
+    """Words of which every match of a parsed pattern holds one: of such lists, that with the longest shortest word. Empty if there is none."""
+    best: list[str] = []
+
+    def offer(words: list[str]) -> None:
+        nonlocal best
+        if words and min(map(len, words)) > min(map(len, best), default=0):
+            best = words
+
+    run = [""]
+    for op, arg in pattern:
+        forms = _forms(op, arg)
+        if forms is not None and len(run) * len(forms) <= _MOST_FORMS:
+            run = [a + b for a in run for b in forms]
+            continue
+        offer(run)
+        run = forms or [""]
+        if forms is not None:
+            continue
+        if op is SUBPATTERN:
+            offer(_needed(arg[3]))
+        elif op is BRANCH:
+            each = [_needed(item) for item in arg[1]]
+            offer([w for words in each for w in words] if all(each) else [])
+        elif op in (MAX_REPEAT, MIN_REPEAT) and arg[0] > 0:
+            offer(_needed(arg[2]))
+    offer(run)
+    return best
+
+
+_FILLER, _WHOLE, _TYPED, _LATIN, _NOTICE = (1 << k for k in range(5))
+
+
+def trigger_words() -> dict[str, int]:
+    """Words without which no pattern of a kind can match, with the kinds as bits. They are taken from the patterns, so that none is forgotten."""
+    out: dict[str, int] = {}
+    for kind, patterns in ((_FILLER, map(normalize_text, FILLER)), (_WHOLE, WHOLE_FILLER), (_NOTICE, map(normalize_text, NOTICES))):
+        for pattern in patterns:
+            words = _needed(parse(pattern))
+            if not words:
+                raise ValueError(f"no word that each match of {pattern!r} has")
+            for w in words:
+                out[w] = out.get(w, 0) | kind
+    for w in (token + mark for token in DUMMY_TOKENS for mark in " .,"):
+        out[w] = out.get(w, 0) | _TYPED
+    for w in DUMMY_LATIN:
+        if len(w) > 4:  # the short ones are words of other Latin and of other languages
+            out[w] = out.get(w, 0) | _LATIN
+    return out
+
+
 @lru_cache(1)
 def _triggers():
-    """An automaton of the words that any notice or filler has, so that most texts need no regular expression."""
+    """An automaton of the trigger words, so that most texts need no regular expression."""
     import ahocorasick
 
     found = ahocorasick.Automaton()
-    for w in (
-        "error", "http", "denied", "server", "serverfehler", "aktivieren", "activer", "forbidden", "went wrong", "too many requests", "gateway", "unavailable", "not found", "exception", "timed out", "try again", "go back to", "keep seeing", "could not load", "permission",
-        "your browser", "your session", "cookies", "scripts", "javascript", "noscript", "upstream", "at the moment", "is gone", "asked for", "you requested", "looking for", "goes here", "replace this", "sample text", "todo",
-        "insert text", "insert your", "intentionally", "text here", "content here", "click to", "click here", "viendra", "à venir", "hier steht", "hier folgt", "blindtext", "coming soon", "untitled", "no description", "no content", "under construction", "lorem", "ipsum", "nicht gefunden", "verweigert",
-        "fehlercode", "es später", "abgelaufen", "verfügbar", "introuvable", "erreur", "refusé", "réessayez", "indisponible", "expiré", "页面", "服务器", "系统", "启用", "错误", "拒绝", "稍后", "会话", "登录", "填写", "输入", "示例", "敬请", "无标题", "暂无",
-        "རྙེད་མ་སོང", "ཚོད་ལྟ", "ནོར་འཁྲུལ", "འབྲེལ་མ་ཐུབ", "ནང་འཛུལ", "དབང་ཚད", "སྒོ་འབྱེད", "ནོར་ཨང", "འབྲི་རྒྱུ", "བཞག་རོགས", "алдаа", "уу", "олдсонгүй", "эрхгүй", "текст", "चालू", "प्रयास", "लब्धम्", "प्राप्तम्", "नहीं",
-        "asdf", "qwer", "blah", "xxxx", "____", "test test", "placeholder", "foo bar", "foo foo", "dummy", "tbd", "nostrud", "consectetur", "bla bla", "xxx", "___",
-    ):
-        found.add_word(w := normalize_text(w), w)
+    words = trigger_words()
+    for w in words:
+        found.add_word(w, words[w])
     found.make_automaton()
     return found
 
@@ -166,11 +244,14 @@ def residue_kinds(text: str | None) -> list[str]:
     if _placeholders(text):
         kinds.append("placeholder")
     low = re.sub(r"[^\S\n]+", " ", text).lower()
-    if next(_triggers().iter(low), None) is not None:
+    maybe = 0
+    for _, kind in _triggers().iter(low):
+        maybe |= kind
+    if maybe:
         notice, filler, whole, typed = _phrases()
-        if filler.search(low) or whole.search(low) or typed.search(low) or ("lorem" in low or "ipsum" in low or "nostrud" in low) and _dummy_latin(low):
+        if maybe & _FILLER and filler.search(low) or maybe & _WHOLE and whole.search(low) or maybe & _TYPED and typed.search(low) or maybe & _LATIN and _dummy_latin(low):
             kinds.append("filler")
-        if notice.search(low):
+        if maybe & _NOTICE and notice.search(low):
             kinds.append("notice")
     return kinds
 
