@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import random
 import unicodedata
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
@@ -145,6 +145,32 @@ def test_titles_with_specks(spark):
         assert _headers(spark, *titles, "of Prof. Kebel.", "Prof. Kebel.", "Prof. Kebel.", "the end.", "the end.", "Page 1.70", "Page 1.71", "第140页'", "第14页·", "ཤོག་གྲངས་༨·", "ཤོག་གྲངས་༩·", "།བོད་ཡིག་", "།བོད་ཡིག་", "谁写了？", "谁写了？") == titles
 
 
+def test_rare_words_of_a_large_corpus(spark):
+    """A word seen once among more than half a million, and a pair seen three times."""
+    texts = [(1, "j", 1, "filler " * 600_000 + "water-stained. " + "damp cat. " * 3, "embedded"), (2, "k", 1, "filler damp eat water-\nstained", "ocr")]
+    pages = spark.createDataFrame(texts, "page_id long, job_id string, page_number int, text string, text_layer string")
+    model = scan_repair.fit(pages)
+    assert model.words == {"filler": 600_000, "water-stained": 1, "damp": 3, "cat": 3} and model.total == 600_007
+    assert [r.paragraph for r in scan_repair.paragraphs(scan_repair.repair_scans(pages, model)).collect()] == ["filler damp cat water-stained"]
+
+
+def test_model_answers_like_the_whole_counts(spark):
+    """The words and pairs that scanned pages ask for are enough: all counts of the corpus give the same faults and paragraphs."""
+    pages = spark.read.parquet("/root/testdata/sf0.01/page_content.parquet")
+    words, pairs = Counter(), Counter()
+    for r in pages.where("text_layer <> 'ocr' AND text IS NOT NULL").select("text").collect():
+        found = scan_repair.tokens(r.text)
+        words.update(found)
+        pairs.update(scan_repair.pair_key(a, b) for a, b in zip(found, found[1:]))
+    pairs = {k: n for k, n in pairs.items() if n >= scan_repair.LEAST_PAIR}
+    scans = scan_repair.read_scans(pages)
+    model = scan_repair.fit(pages, scans)
+    assert model.pairs and model.pairs.items() <= pairs.items() and model.words.items() <= words.items() and model.total == sum(words.values())
+    some, whole = scan_repair.PageReader(model), scan_repair.PageReader(scan_repair.Model(dict(words), pairs, model.total))
+    for r in scans.collect():
+        assert some.page(r.text, r.titles or []) == whole.page(r.text, r.titles or [])
+
+
 # ---- p4
 
 

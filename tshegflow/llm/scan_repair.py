@@ -1,6 +1,6 @@
 """Repair of text from scanned pages: running titles, page numbers, words broken at line ends, misread characters.
 
-The text that was never scanned gives a word bigram model, pruned to a proven size. Each scanned line is a noisy channel: candidate words
+The text that was never scanned gives a word bigram model, of which the words and pairs are kept that the scanned pages can ask for. Each scanned line is a noisy channel: candidate words
 are what a reader could have misread as the word that stands there, weighted by confusion probability, and Viterbi picks the likeliest
 sequence. Running titles are found across the pages of a job, by a skeleton in which confusable characters coincide.
 """
@@ -31,8 +31,7 @@ SPECKS = "·'.,|!lI"
 CONFUSION = 1e-3
 #: A word that the model lacks: its share of the text by script, over the number of forms that such words may have.
 UNKNOWN = {"tibetan": log(1e-7), "cjk": log(1e-8), "other": log(3e-8)}
-#: The model keeps words with at least one in MOST_WORDS tokens and pairs with at least one in MOST_PAIRS, hence at most that many.
-MOST_WORDS, MOST_PAIRS = 500_000, 200_000
+#: Pairs of neighbours seen less often say nothing.
 LEAST_PAIR = 3
 #: Most entries of the caches that a worker keeps; a full one is emptied.
 CACHED = 500_000
@@ -150,23 +149,6 @@ def _variants(word: str) -> Iterator[str]:
             yield word[: m.start()] + word[m.end() :]
 
 
-def fit(pages: DataFrame) -> Model:
-    """The model of all text that was not scanned. Its size is bounded by ``MOST_WORDS`` and ``MOST_PAIRS``, whatever the corpus."""
-    texts = pages.where((F.col("text_layer") != "ocr") & F.col("text").rlike(r"\S")).select("text")
-    parts = texts.mapInPandas(_partial_counts, "word string, pair long, n long")
-    counts = cut(parts.groupBy("word", "pair").agg(F.sum("n").alias("n")))
-    # every pair has its own words, so N tokens give fewer than N pairs: both thresholds hold for what is known before the total is
-    total = counts.where("pair IS NULL").agg(F.sum("n").alias("total"))
-    kept = counts.crossJoin(F.broadcast(total)).where(
-        (F.col("pair").isNull() & (F.col("n") * MOST_WORDS >= F.col("total"))) | (F.col("pair").isNotNull() & (F.col("n") >= LEAST_PAIR) & (F.col("n") * MOST_PAIRS >= F.col("total")))
-    )
-    frame = kept.select("word", "pair", "n", "total").toPandas()
-    single = frame["pair"].isna()
-    words = dict(zip(frame.loc[single, "word"], frame.loc[single, "n"].astype(int)))
-    pairs = dict(zip(frame.loc[~single, "pair"].astype("int64"), frame.loc[~single, "n"].astype(int)))
-    return Model(words, pairs, int(frame["total"].iloc[0]) if len(frame) else 0)
-
-
 # ---- running titles ---------------------------------------------------------
 
 EDGE_LINES = 2
@@ -371,8 +353,8 @@ class PageReader:
             at = back[i][at]
         return chosen[::-1]
 
-    def page(self, text: str, titles: list[int]) -> tuple[list[tuple[int, str]], list[str]]:
-        """Faults by line, and the repaired paragraphs."""
+    def running(self, text: str, titles: list[int]) -> tuple[str, object, list[tuple[int, str]]]:
+        """The running text of a page, the line of each of its places, and the faults of lines that are found on the way."""
         lines = text.split("\n")
         faults: list[tuple[int, str]] = [(n, "header") for n in titles]
         solid = [i for i, line in enumerate(lines) if line.strip()]
@@ -383,7 +365,12 @@ class PageReader:
                 faults.append((i + 1, "page_number"))
                 skip.add(i)
         running = [i for i in range(len(lines)) if i not in skip]
-        joined, owner, blanks = self._join(lines, running, faults)
+        joined, owner, _ = self._join(lines, running, faults)
+        return joined, owner, faults
+
+    def page(self, text: str, titles: list[int]) -> tuple[list[tuple[int, str]], list[str]]:
+        """Faults by line, and the repaired paragraphs."""
+        joined, owner, faults = self.running(text, titles)
         words = [*_WORD.finditer(joined)]
         lowered = [m.group().lower() for m in words]
         parts, done = [], 0
@@ -470,27 +457,162 @@ _OUT = T.StructType([
 ])
 
 
-def repair_scans(pages: DataFrame, model: Model) -> DataFrame:
-    """``(page_id, faults, paragraphs)`` for every scanned page; ``faults`` holds ``(line_no, fault)``.
+class _Everything(dict):
+    """Words that are all known; notes which are asked for."""
 
-    Null and blank texts give empty arrays. Every line of a page's text is looked at; lines are those that line feeds part.
-    """
+    def __init__(self):
+        super().__init__()
+        self.asked: set[str] = set()
+
+    def __contains__(self, word: object) -> bool:
+        self.asked.add(word)
+        return True
+
+    def get(self, word: str, default: int = 0) -> int:
+        self.asked.add(word)
+        return 1
+
+
+class _Asking(PageReader):
+    """Notes the words that a reader may ask for, whichever of them are known."""
+
+    def __init__(self):
+        super().__init__(Model(_Everything(), {}, 1))
+        self.asked = self.model.words.asked
+        self.joins = False
+        self.seen: set[str] = set()
+
+    def _broken(self, left: str, right: str, mark: str) -> bool:
+        if mark in "¬­":
+            return True
+        self.undecided = True
+        a, b = left.lower(), right.lower()
+        head = a.rpartition("-")[2]
+        self.asked.update((a + b, head + b, f"{a}-{b}", head, b, *_variants(a + b)))
+        return self.joins
+
+    def words(self, text: str, titles: list[int]) -> None:
+        for self.joins in (True, False):
+            self.undecided = False
+            for m in _WORD.finditer(self.running(text, titles)[0]):
+                if m.group() in self.seen:
+                    continue
+                if len(self.seen) > CACHED:
+                    self.seen.clear()
+                self.seen.add(m.group())
+                if marked := self._marked(m):
+                    self.asked.update(w for ws, _ in marked for w in ws)
+                else:
+                    self.asked.update(self.model.alternatives(m.group().lower()))
+            if not self.undecided:
+                break
+
+
+class _Pairing(PageReader):
+    """Finds the pairs that a reader may ask for: neighbours of which one has more than one reading."""
+
+    def __init__(self, words: dict[str, int]):
+        super().__init__(Model(words, {}, 1))
+        self.seen: dict[str, tuple[bool, list[str], list[str], list[tuple[str, str]]]] = {}
+
+    def _readings(self, m: re.Match) -> tuple[bool, list[str], list[str], list[tuple[str, str]]]:
+        """Whether there are several, their known first and last words, and the pairs inside."""
+        if (r := self.seen.get(m.group())) is None:
+            known, marked = self.model.words, self._marked(m)
+            here = [ws for ws, _ in marked if ws] if marked else [(a,) for a in self.model.alternatives(m.group().lower())]
+            inner = [(a, b) for ws in here for a, b in zip(ws, ws[1:]) if a in known and b in known]
+            if len(self.seen) > CACHED:
+                self.seen.clear()
+            r = self.seen[m.group()] = (bool(marked) or len(here) > 1, [*{ws[0] for ws in here if ws[0] in known}], [*{ws[-1] for ws in here if ws[-1] in known}], inner)
+        return r
+
+    def pairs(self, text: str, titles: list[int]) -> set[tuple[str, str]]:
+        out: set[tuple[str, str]] = set()
+        before, before_open = [], False
+        for m in _WORD.finditer(self.running(text, titles)[0]):
+            is_open, firsts, lasts, inner = self._readings(m)
+            if is_open or before_open:
+                out.update((a, b) for a in before for b in firsts)
+                out.update(inner)
+            before, before_open = lasts, is_open
+        return out
+
+
+def _numbers(titles: object) -> list[int]:
+    return [int(x) for x in titles] if titles is not None else []
+
+
+def _words_asked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    reader = _Asking()
+    for batch in batches:
+        for text, titles in zip(batch["text"], batch["titles"]):
+            reader.words(text, _numbers(titles))
+            if len(reader.asked) > CACHED:
+                yield pd.DataFrame({"word": [*reader.asked]})
+                reader.asked.clear()
+    if reader.asked:
+        yield pd.DataFrame({"word": [*reader.asked]})
+
+
+def read_scans(pages: DataFrame) -> DataFrame:
+    """``(page_id, text, titles)`` of every scanned page; ``titles`` holds the numbers of title lines, or is null."""
     scans = pages.where(F.col("text_layer") == "ocr").select(F.col("page_id").cast("long").alias("page_id"), "job_id", F.coalesce("text", F.lit("")).alias("text"))
     lines = F.filter(F.transform(F.split("text", "\n"), lambda x, i: F.struct((i + 1).cast("int").alias("line_no"), x.alias("line"))), lambda s: F.trim(s["line"]) != "")
     n = F.size("lines")
     both = F.array_distinct(F.concat(F.slice("lines", 1, EDGE_LINES), F.slice("lines", F.greatest(n - EDGE_LINES + 1, F.lit(1)), EDGE_LINES)))
     edges = scans.where(F.trim("text") != "").withColumn("lines", lines).where(n > 0).select("page_id", "job_id", F.inline(both))
     titles = title_lines(edges).groupBy("page_id").agg(F.sort_array(F.collect_list("line_no")).alias("titles"))  # at most four a page
+    return cut(scans.join(titles, "page_id", "left").select("page_id", "text", "titles"))
+
+
+def fit(pages: DataFrame, scans: DataFrame | None = None) -> Model:
+    """The model of all text that was not scanned, as far as the scanned pages can ask for it: nothing else of it could change a reading.
+
+    ``scans`` is ``read_scans(pages)``, if that is at hand. The model's size follows the words of the scanned pages and not the rest of the corpus.
+    """
+    scans = read_scans(pages) if scans is None else scans
+    texts = pages.where((F.col("text_layer") != "ocr") & F.col("text").rlike(r"\S")).select("text")
+    parts = texts.mapInPandas(_partial_counts, "word string, pair long, n long")
+    counts = cut(parts.groupBy("word", "pair").agg(F.sum("n").alias("n")))
+    total = counts.where("pair IS NULL").agg(F.sum("n")).first()[0] or 0
+    asked = scans.select("text", "titles").mapInPandas(_words_asked, "word string").distinct()
+    found = counts.where("pair IS NULL").select("word", "n").join(asked, "word", "left_semi").toPandas()
+    words = dict(zip(found["word"], found["n"].astype(int)))
+    shared = pages.sparkSession.sparkContext.broadcast(words)
+
+    def pairs_asked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        reader, asked = _Pairing(shared.value), set()
+        for batch in batches:
+            for text, titles in zip(batch["text"], batch["titles"]):
+                asked |= reader.pairs(text, _numbers(titles))
+                if len(asked) > CACHED:
+                    yield pd.DataFrame({"pair": [pair_key(*p) for p in asked]})
+                    asked.clear()
+        if asked:
+            yield pd.DataFrame({"pair": [pair_key(*p) for p in asked]})
+
+    near = scans.select("text", "titles").mapInPandas(pairs_asked, "pair long").distinct()
+    met = counts.where((F.col("pair").isNotNull()) & (F.col("n") >= LEAST_PAIR)).select("pair", "n").join(near, "pair", "left_semi").toPandas()
+    return Model(words, dict(zip(met["pair"].astype("int64"), met["n"].astype(int))), int(total))
+
+
+def repair_scans(pages: DataFrame, model: Model, scans: DataFrame | None = None) -> DataFrame:
+    """``(page_id, faults, paragraphs)`` for every scanned page; ``faults`` holds ``(line_no, fault)``.
+
+    Null and blank texts give empty arrays. Every line of a page's text is looked at; lines are those that line feeds part.
+    ``scans`` is ``read_scans(pages)``, if that is at hand.
+    """
+    scans = read_scans(pages) if scans is None else scans
     shared = pages.sparkSession.sparkContext.broadcast((model.words, model.pairs, model.total))
 
     @F.pandas_udf(_OUT)
     def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
         reader = PageReader(Model(*shared.value))
         for texts, heads in batches:
-            rows = [reader.page(t, [int(x) for x in h] if h is not None else []) for t, h in zip(texts, heads)]
+            rows = [reader.page(t, _numbers(h)) for t, h in zip(texts, heads)]
             yield pd.DataFrame({"faults": [[{"line_no": a, "fault": b} for a, b in f] for f, _ in rows], "paragraphs": [p for _, p in rows]})
 
-    return scans.join(titles, "page_id", "left").select("page_id", run.asNondeterministic()("text", "titles").alias("r")).select("page_id", "r.faults", "r.paragraphs")
+    return scans.select("page_id", run.asNondeterministic()("text", "titles").alias("r")).select("page_id", "r.faults", "r.paragraphs")
 
 
 def faults(repaired: DataFrame) -> DataFrame:
