@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+import time
 import unicodedata
 from collections import Counter, defaultdict
 
@@ -109,20 +110,73 @@ def test_sentence_rows(spark):
 def _scan_fixture(spark):
     plain = "The scribe copies the lexicon. The damaged column was kept. The folio explains the page. water-stained folio, water-stained page. བོད་ཡིག་བླང་། " * 8
     pages = [
-        (1, "j", 1, plain, "embedded"), (2, "k", 1, "Red Column  4\nThe scribe cop-\nies the 1exicon. The water-\nstained folio\n17", "ocr"), (3, "k", 2, "5  Red Column\nThe damaged col­\numn was kept.\n- 18 -", "ocr"),
-        (4, "k", 3, "བོད·ཡིག་པླང་།\nxvi", "ocr"), (5, None, 1, None, "ocr"), (6, "k", 4, "", "ocr"),
+        (1, "j", 1, plain, "embedded"), (2, "k", 1, "Red Column  4\nThe scribe cop-\nies the 1exicon. The water-\nstained folio\n17", "ocr"), (3, "k", 2, "5  Red Column\nThe damaged col\u00ad\numn was kept.\n- 18 -", "ocr"),
+        (4, "k", 3, "བོད·ཡིག་པླང་།\nxvi", "ocr"), (5, None, 1, None, "ocr"), (6, "k", 4, "", "ocr"), (7, "k", 5, "The fo1io exp1ains the page.\nThe page of 1767 was kept in\n1767\nthe folio.\nfol. 3b", "ocr"), (8, None, None, "པོད་ཡིག་པླང་།", "ocr"),
+        (8, None, None, "པོད་ཡིག་པླང་།", "ocr"),
     ]
-    return spark.createDataFrame(pages, "page_id long, job_id string, page_number int, text string, text_layer string")
+    return spark.createDataFrame(pages, "page_id long, job_id string, page_number int, text string, text_layer string").withColumn("line_no", F.lit("clash")).withColumn("titles", F.lit(1))
 
 
 def test_scan_repair(spark):
     pages = _scan_fixture(spark)
-    done = scan_repair.repair_scans(pages, scan_repair.fit(pages)).cache()
-    got = {tuple(r) for r in scan_repair.faults(done).collect()}
-    assert got == {(2, 1, "header"), (2, 2, "hyphen"), (2, 3, "misread"), (2, 5, "page_number"), (3, 1, "header"), (3, 2, "hyphen"), (3, 4, "page_number"), (4, 1, "misread"), (4, 2, "page_number")}
+    done = scan_repair.repair(pages).cache()
+    got = Counter(tuple(r) for r in scan_repair.faults(done).collect())
+    want = {(2, 1, "header"), (2, 2, "hyphen"), (2, 3, "misread"), (2, 5, "page_number"), (3, 1, "header"), (3, 2, "hyphen"), (3, 4, "page_number"), (4, 1, "misread"), (4, 2, "page_number"), (7, 1, "misread"), (7, 5, "page_number"), (8, 1, "misread")}
+    assert set(got) == want and got[8, 1, "misread"] == 2
     text = {r.page_id: r.paragraph for r in scan_repair.paragraphs(done).collect()}
-    assert text == {2: "The scribe copies the lexicon. The water-stained folio", 3: "The damaged column was kept.", 4: "བོད་ཡིག་བླང་།"}
-    assert scan_repair.repair_scans(pages.limit(0), scan_repair.fit(pages.limit(0))).count() == 0
+    assert text == {2: "The scribe copies the lexicon. The water-stained folio", 3: "The damaged column was kept.", 4: "བོད་ཡིག་བླང་།", 7: "The folio explains the page. The page of 1767 was kept in 1767 the folio.", 8: "བོད་ཡིག་བླང་།"}
+    assert scan_repair.repair(pages.limit(0)).count() == 0
+    before = scan_repair.MODEL_ENTRIES
+    try:
+        scan_repair.MODEL_ENTRIES = 60  # in parts
+        assert Counter(tuple(r) for r in scan_repair.faults(scan_repair.repair(pages)).collect()) == got
+    finally:
+        scan_repair.MODEL_ENTRIES = before
+
+
+def test_pages_without_text_are_made_of_their_lines(spark):
+    lines = spark.createDataFrame([(6, 2, "kept."), (6, 1, "The folio was"), (6, 1, "The folio was"), (6, 3, None), (5, 1, "་"), (2, 1, "not used")], "page_id long, line_no int, text string").withColumn("job_id", F.lit("clash"))
+    got = {r.page_id: r.paragraph for r in scan_repair.paragraphs(scan_repair.repair(_scan_fixture(spark), lines)).collect()}
+    assert got[6] == "The folio was kept." and got[3] == "The damaged column was kept."
+
+
+def test_leaders_of_dots_take_no_time():
+    """Hundreds of specks in a word, in one run and between letters."""
+    reader = scan_repair.PageReader(scan_repair.Model({"ཀ": 9, "ཀང": 5, "ང": 3}, {}, 17, {}, scan_repair.Spelling({}, {}), 2))
+    for text in ("ཀ" + "." * 200 + " ༣", "ཀ.ང." * 100, "." * 300 + "ཀ" + "·l" * 200, "ཀ·ང"):
+        began = time.time()
+        faults, _ = reader.page(text, [])
+        assert faults == [(1, "misread")] and time.time() - began < 5
+
+
+def test_a_mark_that_clean_text_has_too_is_no_speck():
+    words = {"ཀ": 900, "ང": 900, scan_repair.mark_key("tibetan", "·"): 400}
+    reader = scan_repair.PageReader(scan_repair.Model(words, {}, 1800, {}, scan_repair.Spelling({}, {}), 2))
+    assert reader.page("ཀ·ང", [])[0] == []
+
+
+def test_confusions_are_learned_from_the_pages(spark):
+    """Text that was never scanned, half of it damaged by confusions that its own scanned pages do not have."""
+    confusions = {"t": "f", "u": "v", "s": "z", "h": "k", "m": "nn", "g": "q", "é": "ê", "ག": "ཀ", "ན": "ཏ", "ོ": "ུ", "ཤ": "ཞ", "本": "夲", "字": "宇", "的": "旳", "文": "攵", "书": "韦"}
+    clean = [tuple(r) for r in spark.read.parquet("/root/testdata/sf0.1/page_content.parquet").where(r"text_layer = 'embedded' AND text RLIKE '\\S' AND NOT text RLIKE '[\ufffd\u0080-\u009f]|Ã|à½|ཱོ'").select("page_id", "text").collect()]
+    rng = random.Random(1)
+    rng.shuffle(clean)
+    rows, true = [], set()
+    for k, (page, text) in enumerate(clean):
+        if k % 2:
+            rows.append((page, text, "embedded"))
+            continue
+        out, line = [], 1
+        for c in text:
+            line += c == "\n"
+            wrong = c in confusions and rng.random() < 0.01
+            out.append(confusions[c] if wrong else c)
+            if wrong:
+                true.add((page, line))
+        rows.append((page, "".join(out), "ocr"))
+    pages = spark.createDataFrame(rows, "page_id long, text string, text_layer string").withColumn("job_id", F.lit(None).cast("string"))
+    got = {(r.page_id, r.line_no) for r in scan_repair.faults(scan_repair.repair(pages)).where("fault = 'misread'").collect()}
+    assert len(true & got) >= 0.9 * len(true) and len(true & got) >= 0.9 * len(got)
 
 
 def _headers(spark, *lines):
@@ -149,9 +203,12 @@ def test_rare_words_of_a_large_corpus(spark):
     """A word seen once among more than half a million, and a pair seen three times."""
     texts = [(1, "j", 1, "filler " * 600_000 + "water-stained. " + "damp cat. " * 3, "embedded"), (2, "k", 1, "filler damp eat water-\nstained", "ocr")]
     pages = spark.createDataFrame(texts, "page_id long, job_id string, page_number int, text string, text_layer string")
-    model = scan_repair.fit(pages)
+    scans = scan_repair.read_scans(pages)
+    corpus = scan_repair.Corpus(pages, scans)
+    corpus.channel = {("e", "c"): -6.0}
+    model = corpus.model(scans)
     assert model.words == {"filler": 600_000, "water-stained": 1, "damp": 3, "cat": 3} and model.total == 600_007
-    assert [r.paragraph for r in scan_repair.paragraphs(scan_repair.repair_scans(pages, model)).collect()] == ["filler damp cat water-stained"]
+    assert [r.paragraph for r in scan_repair.paragraphs(scan_repair.repair_scans(scans, model)).collect()] == ["filler damp cat water-stained"]
 
 
 def test_model_answers_like_the_whole_counts(spark):
@@ -161,12 +218,13 @@ def test_model_answers_like_the_whole_counts(spark):
     for r in pages.where("text_layer <> 'ocr' AND text IS NOT NULL").select("text").collect():
         found = scan_repair.tokens(r.text)
         words.update(found)
+        words.update(scan_repair.mark_key(m.lastgroup, m.group()) for m in scan_repair._GENUINE.finditer(r.text))
         pairs.update(scan_repair.pair_key(a, b) for a, b in zip(found, found[1:]))
-    pairs = {k: n for k, n in pairs.items() if n >= scan_repair.LEAST_PAIR}
     scans = scan_repair.read_scans(pages)
-    model = scan_repair.fit(pages, scans)
-    assert model.pairs and model.pairs.items() <= pairs.items() and model.words.items() <= words.items() and model.total == sum(words.values())
-    some, whole = scan_repair.PageReader(model), scan_repair.PageReader(scan_repair.Model(dict(words), pairs, model.total))
+    corpus = scan_repair.Corpus(pages, scans)
+    model = corpus.model(scans)
+    assert model.pairs and model.pairs.items() <= pairs.items() and model.words.items() <= words.items() and model.total == sum(n for w, n in words.items() if w[0] != "\0")
+    some, whole = scan_repair.PageReader(model), scan_repair.PageReader(scan_repair.Model(dict(words), pairs, model.total, model.channel, model.spelling, model.longest))
     for r in scans.collect():
         assert some.page(r.text, r.titles or []) == whole.page(r.text, r.titles or [])
 

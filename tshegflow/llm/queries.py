@@ -32,15 +32,11 @@ def p2_sentences(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
-    pages = table(spark, folder, "page_content")
-    scans = scan_repair.read_scans(pages)
-    return scan_repair.faults(scan_repair.repair_scans(pages, scan_repair.fit(pages, scans), scans))
+    return scan_repair.faults(scan_repair.repair(table(spark, folder, "page_content")))
 
 
 def p3_paragraphs(spark: SparkSession, folder: str) -> DataFrame:
-    pages = table(spark, folder, "page_content")
-    scans = scan_repair.read_scans(pages)
-    return scan_repair.paragraphs(scan_repair.repair_scans(pages, scan_repair.fit(pages, scans), scans))
+    return scan_repair.paragraphs(scan_repair.repair(table(spark, folder, "page_content"), table(spark, folder, "ocr_lines")))
 
 
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:

@@ -1,8 +1,10 @@
 """Repair of text from scanned pages: running titles, page numbers, words broken at line ends, misread characters.
 
-The text that was never scanned gives a word bigram model, of which the words and pairs are kept that the scanned pages can ask for. Each scanned line is a noisy channel: candidate words
-are what a reader could have misread as the word that stands there, weighted by confusion probability, and Viterbi picks the likeliest
-sequence. Running titles are found across the pages of a job, by a skeleton in which confusable characters coincide.
+The text that was never scanned gives a word bigram model, of which the words and pairs are kept that the scanned pages can ask for. How a character is
+misread is learned from the pages themselves: forms that the model lacks are met with known forms that differ in one place, and expectation maximisation
+finds the confusions that explain them, each with its probability. A line is then read as a noisy channel: Viterbi picks the likeliest words over the known
+words that each word could stand for, by confusion probability and bigram likelihood. Running titles are found across the pages of a job, by a skeleton in
+which confusable characters coincide.
 """
 
 from __future__ import annotations
@@ -10,34 +12,36 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
-from itertools import product
 from math import log
 
 import pandas as pd
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..sources.lineage import cut
 
-# What is read, and what may stand on the page.
-TIBETAN_CONFUSIONS = "པ>བ བ>པ ང>ད ད>ང ས>མ མ>ས ེ>ི ི>ེ".split()
-LATIN_CONFUSIONS = "c>e e>c 5>s 0>o ri>n n>ri cl>d d>cl |>l 1>l I>l l>I b>h h>b 9>g vv>w w>vv rn>m m>rn ii>ü u>ü o>ö a>ä é>è è>é".split()
-CJK_CONFUSIONS = "讫>记 剡>刻 杪>抄 佼>校 扳>版 蔵>藏 侎>保 径>经 贞>页 巻>卷 黑>墨 朩>木 伺>词 末>未 未>末 日>曰 曰>日 己>已 已>己 人>入 入>人 士>土 土>士 太>大 大>太 夭>天 干>千 千>干 问>间 间>问 持>待 侍>待 本>木 木>本 宇>字 晴>睛 拔>拨 戍>戌 巳>已 壁>璧 侯>候 刺>剌 茶>荼".split()
 #: Marks that scanning puts between or in the place of characters.
 SPECKS = "·'.,|!lI"
-#: Probability that a character is misread in one given way.
+#: Probability of a speck in one given way.
 CONFUSION = 1e-3
-#: A word that the model lacks: its share of the text by script, over the number of forms that such words may have.
-UNKNOWN = {"tibetan": log(1e-7), "cjk": log(1e-8), "other": log(3e-8)}
-#: Pairs of neighbours seen less often say nothing.
-LEAST_PAIR = 3
-#: Most entries of the caches that a worker keeps; a full one is emptied.
-CACHED = 500_000
-BIGRAM_WEIGHT = 0.7
-
+#: Rounds of expectation maximisation, and the expected count from which a confusion is a part of the channel.
+ROUNDS, LEAST_EXPECTED = 4, 1.5
+#: Probability of an ideograph that the model lacks.
+UNKNOWN_IDEOGRAPH = 1e-8
+#: Share of the pairs in a word's likelihood, and how often a word must be seen for its followers to get half of that.
+PAIR_SHARE, BACKOFF = 0.7, 5
+#: Entries of one broadcast model; scanned pages that ask for more are read in parts, by hash of their page.
+MODEL_ENTRIES = 3_000_000
+#: Entries that a Python worker remembers between pages.
+CACHED = 400_000
+
+_CJK = "㐀-䶿一-鿿"
 _TOKEN = re.compile(r"[ཀ-ྼ]+|[ऀ-ॣॱ-ॿ]+|[㐀-䶿一-鿿]|[^\W\d_ऀ-ྼ㐀-䶿一-鿿]+(?:[’'\-][^\W\d_ऀ-ྼ㐀-䶿一-鿿]+)*")
+_SCRIPTS = {"tibetan": "ཀ-ྼ", "deva": "ऀ-ॣॱ-ॿ", "cjk": _CJK, "other": "a-zA-ZÀ-ɏЀ-ӿ"}
+#: A mark that stands between two letters of a script in text that was never scanned.
+_GENUINE = re.compile("|".join(f"(?<=[{letters}])(?P<{name}>[·'.,|!])(?=[{letters}])" for name, letters in _SCRIPTS.items()))
 
 
 def tokens(text: str) -> list[str]:
@@ -45,10 +49,35 @@ def tokens(text: str) -> list[str]:
     return [t.lower() for t in _TOKEN.findall(text)]
 
 
+def script_of(word: str) -> str:
+    c = word[0]
+    return "tibetan" if "ཀ" <= c <= "ྼ" else "cjk" if "㐀" <= c <= "鿿" else "other"
+
+
+def is_legible(word: str) -> bool:
+    """Whether a word has letters and is more than a number with a letter, as folios have."""
+    return any(c.isalpha() for c in word) and not _NUMBERED.fullmatch(word)
+
+
+_NUMBERED = re.compile(r"\d+\w?")
+
+
 def pair_key(a: str, b: str) -> int:
     return xxhash.xxh64_intdigest(f"{a}\0{b}") - (1 << 63)
 
 
+def mark_key(script: str, mark: str) -> str:
+    """The entry of the model that counts a mark between letters of a script."""
+    return f"\0{script}{mark}"
+
+
+def _triples(words: list[str]) -> Iterator[str]:
+    """Neighbouring ideographs, three at a time: an ideograph alone says too little about what stands in its place."""
+    for a, b, c in zip(words, words[1:], words[2:]):
+        if "㐀" <= a <= "鿿" and "㐀" <= b <= "鿿" and "㐀" <= c <= "鿿":
+            yield a + b + c
+
+
 def _partial_counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     words: Counter[str] = Counter()
     pairs: Counter[tuple[str, str]] = Counter()
@@ -67,6 +96,8 @@ def _partial_counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for text in batch["text"]:
             found = tokens(text)
             words.update(found)
+            words.update(_triples(found))
+            words.update(mark_key(m.lastgroup, m.group()) for m in _GENUINE.finditer(text))
             pairs.update(zip(found, found[1:]))
             if len(pairs) > 400_000:
                 yield flush()
@@ -74,84 +105,107 @@ def _partial_counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield flush()
 
 
+class Spelling:
+    """How words that the model lacks are spelled: pairs of neighbouring characters over all distinct words, and by script the share of words that are new.
+
+    Both are bounded by the alphabets.
+    """
+
+    def __init__(self, pairs: dict[tuple[str, str], int], new: dict[str, float]):
+        self.pairs, self.new = pairs, new
+        self.first: Counter[str] = Counter()
+        for (a, _), n in pairs.items():
+            self.first[a] += n
+        self.floor = 0.1
+        self.alphabet = self.floor * (len(self.first) + 1)
+
+    def log_p(self, word: str) -> float:
+        """Log-probability that a word of the text is ``word``, if it is new."""
+        script = script_of(word)
+        if script == "cjk":
+            return log(UNKNOWN_IDEOGRAPH)
+        p = log(self.new.get(script) or CONFUSION)
+        for a, b in zip("\0" + word, word + "\0"):
+            p += log((self.pairs.get((a, b), 0) + self.floor) / (self.first.get(a, 0) + self.alphabet))
+        return p
+
+
 class Model:
-    """Counts of words and of pairs of neighbours, as log-probabilities."""
-
-    def __init__(self, words: dict[str, int], pairs: dict[int, int], total: int):
-        self.words, self.pairs, self.total = words, pairs, max(1, total)
-        self._alternatives: dict[str, tuple[str, ...]] = {}
-        self._rivals: dict[str, tuple[bool, tuple[str, ...], bool]] = {}
-        self._pairs: dict[tuple[str, str], int] = {}
-
-    def pair(self, before: str, word: str) -> int:
-        n = self._pairs.get((before, word))
-        if n is None:
-            if len(self._pairs) > CACHED:
-                self._pairs.clear()
-            n = self._pairs[before, word] = self.pairs.get(pair_key(before, word), 0)
-        return n
-
-    def rivals(self, word: str) -> tuple[bool, tuple[str, ...]]:
-        """Whether the word is known, and the known words that it could stand for."""
-        if (r := self._rivals.get(word)) is None:
-            others = self.alternatives(word)[1:]
-            n = self.words.get(word, 0)
-            if len(self._rivals) > CACHED:
-                self._rivals.clear()
-            r = self._rivals[word] = (n > 0, others, any(self.words[o] * CONFUSION > n for o in others))
-        return r[:2]
-
-    def outweighed(self, word: str) -> bool:
-        self.rivals(word)
-        return self._rivals[word][2]
+    """Counts of words and of pairs of neighbours as log-probabilities, the spelling of new words, and the channel: log-probabilities of confusions (seen, meant)."""
+
+    def __init__(self, words: dict[str, int], pairs: dict[int, int], total: int, channel: dict[tuple[str, str], float], spelling: Spelling, longest: int = 0):
+        self.words, self.pairs, self.total, self.channel, self.spelling, self.longest = words, pairs, max(1, total), channel, spelling, longest
+        self.meant: dict[str, list[tuple[str, float]]] = {}
+        for (seen, meant), p in sorted(channel.items()):
+            self.meant.setdefault(seen, []).append((meant, p))
+        self._readings: dict[str, list[tuple[str, float]]] = {}
+        self._steps: dict[tuple[str | None, str], float] = {}
 
     def log_p(self, word: str, before: str | None) -> float:
+        """Log-probability of ``word`` after ``before``."""
+        p = self._steps.get((before, word))
+        if p is None:
+            if len(self._steps) > CACHED:
+                self._steps.clear()
+            p = self._steps[before, word] = self._log_p(word, before)
+        return p
+
+    def _log_p(self, word: str, before: str | None) -> float:
         n = self.words.get(word, 0)
-        if not n:
-            return UNKNOWN["tibetan" if "ཀ" <= word[0] <= "ྼ" else "cjk" if "㐀" <= word[0] <= "鿿" else "other"]
-        p = (1 - BIGRAM_WEIGHT) * n / self.total
-        if before and (both := self.pair(before, word)):
-            p += BIGRAM_WEIGHT * both / self.words[before]
-        return log(p)
-
-    def alternatives(self, word: str) -> tuple[str, ...]:
-        """Words of the model that could have been misread as ``word``, itself first."""
-        if (known := self._alternatives.get(word)) is None:
-            out = {word: None}
-            if any(c.isalpha() for c in word):
-                out |= dict.fromkeys(v for v in _variants(word) if v in self.words)
-            known = tuple(out)
-            if len(self._alternatives) > CACHED:
-                self._alternatives.clear()
-            self._alternatives[word] = known
+        p = log(n / self.total) if n else self.spelling.log_p(word)
+        if before and (m := self.words.get(before, 0)):
+            share = PAIR_SHARE * m / (BACKOFF + m)
+            both = self.pairs.get(pair_key(before, word), 0) if n else 0
+            return log((1 - share) * n / self.total + share * both / m) if both else p + log(1 - share)
+        return p
+
+    def mark(self, script: str, mark: str) -> float:
+        """Log-probability that a mark between two letters was meant."""
+        return log((self.words.get(mark_key(script, mark), 0) + 0.01) / (self.total + 1))
+
+    def readings(self, word: str) -> list[tuple[str, float]]:
+        """What could have been misread as ``word``, with the log-probability of the channel: itself first, then known words."""
+        known = self._readings.get(word)
+        if known is None:
+            best = {word: 0.0}
+            if is_legible(word):
+                for v, p in variants(word, self.meant):
+                    if v in self.words and p > best.get(v, -1e9):
+                        best[v] = p
+            if "ཀ" <= word[0] <= "ྼ":  # two vowels are no spelling, whether a word with one of them is known or not
+                for v in one_vowel(word):
+                    best.setdefault(v, log(CONFUSION))
+            known = [*best.items()]
+            if len(self._readings) > CACHED:
+                self._readings.clear()
+            self._readings[word] = known
         return known
 
 
-def _table(confusions: list[str]) -> list[tuple[str, str]]:
-    return [tuple(c.split(">")) for c in confusions]
+_VOWELS = "ིེོུ"
 
 
-_BY_SCRIPT = {"tibetan": _table(TIBETAN_CONFUSIONS), "cjk": _table(CJK_CONFUSIONS), "other": _table(LATIN_CONFUSIONS)}
-_VOWELS = "ིེོུ"
+def variants(word: str, meant: dict[str, list[tuple[str, float]]]) -> Iterator[tuple[str, float]]:
+    """``word`` with one confusion taken back, and the log-probability of that confusion. An apostrophe may be a speck."""
+    for width in (1, 2):
+        for i in range(len(word) - width + 1):
+            for m, p in meant.get(word[i : i + width], ()):
+                yield word[:i] + m + word[i + width :], p
+    if "'" in word:
+        yield word.replace("'", ""), log(CONFUSION)
 
 
-def _variants(word: str) -> Iterator[str]:
-    tibetan = "ཀ" <= word[0] <= "ྼ"
-    for seen, meant in _BY_SCRIPT["tibetan" if tibetan else "cjk" if "㐀" <= word[0] <= "鿿" else "other"]:
-        at = word.find(seen)
-        while at >= 0:
-            yield word[:at] + meant + word[at + len(seen) :]
-            at = word.find(seen, at + 1)
-    if "'" in word:
-        yield word.replace("'", "")
-    if tibetan:
-        for m in re.finditer(f"[{_VOWELS}](?=[{_VOWELS}])|(?<=[{_VOWELS}])[{_VOWELS}]", word):
-            yield word[: m.start()] + word[m.end() :]
+def one_vowel(word: str) -> Iterator[str]:
+    """``word`` without one of two neighbouring vowels."""
+    for m in _EXTRA_VOWEL.finditer(word):
+        yield word[: m.start()] + word[m.end() :]
+
+
+_EXTRA_VOWEL = re.compile(f"[{_VOWELS}](?=[{_VOWELS}])|(?<=[{_VOWELS}])[{_VOWELS}]")
 
 
 # ---- running titles ---------------------------------------------------------
 
-EDGE_LINES = 2
 _DIGITS = "0-9༠-༳०-९０-９"
 #: A line with nothing but a number: bare, in brackets or dashes, with a letter for the side of the leaf, in Roman figures, or after a word for page.
 _FRAME = r"[\s\[\](){}<>༼༽«»*|·\-–—]*"
@@ -171,8 +225,8 @@ _PAGE_WORDS = r"(?i:page|seite|folio|fol|pp|p|s|སྤྱི་?|ཤོག་?|
 _WORD_START, _NO_OTHER = r"[\p{Lu}·l1]", "&&[^ༀ-࿿㐀-䶿一-鿿]"
 #: A title without specks and numbers beside it, by script: Tibetan, scripts with case (capitalised throughout), ideographs, Devanagari and others without case.
 _TITLE = (
-    rf"^(?!{_PAGE_WORDS}$)(?:(?=.{{4}})[ཀ-ྼ][ཀ-ྼ་ ཾ]*(?<!་)|(?=.{{3}}){_WORD_START}[\p{{L}}\p{{M}}’019\-]*(?: +{_WORD_START}[\p{{L}}\p{{M}}’01590\-]*)*(?<!-)"
-    rf"|[一-鿿]{{2,16}}|(?=.{{4}})[\p{{Lo}}{_NO_OTHER}][\p{{Lo}}\p{{M}}॰\u200c\u200d \-{_NO_OTHER}]*)$"
+    rf"^(?!{_PAGE_WORDS}$)(?:(?=.{{2}})[ཀ-ྼ][ཀ-ྼ་ ཾ]*(?<!་)|(?=.{{3}}){_WORD_START}[\p{{L}}\p{{M}}’019\-]*(?: +{_WORD_START}[\p{{L}}\p{{M}}’01590\-]*)*(?<!-)"
+    rf"|[一-鿿]{{2,}}|(?=.{{2}})[\p{{Lo}}{_NO_OTHER}][\p{{Lo}}\p{{M}}॰\u200c\u200d \-{_NO_OTHER}]*)$"
 )
 
 
@@ -211,7 +265,7 @@ def _is_firm(line: Column) -> Column:
 def title_lines(lines: DataFrame) -> DataFrame:
     """``(page_id, line_no)`` of title lines that stand on two or more pages of a job.
 
-    ``lines`` has ``page_id``, ``job_id``, ``line_no``, ``line`` and is limited to the first and last lines of each page. Pages without a job have no titles.
+    ``lines`` has ``page_id``, ``job_id``, ``line_no``, ``line``, one row for each solid line. Pages without a job have no titles.
     Lines of one skeleton are a title if one of them is firm. A title with one character misread beyond the skeleton is matched by one of its halves.
     """
     keys = F.array_distinct(F.array(_title_skeleton(F.col("line"), False), _title_skeleton(F.col("line"), True)))
@@ -232,9 +286,6 @@ def title_lines(lines: DataFrame) -> DataFrame:
 
 _HYPHEN = re.compile(r"(?P<word>[^\W\d_][\w\-’'|·]*|\w)(?P<mark>[-‐‑¬­])\s*$")
 _CONTINUES = re.compile(r"\s*(?P<word>[^\W\d_ༀ-࿿一-鿿][^\W_]*)")
-_TIBETAN = re.compile(rf"[{re.escape(SPECKS)}]*[ཀ-ྼ][ཀ-ྼ{re.escape(SPECKS)}]*")
-_SPECK = re.compile(f"[{re.escape(SPECKS)}]")
-_DOUBLE = re.compile(f"[{_VOWELS}]{{2,}}")
 _WORD = re.compile(
     rf"(?P<tibetan>[{re.escape(SPECKS)}]*[ཀ-ྼ][ཀ-ྼ{re.escape(SPECKS)}]*)"
     r"|(?P<deva>[ऀ-ॣॱ-ॿ]+(?:[·'.,|!][ऀ-ॣॱ-ॿ]+)*)|(?P<cjk>[㐀-䶿一-鿿](?:[·'.,|!](?=[㐀-䶿一-鿿]))?)"
@@ -242,20 +293,12 @@ _WORD = re.compile(
 )
 
 
-def _speck_readings(chunk: str) -> list[tuple[str, ...]]:
-    """The syllables that a Tibetan chunk with specks may stand for."""
-    options = []
-    for i, c in enumerate(chunk):
-        if c in SPECKS:
-            options.append(("", "་"))
-        else:
-            options.append((c,))
-    readings = {tuple(s for s in "".join(p).split("་") if s) for p in product(*options)} if len(options) <= 40 else {tuple(s for s in _SPECK.split(chunk) if s)}
-    return sorted(readings)
-
-
 _TIBETAN_LETTERS = "".join(map(chr, (*range(0xF40, 0xF6D), *range(0xF71, 0xF7E), *range(0xF90, 0xFBD))))
 _LATIN_LETTERS = "abcdefghijklmnopqrstuvwxyzäöüßàâçèéêëîïôùûœāīūṛśṣṭḍṇṃḥ"
+_RUN = re.compile(f"([{re.escape(SPECKS)}]+)")
+
+#: A reading: its words, and the log-probability of the channel and of all but the first word.
+Reading = tuple[tuple[str, ...], float]
 
 
 class PageReader:
@@ -265,87 +308,129 @@ class PageReader:
         self.model = model
         self.epsilon = log(CONFUSION)
 
-    def _marked(self, m: re.Match) -> list[tuple[tuple[str, ...], float]] | None:
-        """Candidates (words, channel log-probability) of a word that cannot stand on a page as it is; None for other words."""
+    def options(self, m: re.Match, word: str) -> list[Reading]:
+        """What a word of a page may stand for, itself first."""
         chunk, kind = m.group(), m.lastgroup
-        if kind == "tibetan":
-            if _SPECK.search(chunk):
-                return [(r, self.epsilon) for r in _speck_readings(chunk)] + self._filled(chunk, _TIBETAN_LETTERS)
-            if _DOUBLE.search(chunk):
-                return [((a,), 0.0 if a == chunk else self.epsilon) for a in self.model.alternatives(chunk)]
-        elif kind == "cjk" and len(chunk) > 1:
-            return [((chunk[0],), self.epsilon)]
-        elif kind == "deva" and any(c in SPECKS for c in chunk):
-            return [((re.sub(r"[·'.,|!]", "", chunk),), self.epsilon)]
-        elif kind == "other" and "·" in chunk:
-            word = chunk.lower()
-            return [((w,), self.epsilon) for w in (word.replace("·", ""), word.replace("·", " "))] + self._filled(word, _LATIN_LETTERS)
-        return None
-
-    def _filled(self, chunk: str, letters: str) -> list[tuple[tuple[str, ...], float]]:
+        if kind == "tibetan" and _RUN.search(chunk):
+            return self._speckled(chunk)
+        if kind == "cjk" and len(chunk) > 1 or kind == "deva" and any(c in SPECKS for c in chunk):
+            marks = [c for c in chunk if c in SPECKS]
+            clean = "".join(c for c in chunk if c not in SPECKS)
+            meant = sum(self.model.mark(kind, c) for c in marks)
+            return [((word,), meant + self._own(word, clean)), *(((w,), p + self.epsilon * len(marks)) for w, p in self.model.readings(clean))]
+        if kind == "other" and "·" in chunk:
+            out = [((word,), self.model.mark("other", "·") * word.count("·") + self._own(word, word.replace("·", "")))]
+            for w in (word.replace("·", ""), word.replace("·", " ")):
+                out.append(((w,), self.epsilon * word.count("·")))
+            return out + self._filled(word)
+        return [((w,), p) for w, p in self.model.readings(word)]
+
+    def _own(self, word: str, clean: str) -> float:
+        """What a word costs that is written with a mark in it; such words are not counted, so the word itself stands for them, less what ``log_p`` takes off."""
+        return self.model.log_p(clean, None) - self.model.spelling.log_p(word) if clean else 0.0
+
+    def _filled(self, chunk: str) -> list[Reading]:
         """Known words with a letter in the place of the chunk's only speck."""
-        specks = [i for i, c in enumerate(chunk) if c in (SPECKS if letters is _TIBETAN_LETTERS else "·")]
-        if len(specks) != 1:
+        if chunk.count("·") != 1:
             return []
-        a, b = chunk[: specks[0]], chunk[specks[0] + 1 :]
-        return [((a + c + b,), self.epsilon) for c in letters if a + c + b in self.model.words]
-
-    def _open(self, word: str, before: str | None, after: str | None) -> bool:
-        """Whether another reading of ``word`` could win: it is unknown or far rarer, or the other one is a usual neighbour and it is not."""
-        model = self.model
-        known, others = model.rivals(word)
-        if not others:
-            return False
-        if known and (before and model.pair(before, word) or after and model.pair(word, after)):
-            return False
-        if not known or model.outweighed(word):
-            return True
-        return any(before and model.pair(before, o) or after and model.pair(o, after) for o in others)
+        a, _, b = chunk.partition("·")
+        return [((a + c + b,), self.epsilon) for c in _LATIN_LETTERS if a + c + b in self.model.words]
+
+    def _speckled(self, chunk: str) -> list[Reading]:
+        """A Tibetan chunk with specks: as it stands, and the likeliest words of a lattice in which each run of specks is nothing, a tsheg, or one letter.
+
+        The best path to each cut is kept for each last word, so that the words beside the chunk can choose among them; paths grow with the runs and not with
+        their combinations. A syllable without specks is no longer than the longest known one, unless it stands between two runs.
+        """
+        model, parts = self.model, _RUN.split(chunk)
+        letters, marks = parts[::2], parts[1::2]
+        stands = sum(model.mark("tibetan", c) for run in marks for c in run)
+        solid = tuple(x for x in letters if x)
+        as_is = sum(model.log_p(b, a) for a, b in zip(solid, solid[1:]))
+        out = {(chunk,): stands + as_is + model.log_p(solid[0], None) - model.spelling.log_p(chunk)}
+        # best[k]: last word of the words that end before run k, to (score, words)
+        n = len(letters)
+        best: list[dict[str | None, tuple[float, tuple[str, ...]]]] = [{} for _ in range(n + 1)]
+        best[0][None] = (0.0, ())
+        for i in range(n):
+            if not best[i]:
+                continue
+            for word, j, channel in self._arcs(letters, i):
+                cost = channel + (self.epsilon if j < n else 0.0)
+                for last, (score, words) in best[i].items():
+                    if not word:
+                        total, new, path = score + cost, last, words
+                    else:
+                        total, new, path = score + cost + (model.log_p(word, last) if last else 0.0), word, (*words, word)
+                    if total > best[j].get(new, (-1e300,))[0]:
+                        best[j][new] = (total, path)
+            best[i] = {}
+        for score, words in best[n].values():
+            if words and score > out.get(words, -1e300):
+                out[words] = score
+        return [*out.items()]
+
+    def _arcs(self, letters: list[str], i: int) -> Iterator[tuple[str, int, float]]:
+        """Words from cut ``i`` on: (word, cut where it ends, channel log-probability of the specks inside)."""
+        known, longest = self.model.words, max(self.model.longest, len(letters[i]))
+        word, channel = letters[i], 0.0
+        yield from self._with_vowel(word, i + 1, channel)
+        for j in range(i + 1, len(letters)):
+            left, word, channel = word, word + letters[j], channel + self.epsilon
+            if len(word) > longest + 1:
+                return
+            if len(word) <= longest:
+                yield from self._with_vowel(word, j + 1, channel)
+            for c in _TIBETAN_LETTERS if left or letters[j] else ():
+                if left + c + letters[j] in known:
+                    yield left + c + letters[j], j + 1, channel
+
+    def _with_vowel(self, word: str, j: int, channel: float) -> Iterator[tuple[str, int, float]]:
+        yield word, j, channel
+        for less in one_vowel(word):
+            yield less, j, channel + self.epsilon
 
     def read(self, words: list[re.Match], lowered: list[str]) -> list[tuple[tuple[str, ...], bool]]:
-        """For each word its likeliest reading and whether that differs from what stands there."""
+        """For each word its likeliest reading, by Viterbi over all words, and whether that differs from what stands there.
+
+        A word with one reading settles all before it, so the search runs from one such word to the next.
+        """
+        every = [self.options(m, w) for m, w in zip(words, lowered)]
         out: list[tuple[tuple[str, ...], bool]] = []
         i, n = 0, len(words)
+        before = None
         while i < n:
-            run: list[tuple[list[tuple[tuple[str, ...], float]], bool]] = []
-            while i + len(run) < n:
-                k = i + len(run)
-                word = lowered[k]
-                marked = self._marked(words[k])
-                if marked:
-                    run.append((marked, True))
-                elif not marked and self._open(word, lowered[k - 1] if k else None, lowered[k + 1] if k + 1 < n else None):
-                    run.append(([((a,), 0.0 if a == word else self.epsilon) for a in self.model.alternatives(word)], False))
-                else:
-                    break
-            if not run:
-                out.append(((lowered[i],), False))
+            if len(every[i]) == 1:
+                out.append((every[i][0][0], False))
+                before = every[i][0][0][-1]
                 i += 1
                 continue
-            end = i + len(run)
-            chosen = self._viterbi([c for c, _ in run], lowered[i - 1] if i else None, lowered[end] if end < n else None)
-            out += [(ws, sure or ws != (lowered[i + k],)) for k, ((_, sure), ws) in enumerate(zip(run, chosen))]
-            i = end
+            end = i + 1
+            while end < n and len(every[end]) > 1:
+                end += 1
+            chosen = self._viterbi(every[i:end], before, every[end][0][0][0] if end < n else None)
+            out += [(ws, ws != every[i + k][0][0]) for k, ws in enumerate(chosen)]
+            before, i = chosen[-1][-1], end
         return out
 
-    def _viterbi(self, slots: list[list[tuple[tuple[str, ...], float]]], before: str | None, after: str | None) -> list[tuple[str, ...]]:
-        """The likeliest sequence of candidates between two settled words."""
-        model = self.model
-        scores: list[list[float]] = []
+    def _viterbi(self, slots: list[list[Reading]], before: str | None, after: str | None) -> list[tuple[str, ...]]:
+        """The likeliest sequence of readings between two settled words."""
+        log_p = self.model.log_p
+        paths: list[tuple[float, int, str | None]] = [(0.0, 0, before)]
         back: list[list[int]] = []
-        for i, slot in enumerate(slots):
+        for slot in slots:
             row, ptr = [], []
-            for ws, channel in slot:
-                if not ws:
-                    row.append(-1e9)
-                    ptr.append(0)
-                    continue
-                best, arg = (model.log_p(ws[0], before), 0) if i == 0 else max((scores[-1][k] + model.log_p(ws[0], prev[-1] if prev else None), -k) for k, (prev, _) in enumerate(slots[i - 1]))
-                row.append(best + channel + sum(model.log_p(b, a) for a, b in zip(ws, ws[1:])))
-                ptr.append(-arg)
-            scores.append(row)
+            for k, (ws, channel) in enumerate(slot):
+                first = ws[0]
+                score, arg = paths[0][0] + log_p(first, paths[0][2]), 0
+                for j in range(1, len(paths)):
+                    if (s := paths[j][0] + log_p(first, paths[j][2])) > score:
+                        score, arg = s, j
+                row.append((score + channel, k, ws[-1]))
+                ptr.append(arg)
+            paths = row
             back.append(ptr)
-        last = [s + (model.log_p(after, ws[-1]) if after and ws else 0.0) for s, (ws, _) in zip(scores[-1], slots[-1])]
+        last = [s + (log_p(after, w) if after else 0.0) for s, _, w in paths]
         at = max(range(len(last)), key=lambda k: (last[k], -k))
         chosen = []
         for i in range(len(slots) - 1, -1, -1):
@@ -357,15 +442,13 @@ class PageReader:
         """The running text of a page, the line of each of its places, and the faults of lines that are found on the way."""
         lines = text.split("\n")
         faults: list[tuple[int, str]] = [(n, "header") for n in titles]
-        solid = [i for i, line in enumerate(lines) if line.strip()]
-        edge = {*solid[:EDGE_LINES], *solid[-EDGE_LINES:]}
         skip = {n - 1 for n in titles}
-        for i in edge - skip:
+        for i in _margins(lines, skip):
             if PAGE_NUMBER.fullmatch(lines[i]):
                 faults.append((i + 1, "page_number"))
                 skip.add(i)
         running = [i for i in range(len(lines)) if i not in skip]
-        joined, owner, _ = self._join(lines, running, faults)
+        joined, owner = self._join(lines, running, faults)
         return joined, owner, faults
 
     def page(self, text: str, titles: list[int]) -> tuple[list[tuple[int, str]], list[str]]:
@@ -391,7 +474,7 @@ class PageReader:
         repaired = "".join(parts) + joined[done:]
         return sorted(set(faults)), [p.strip() for p in repaired.split("\n\n") if p.strip()]
 
-    def _join(self, lines: list[str], running: list[int], faults: list[tuple[int, str]]) -> tuple[str, object, None]:
+    def _join(self, lines: list[str], running: list[int], faults: list[tuple[int, str]]) -> tuple[str, object]:
         """The running lines as one text; words broken at a line's end are put together, and noted."""
         out: list[str] = []
         starts: list[tuple[int, int]] = []
@@ -434,7 +517,7 @@ class PageReader:
                 lo, hi = (mid, hi) if starts[mid][0] <= at else (lo, mid)
             return starts[lo][1]
 
-        return "".join(out), owner, None
+        return "".join(out), owner
 
     def _broken(self, left: str, right: str, mark: str) -> bool:
         """Whether the mark between two parts of a word is there because of the line's end."""
@@ -446,11 +529,24 @@ class PageReader:
         whole, compound = n.get(a + b, 0) + n.get(head + b, 0), n.get(f"{a}-{b}", 0)
         if whole or compound:
             return whole >= compound
-        if any(w in n for w in _variants(a + b)):
+        if any(w in n for w, _ in variants(a + b, self.model.meant)):
             return True
         return not (head in n and b in n and len(head) > 2 and len(b) > 2)
 
 
+def _margins(lines: list[str], titles: set[int]) -> list[int]:
+    """Lines outside the running text: from either end of the page on, as long as they are blank, titles, numbers, or too short to be a line of the page's text."""
+    solid = [len(x) for i, x in enumerate(lines) if x.strip() and i not in titles]
+    short = sorted(solid)[len(solid) // 2] / 2 if solid else 0
+    out: dict[int, None] = {}
+    for order in (range(len(lines)), range(len(lines) - 1, -1, -1)):
+        for i in order:
+            out[i] = None
+            if lines[i].strip() and i not in titles and len(lines[i]) > short and not PAGE_NUMBER.fullmatch(lines[i]):
+                break
+    return [i for i in out if i not in titles and lines[i].strip()]
+
+
 _OUT = T.StructType([
     T.StructField("faults", T.ArrayType(T.StructType([T.StructField("line_no", T.IntegerType()), T.StructField("fault", T.StringType())]))),
     T.StructField("paragraphs", T.ArrayType(T.StringType())),
@@ -476,21 +572,27 @@ class _Everything(dict):
 class _Asking(PageReader):
     """Notes the words that a reader may ask for, whichever of them are known."""
 
-    def __init__(self):
-        super().__init__(Model(_Everything(), {}, 1))
+    def __init__(self, channel: dict[tuple[str, str], float], longest: int):
+        super().__init__(Model(_Everything(), {}, 1, channel, Spelling({}, {}), longest))
         self.asked = self.model.words.asked
         self.joins = False
         self.seen: set[str] = set()
 
     def _broken(self, left: str, right: str, mark: str) -> bool:
-        if mark in "¬­":
+        if mark in "¬\u00ad":
             return True
         self.undecided = True
         a, b = left.lower(), right.lower()
         head = a.rpartition("-")[2]
-        self.asked.update((a + b, head + b, f"{a}-{b}", head, b, *_variants(a + b)))
+        self.asked.update((a + b, head + b, f"{a}-{b}", head, b, *(w for w, _ in variants(a + b, self.model.meant))))
         return self.joins
 
+    def _speckled(self, chunk: str) -> list[Reading]:
+        letters = _RUN.split(chunk)[::2]
+        self.asked.update(word for i in range(len(letters)) for word, _, _ in self._arcs(letters, i) if word)
+        self.asked.update(mark_key("tibetan", c) for c in SPECKS)
+        return []
+
     def words(self, text: str, titles: list[int]) -> None:
         for self.joins in (True, False):
             self.undecided = False
@@ -500,10 +602,7 @@ class _Asking(PageReader):
                 if len(self.seen) > CACHED:
                     self.seen.clear()
                 self.seen.add(m.group())
-                if marked := self._marked(m):
-                    self.asked.update(w for ws, _ in marked for w in ws)
-                else:
-                    self.asked.update(self.model.alternatives(m.group().lower()))
+                self.asked.update(w for ws, _ in self.options(m, m.group().lower()) for w in ws)
             if not self.undecided:
                 break
 
@@ -511,99 +610,273 @@ class _Asking(PageReader):
 class _Pairing(PageReader):
     """Finds the pairs that a reader may ask for: neighbours of which one has more than one reading."""
 
-    def __init__(self, words: dict[str, int]):
-        super().__init__(Model(words, {}, 1))
-        self.seen: dict[str, tuple[bool, list[str], list[str], list[tuple[str, str]]]] = {}
-
-    def _readings(self, m: re.Match) -> tuple[bool, list[str], list[str], list[tuple[str, str]]]:
-        """Whether there are several, their known first and last words, and the pairs inside."""
+    def __init__(self, words: dict[str, int], channel: dict[tuple[str, str], float], longest: int):
+        super().__init__(Model(words, {}, 1, channel, Spelling({}, {}), longest))
+        self.inner: set[tuple[str, str]] = set()
+        self.seen: dict[str, tuple[bool, list[str], list[str]]] = {}
+
+    def _speckled(self, chunk: str) -> list[Reading]:
+        """All first and last words of the lattice, as readings; the pairs inside are noted."""
+        letters, known = _RUN.split(chunk)[::2], self.model.words
+        arcs = [[(w, j) for w, j, _ in self._arcs(letters, i)] for i in range(len(letters))]
+        # words that may stand before each cut, through arcs without letters too
+        last: list[set[str | None]] = [set() for _ in range(len(letters) + 1)]
+        last[0].add(None)
+        firsts: set[str] = set()
+        for i, each in enumerate(arcs):
+            for w, j in each:
+                if not w:
+                    last[j] |= last[i]
+                    continue
+                if None in last[i]:
+                    firsts.add(w)
+                if w in known:
+                    self.inner.update((b, w) for b in last[i] if b in known)
+                last[j].add(w)
+        solid = [x for x in letters if x]
+        self.inner.update((a, b) for a, b in zip(solid, solid[1:]) if a in known and b in known)
+        return [((chunk,), 0.0), *(((w,), 0.0) for w in sorted(firsts | (last[-1] - {None})))]
+
+    def _readings(self, m: re.Match) -> tuple[bool, list[str], list[str]]:
+        """Whether there are several, and their known first and last words."""
         if (r := self.seen.get(m.group())) is None:
-            known, marked = self.model.words, self._marked(m)
-            here = [ws for ws, _ in marked if ws] if marked else [(a,) for a in self.model.alternatives(m.group().lower())]
-            inner = [(a, b) for ws in here for a, b in zip(ws, ws[1:]) if a in known and b in known]
+            known, here = self.model.words, self.options(m, m.group().lower())
             if len(self.seen) > CACHED:
                 self.seen.clear()
-            r = self.seen[m.group()] = (bool(marked) or len(here) > 1, [*{ws[0] for ws in here if ws[0] in known}], [*{ws[-1] for ws in here if ws[-1] in known}], inner)
+            r = self.seen[m.group()] = (len(here) > 1, [*{ws[0] for ws, _ in here if ws[0] in known}], [*{ws[-1] for ws, _ in here if ws[-1] in known}])
         return r
 
     def pairs(self, text: str, titles: list[int]) -> set[tuple[str, str]]:
         out: set[tuple[str, str]] = set()
         before, before_open = [], False
         for m in _WORD.finditer(self.running(text, titles)[0]):
-            is_open, firsts, lasts, inner = self._readings(m)
+            is_open, firsts, lasts = self._readings(m)
             if is_open or before_open:
                 out.update((a, b) for a in before for b in firsts)
-                out.update(inner)
             before, before_open = lasts, is_open
+        out |= self.inner
+        self.inner.clear()
         return out
 
 
+class _Forms(PageReader):
+    """Counts the words of scanned pages, and their ideographs three at a time; words with specks are left out."""
+
+    def __init__(self):
+        super().__init__(Model({}, {}, 1, {}, Spelling({}, {})))
+
+    def _broken(self, left: str, right: str, mark: str) -> bool:
+        return mark in "¬\u00ad"
+
+    def forms(self, text: str, titles: list[int]) -> Iterator[str]:
+        joined = self.running(text, titles)[0]
+        yield from _triples(tokens(joined))
+        for m in _WORD.finditer(joined):
+            word = m.group()
+            if m.lastgroup != "cjk" and not (m.lastgroup == "tibetan" and _RUN.search(word)) and "·" not in word and is_legible(word):
+                yield word.lower()
+
+
 def _numbers(titles: object) -> list[int]:
     return [int(x) for x in titles] if titles is not None else []
 
 
-def _words_asked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    reader = _Asking()
+def _scanned_forms(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    reader, seen = _Forms(), Counter()
     for batch in batches:
         for text, titles in zip(batch["text"], batch["titles"]):
-            reader.words(text, _numbers(titles))
-            if len(reader.asked) > CACHED:
-                yield pd.DataFrame({"word": [*reader.asked]})
-                reader.asked.clear()
-    if reader.asked:
-        yield pd.DataFrame({"word": [*reader.asked]})
+            seen.update(reader.forms(text, _numbers(titles)))
+            if len(seen) > CACHED:
+                yield pd.DataFrame({"form": [*seen], "n": [*seen.values()]})
+                seen.clear()
+    if seen:
+        yield pd.DataFrame({"form": [*seen], "n": [*seen.values()]})
+
 
+def read_scans(pages: DataFrame, lines: DataFrame | None = None) -> DataFrame:
+    """``(page_id, text, titles)`` of every scanned page; ``titles`` holds the numbers of title lines, or is null.
 
-def read_scans(pages: DataFrame) -> DataFrame:
-    """``(page_id, text, titles)`` of every scanned page; ``titles`` holds the numbers of title lines, or is null."""
+    With ``lines``, the recognised lines, a page whose text is blank is made of its distinct lines in their order.
+    """
     scans = pages.where(F.col("text_layer") == "ocr").select(F.col("page_id").cast("long").alias("page_id"), "job_id", F.coalesce("text", F.lit("")).alias("text"))
-    lines = F.filter(F.transform(F.split("text", "\n"), lambda x, i: F.struct((i + 1).cast("int").alias("line_no"), x.alias("line"))), lambda s: F.trim(s["line"]) != "")
-    n = F.size("lines")
-    both = F.array_distinct(F.concat(F.slice("lines", 1, EDGE_LINES), F.slice("lines", F.greatest(n - EDGE_LINES + 1, F.lit(1)), EDGE_LINES)))
-    edges = scans.where(F.trim("text") != "").withColumn("lines", lines).where(n > 0).select("page_id", "job_id", F.inline(both))
-    titles = title_lines(edges).groupBy("page_id").agg(F.sort_array(F.collect_list("line_no")).alias("titles"))  # at most four a page
+    if lines is not None:
+        # a repeated line counts once, so only the lines of pages without text are gathered, and a page has a bounded number of them
+        own = lines.select(F.col("page_id").cast("long").alias("page_id"), "line_no", F.col("text").alias("line")).where(F.col("line").isNotNull())
+        blank = scans.where(F.trim("text") == "").select("page_id").distinct()
+        kept = own.join(blank, "page_id", "left_semi").groupBy("page_id", "line_no").agg(F.min("line").alias("line"))
+        made = kept.groupBy("page_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "line"))), lambda x: x["line"]), "\n").alias("lines_text"))
+        scans = scans.join(made, "page_id", "left").select("page_id", "job_id", F.when(F.trim("text") == "", F.coalesce("lines_text", "text")).otherwise(F.col("text")).alias("text"))
+    each = scans.where(F.trim("text") != "").select("page_id", "job_id", F.posexplode(F.split("text", "\n", -1)).alias("at", "line")).select("page_id", "job_id", (F.col("at") + 1).cast("int").alias("line_no"), "line")
+    titles = title_lines(each.where(F.trim("line") != "")).groupBy("page_id").agg(F.sort_array(F.collect_list("line_no")).alias("titles"))  # lines of one page
     return cut(scans.join(titles, "page_id", "left").select("page_id", "text", "titles"))
 
 
-def fit(pages: DataFrame, scans: DataFrame | None = None) -> Model:
-    """The model of all text that was not scanned, as far as the scanned pages can ask for it: nothing else of it could change a reading.
+# ---- the channel --------------------------------------------------------------
+
+#: What a confusion is taken for before any is learned, by script, and how many characters that weighs as much as.
+_IS_TRIPLE = f"^[{_CJK}]{{3}}$"
+START, PRIOR = {"cjk": 1e-7, "other": 1e-5}, 10_000
+
+
+def _gaps(form: Column, width: int) -> Column:
+    """Every place of a form with ``width`` characters left out: (key, part). Something must be left of it; of three ideographs only the middle one is left out."""
+    n = F.length(form)
+    gap = lambda i: F.struct(F.concat(F.substring(form, F.lit(1), i - 1), F.lit("\0"), F.substring(form, i + width, n)).alias("key"), F.substring(form, i, F.lit(width)).alias("part"))
+    none = F.array().cast("array<struct<key: string, part: string>>")
+    letters = F.when(n >= 2 * width, F.transform(F.sequence(F.lit(1), n - width + 1), gap)).otherwise(none)
+    return F.when(form.rlike(_IS_TRIPLE), F.array(gap(F.lit(2))) if width == 1 else none).otherwise(letters)
+
+
+def _is_word() -> Column:
+    word = F.col("word")
+    return word.isNotNull() & ~word.startswith("\0") & ~word.rlike(_IS_TRIPLE)
+
 
-    ``scans`` is ``read_scans(pages)``, if that is at hand. The model's size follows the words of the scanned pages and not the rest of the corpus.
+def learn_spelling(counts: DataFrame) -> Spelling:
+    """From all distinct words but ideographs. What is collected are pairs of characters, and three numbers for each script."""
+    words = counts.where(_is_word() & ~F.col("word").rlike(f"^[{_CJK}]")).select("word", "n")
+    framed = F.concat(F.lit("\0"), F.col("word"), F.lit("\0"))
+    pairs = words.select(F.explode(F.transform(F.sequence(F.lit(1), F.length("word") + 1), lambda i: F.substring(framed, i, F.lit(2)))).alias("p")).groupBy("p").agg(F.count(F.lit(1)).alias("n")).collect()
+    script = F.when(F.col("word").rlike("^[ཀ-ྼ]"), "tibetan").otherwise("other")
+    new = words.groupBy(script.alias("script")).agg((F.count_if(F.col("n") == 1) / F.sum("n")).alias("share")).collect()
+    return Spelling({(r.p[0], r.p[1]): r.n for r in pairs}, {r.script: r.share for r in new})
+
+
+def learn_channel(counts: DataFrame, scans: DataFrame, total: int, spelling: Spelling) -> dict[tuple[str, str], float]:
+    """Log-probabilities of confusions (seen, meant), from all scanned pages.
+
+    A form of the pages that the model lacks is met with every known form that differs from it in one place, of one character or two. It either is a new word, or
+    one of those, misread; expectation maximisation weighs these by how usual the known form is and by the confusion it takes, and estimates each confusion
+    from that: expected cases over all cases of what was meant. New words are near known ones too, names above all. How often, the forms show that text which
+    was never scanned has once, met with its other forms: what they would explain, and twice its deviation, is taken off.
+    Ideographs are judged between their two neighbours. The result holds pairs of one or two characters, so its size follows the alphabets and not the pages.
     """
-    scans = read_scans(pages) if scans is None else scans
-    texts = pages.where((F.col("text_layer") != "ocr") & F.col("text").rlike(r"\S")).select("text")
-    parts = texts.mapInPandas(_partial_counts, "word string, pair long, n long")
-    counts = cut(parts.groupBy("word", "pair").agg(F.sum("n").alias("n")))
-    total = counts.where("pair IS NULL").agg(F.sum("n")).first()[0] or 0
-    asked = scans.select("text", "titles").mapInPandas(_words_asked, "word string").distinct()
-    found = counts.where("pair IS NULL").select("word", "n").join(asked, "word", "left_semi").toPandas()
-    words = dict(zip(found["word"], found["n"].astype(int)))
-    shared = pages.sparkSession.sparkContext.broadcast(words)
-
-    def pairs_asked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        reader, asked = _Pairing(shared.value), set()
-        for batch in batches:
-            for text, titles in zip(batch["text"], batch["titles"]):
-                asked |= reader.pairs(text, _numbers(titles))
-                if len(asked) > CACHED:
-                    yield pd.DataFrame({"pair": [pair_key(*p) for p in asked]})
-                    asked.clear()
-        if asked:
-            yield pd.DataFrame({"pair": [pair_key(*p) for p in asked]})
-
-    near = scans.select("text", "titles").mapInPandas(pairs_asked, "pair long").distinct()
-    met = counts.where((F.col("pair").isNotNull()) & (F.col("n") >= LEAST_PAIR)).select("pair", "n").join(near, "pair", "left_semi").toPandas()
-    return Model(words, dict(zip(met["pair"].astype("int64"), met["n"].astype(int))), int(total))
-
-
-def repair_scans(pages: DataFrame, model: Model, scans: DataFrame | None = None) -> DataFrame:
+    known = counts.where(F.col("word").isNotNull() & ~F.col("word").startswith("\0")).select("word", "n")
+    forms = cut(scans.select("text", "titles").mapInPandas(_scanned_forms, "form string, n long").groupBy("form").agg(F.sum("n").alias("n")))
+    is_triple = F.col("form").rlike(_IS_TRIPLE)
+    sums = lambda df: df.agg(*(F.coalesce(F.sum(F.when(c, F.col("n"))), F.lit(0)).alias(x) for x, c in (("triples", is_triple), ("words", ~is_triple)))).first()
+    plain = F.col("form").rlike(_IS_TRIPLE) | ~F.col("form").rlike(f"^[{_CJK}]$")
+    ours, theirs = sums(forms), sums(known.withColumnRenamed("word", "form").where(plain))
+    scale = F.when(is_triple, ours.triples / max(1, theirs.triples)).otherwise(ours.words / max(1, theirs.words))
+    strange = forms.join(known.select(F.col("word").alias("form")), "form", "left_anti").select("form", F.col("n").cast("double").alias("n"), F.lit(True).alias("scanned"))
+    once = known.where("n = 1").select(F.col("word").alias("form")).where(plain).select("form", scale.alias("n"), F.lit(False).alias("scanned"))
+
+    @F.pandas_udf("double")
+    def new_word(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for words in batches:
+            yield words.map(lambda w: 2.718281828459045 ** spelling.log_p(w))
+
+    gaps = lambda df, form: df.select("*", F.inline(F.concat(_gaps(F.col(form), 1), _gaps(F.col(form), 2))))
+    odd = gaps(strange.unionByName(once).withColumn("spelled", new_word.asNondeterministic()("form")), "form").withColumnRenamed("part", "seen")
+    usual = gaps(known.withColumnRenamed("n", "m"), "word").withColumnRenamed("part", "meant")
+    differs = (F.col("seen") != F.col("meant")) & (F.length("seen") + F.length("meant") < 4) & ~F.concat("seen", "meant").rlike("[-’']")
+    near = odd.join(usual, "key").where(differs)
+    near = near.withColumn("share", F.col("m") / F.when(is_triple, F.sum("m").over(Window.partitionBy("form", "key"))).otherwise(F.lit(max(1, total))))
+    alone = known.where(F.col("word").rlike(f"^[{_CJK}]$")).select(F.col("word").alias("seen"), (F.col("n") / max(1, total)).alias("own"))
+    null = F.when(is_triple, F.coalesce("own", F.lit(UNKNOWN_IDEOGRAPH))).otherwise(F.col("spelled"))
+    start = F.when(is_triple, START["cjk"]).otherwise(START["other"])
+    evidence = cut(near.join(alone, "seen", "left").select("form", "scanned", "n", "seen", "meant", "share", null.alias("null"), start.alias("start")))
+    parts = forms.select("n", F.explode(F.when(is_triple, F.array(F.substring("form", 2, 1))).otherwise(F.concat(F.split("form", ""), F.transform(_gaps(F.col("form"), 2), lambda g: g["part"])))).alias("meant"))
+    often = cut(parts.where("meant <> ''").groupBy("meant").agg(F.sum("n").alias("cases")))
+    channel = None
+    for _ in range(ROUNDS):
+        p = F.col("start") if channel is None else F.col("p")
+        weighed = (evidence if channel is None else evidence.join(channel.select("seen", "meant", "p"), ["seen", "meant"])).withColumn("w", F.col("share") * p)
+        posterior = F.col("n") * F.col("w") / (F.sum("w").over(Window.partitionBy("form", "scanned")) + F.col("null"))
+        cases = weighed.withColumn("e", posterior).groupBy("seen", "meant").agg(F.sum(F.when(F.col("scanned"), F.col("e")).otherwise(0.0)).alias("e"), F.sum(F.when(F.col("scanned"), 0.0).otherwise(F.col("e"))).alias("usual"), F.max("start").alias("start"))
+        expected = cases.select("seen", "meant", "start", F.greatest(F.lit(0.0), F.col("e") - F.col("usual") - 2 * F.sqrt("usual")).alias("expected"))
+        p = (F.col("expected") + PRIOR * F.col("start")) / (F.coalesce("cases", F.lit(0)) + F.col("expected") + PRIOR)
+        channel = expected.join(often, "meant", "left").select("seen", "meant", "expected", p.alias("p"))
+    rows = channel.where(F.col("expected") >= LEAST_EXPECTED).collect()
+    return {(r.seen, r.meant): log(r.p) for r in rows}
+
+
+# ---- the model, as far as pages ask for it ---------------------------------------
+
+
+class Corpus:
+    """Counts of all text that was not scanned, kept as a table, and the channel learned from the scanned pages."""
+
+    def __init__(self, pages: DataFrame, scans: DataFrame):
+        texts = pages.where((F.col("text_layer") != "ocr") & F.col("text").rlike(r"\S")).select("text")
+        self.counts = cut(texts.mapInPandas(_partial_counts, "word string, pair long, n long").groupBy("word", "pair").agg(F.sum("n").alias("n")))
+        row = self.counts.agg(F.sum(F.when(_is_word(), F.col("n"))).alias("total"), F.max(F.when(F.col("word").rlike("^[ཀ-ྼ]"), F.length("word"))).alias("longest")).first()
+        self.total, self.longest = int(row.total or 0), int(row.longest or 0)
+        self.spelling = learn_spelling(self.counts)
+        self.channel = learn_channel(self.counts, scans, self.total, self.spelling)
+
+    def model(self, scans: DataFrame) -> Model | None:
+        """The words and pairs that ``scans`` can ask for: nothing else of the counts could change a reading. None if they are more than ``MODEL_ENTRIES``."""
+        channel, longest = self.channel, self.longest
+
+        def words_asked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            reader = _Asking(channel, longest)
+            for batch in batches:
+                for text, titles in zip(batch["text"], batch["titles"]):
+                    reader.words(text, _numbers(titles))
+                    if len(reader.asked) > CACHED:
+                        yield pd.DataFrame({"word": [*reader.asked]})
+                        reader.asked.clear()
+            if reader.asked:
+                yield pd.DataFrame({"word": [*reader.asked]})
+
+        read = scans.select("text", "titles")
+        asked = read.mapInPandas(words_asked, "word string").distinct()
+        found = self._few(self.counts.where("pair IS NULL").select("word", "n").join(asked, "word", "left_semi"))
+        if found is None:
+            return None
+        words = dict(zip(found["word"], found["n"].astype(int)))
+        shared = scans.sparkSession.sparkContext.broadcast(words)
+
+        def pairs_asked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            reader, asked = _Pairing(shared.value, channel, longest), set()
+            for batch in batches:
+                for text, titles in zip(batch["text"], batch["titles"]):
+                    asked |= reader.pairs(text, _numbers(titles))
+                    if len(asked) > CACHED:
+                        yield pd.DataFrame({"pair": [pair_key(*p) for p in asked]})
+                        asked.clear()
+            if asked:
+                yield pd.DataFrame({"pair": [pair_key(*p) for p in asked]})
+
+        near = read.mapInPandas(pairs_asked, "pair long").distinct()
+        met = self._few(self.counts.where(F.col("pair").isNotNull()).select("pair", "n").join(near, "pair", "left_semi"))
+        shared.unpersist()
+        return None if met is None else Model(words, dict(zip(met["pair"].astype("int64"), met["n"].astype(int))), self.total, channel, self.spelling, longest)
+
+    @staticmethod
+    def _few(entries: DataFrame) -> pd.DataFrame | None:
+        got = entries.limit(MODEL_ENTRIES + 1).toPandas()
+        return got if len(got) <= MODEL_ENTRIES else None
+
+    def models(self, scans: DataFrame, depth: int = 0) -> Iterator[tuple[DataFrame, Model]]:
+        """All of ``scans`` in parts, each with its model: one part, unless it asks for too much to be broadcast."""
+        if (model := self.model(scans)) is not None:
+            yield scans, model
+            return
+        if depth >= 48:
+            raise ValueError("one page asks for more words than MODEL_ENTRIES")
+        for half in (0, 1):
+            yield from self.models(scans.where(F.pmod(F.shiftright(F.xxhash64("page_id"), depth), F.lit(2)) == half), depth + 1)
+
+
+def repair(pages: DataFrame, lines: DataFrame | None = None) -> DataFrame:
     """``(page_id, faults, paragraphs)`` for every scanned page; ``faults`` holds ``(line_no, fault)``.
 
-    Null and blank texts give empty arrays. Every line of a page's text is looked at; lines are those that line feeds part.
-    ``scans`` is ``read_scans(pages)``, if that is at hand.
+    Null and blank texts give empty arrays; with ``lines``, see ``read_scans``. Every line of a page's text is looked at; lines are those that line feeds part.
+    Other columns of ``pages`` are ignored. Repeated rows of a page give its rows again.
     """
-    scans = read_scans(pages) if scans is None else scans
-    shared = pages.sparkSession.sparkContext.broadcast((model.words, model.pairs, model.total))
+    scans = read_scans(pages, lines)
+    out = None
+    for part, model in Corpus(pages, scans).models(scans):
+        done = repair_scans(part, model)
+        out = done if out is None else out.unionByName(done)
+    return out
+
+
+def repair_scans(scans: DataFrame, model: Model) -> DataFrame:
+    """The rows of ``repair`` for the pages that ``read_scans`` gave."""
+    shared = scans.sparkSession.sparkContext.broadcast((model.words, model.pairs, model.total, model.channel, model.spelling, model.longest))
 
     @F.pandas_udf(_OUT)
     def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
