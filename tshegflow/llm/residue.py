@@ -1,22 +1,24 @@
 """Template leftovers, filler and site notices that stand in the place of content.
 
 Each kind of placeholder has a grammar of its own, by its delimiters. What is only quoted or explained - in code, in quotation marks, in a sentence about
-templates - is discounted by its surroundings and by how much of the text it makes up. Notices and filler count where they open a sentence or a line.
+templates - is discounted by its surroundings, and what stands in a text about templates, sites or programs by how much of the text it makes up. Filler is
+known by how it opens a sentence, a notice by what it is made of (``notices``).
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable, Iterator
+from bisect import bisect_right
+from collections.abc import Iterator
 from functools import lru_cache
-from re._constants import ASSERT, ASSERT_NOT, AT, BRANCH, IN, LITERAL, MAX_REPEAT, MIN_REPEAT, SUBPATTERN
-from re._parser import parse
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from . import notices
+from .triggers import needed_words
 from .unicode_forms import normalize_text
 
 # Names of fields that templates fill in.
@@ -26,10 +28,15 @@ FIELD_WORDS = (
 ).split()
 # What editors put in brackets, and mark-up.
 EDITORIAL = "illegible sic damaged lacuna gap unclear missing blank cut margin note notes deleted added crossed torn lost b i u em br p hr div span strong code pre sup sub ul ol li a img table tr td th h1 h2 h3 h4".split()
-# Words of sentences that explain templates.
+# Words of sentences about templates, and of texts that teach programming.
 EXPLAINING = (
-    r"write the field|stands? for|tool puts in|template notes|guide explains|for example|e\.g\.|syntax|variable|such as|is replaced (?:by|with)|the phrase|the word|as in"
-    r"|platzhalter|steht für|remplacé par|占位符|表示"
+    r"\b(?:explains? (?:that|how)|stands? for|means|denotes?|represents?|(?:is|are|gets?) replaced (?:by|with)|expands? to|evaluates? to|prints?|is called|looks? like|written as|such as|for example|for instance|e\.g\.|i\.e\.|the (?:phrase|word|form|notation)|as in|puts? in)\b"
+    r"|steht für|bedeutet|zum beispiel|z\. ?b\.|wird (?:durch|ersetzt)|ersetzt|signifie|par exemple|remplacée?s? par|désigne|表示|代表|例如|比如|替换|означает|например|заменяется"
+)
+TOPIC = (
+    r"\b(?:templates?|templating|placeholders?|variables?|syntax|mustache|handlebars|jinja2?|liquid|twig|smarty|django|rails|erb|php|html5?|css|javascript|typescript|python|java|sql|json|yaml|xml|api|sdk|bash|shell|regex|code|coding|snippets?|tutorials?|developers?|programm\w+|functions?|methods?|arguments?|parameters?|strings?|delimiters?|braces|brackets"
+    r"|escap(?:e|ed|es|ing)|render(?:s|ed|er|ing)?|interpolat\w+|substitut\w+|slots?|tokens?|expressions?|engine|browsers?|servers?|clients?|requests?|responses?|status codes?|http|endpoints?|exceptions?|debug\w*|frameworks?|components?|config\w*|settings?|command|terminal|compil\w+|loops?|merge fields?|dummy|filler|typesett\w+"
+    r"|platzhalter\w*|variablen?|beispiel\w*|programmier\w*|funktion(?:en)?|entwickler\w*|statuscodes?|gabarits?|espaces? réservés?|développeurs?|fonctions?|exemples?|programmation)\b|模板|占位符|变量|语法|代码|示例|教程|函数|参数|开发|浏览器|状态码|шаблон\w*|переменн\w*|пример\w*|код\b"
 )
 # Words of dummy Latin.
 DUMMY_LATIN = set(
@@ -39,44 +46,33 @@ DUMMY_LATIN = set(
 )
 # Tokens that are typed to fill space.
 DUMMY_TOKENS = "asdf qwer qwerty blah bla xxxx xxx ____ ___ test placeholder foo bar dummy tbd".split()
-# Sentences of filler, by language.
+_PARTS = "text|content|title|name|description|paragraph|heading|headline|caption|copy|body|quote|bio|tagline|subtitle|introduction|section|message"
+_DUMMY = "sample|dummy|placeholder|filler|example|default|demo|test|nonsense"
+# How filler opens a sentence, by language: what goes here, what to replace, what this part is.
 FILLER = (
-    r"(?:your )?(?:text|content) goes here", r"replace this (?:paragraph|text)", r"sample text for layout only", r"todo:? write this section", r"insert (?:your )?text here",
-    r"this section is intentionally (?:filled with dummy words|left blank)", r"add (?:your )?(?:text|content) here", r"click (?:here )?to (?:add|edit) text",
-    r"le texte viendra ici", r"texte à venir", r"hier steht später der text", r"blindtext", r"hier folgt (?:später )?der text",
-    r"此处填写正文", r"在此输入(?:正文|文字)?", r"示例文[字本]", r"འདིར་ཡི་གེ་འབྲི་རྒྱུ", r"བརྗོད་པ་འདིར་བཞག་རོགས", r"энд текст бичнэ",
+    rf"(?:your |the |some |more )?(?:{_PARTS})s? (?:goes|go|comes|will go|will come|to go|to be (?:added|written|inserted)|will be (?:added|written|inserted)|will appear) (?:here|in here|later|soon)",
+    rf"(?:to ?do:? ?|tbd:? ?|fixme:? ?)?(?:please )?(?:replace|insert|add|enter|type|write|put|place|paste|edit|change) (?:this|your|the|some|a|an|more|it)? ?(?:own )?(?:(?:{_DUMMY}) )?(?:{_PARTS})s?(?: (?:here|below|later|soon|with (?:your|the|real|actual) .{{1,40}}|in this (?:box|section|space|field)))?\s*$",
+    rf"click (?:here )?to (?:add|edit|insert|enter) (?:an? |the |your )?(?:{_PARTS}|image|picture|photo)", rf"(?:{_DUMMY}) (?:text|words?|content|copy|paragraph|title|heading|post|page)s?(?:\s*$| (?:for|only|here|to be|goes|until|that will)\b)",
+    rf"(?:this|the following) (?:{_PARTS}|page|block|area|chapter|field|space|article|post|entry|column)s? (?:is|are|was|has been|will be|contains) (?:intentionally |deliberately |currently |still |only |just )?(?:(?:left |filled )?(?:blank|empty)|(?:filled |filled up )?(?:with |by )?(?:a |an |some )?(?:{_DUMMY})\b|under construction|to be (?:written|added|completed|determined|done)|not yet (?:written|available|ready))",
+    rf"this is (?:a |an |some |just |only |your )*(?:{_DUMMY}) (?:{_PARTS}|page|post|sentence|document|article)", r"just another \w+ site", r"hier (?:steht|folgt|kommt|erscheint|entsteht|könnte)\b.{0,24}\b(?:text|inhalt|titel|überschrift|beitrag)",
+    r"(?:das ist |dies ist |ein |nur )*(?:blind|platzhalter|muster|beispiel|füll)text", r"(?:bitte )?(?:ihren |den |einen )?(?:text|inhalt|titel)(?: hier)? (?:eingeben|einfügen|ergänzen|ersetzen)", r"(?:ici )?(?:le|votre|du|mon) (?:texte|contenu|titre) (?:viendra|sera|apparaîtra|va|est à)\b",
+    r"texte (?:à venir|ici|de remplissage|factice|d['’]exemple|provisoire)", r"faux[- ]texte", r"(?:insére[rz]|saisir|saisissez|ajoute[rz]|remplace[rz]|écrire|écrivez) (?:le|votre|du|ce|un) (?:texte|contenu|titre|paragraphe)", r"(?:请)?在?(?:此处|这里|此)[^。！？]{0,2}(?:填写|输入|放置|添加|插入|编写|写入)",
+    r"(?:这是|此为)?(?:示例|占位|样本|测试|填充|默认)(?:文字|文本|文本|内容|标题|段落)", r"(?:正文|内容|文字|标题)?待(?:补充|填写|完善)", r"[^\s།]*འདིར་[^\s།]*(?:འབྲི|བྲིས|འཇུག|བླུག|བཞག|སྣོན|འགོད)[^\s།]*(?:རྒྱུ|རོགས|དགོས|གནང)", r"энд .{0,24}(?:бичнэ|бичих|бичээрэй|оруул)", r"(?:अत्र|यहाँ|यहां) .{0,24}(?:लिख|पाठ|सामग्री)",
+    r"здесь (?:будет|должен быть|появится) .{0,16}текст", r"вставьте (?:сюда )?(?:ваш )?текст", r"aquí va (?:el|su|tu) (?:texto|contenido|título)", r"texto de (?:ejemplo|relleno|prueba)",
 )
 # Filler that counts only as a whole sentence or line.
-WHOLE_FILLER = (r"coming soon", r"untitled", r"no description", r"no content", r"under construction", r"lorem ipsum", r"敬请期待", r"无标题", r"暂无(?:描述|内容)")
-_THING = r"(?:the|this|that|your) [\w ]{2,30}?"
-# Notices of failing sites and of missing scripts, by language.
-NOTICES = (
-    r"(?:http |error )(?:40\d|410|429|50\d)\b", r"(?:http )?(?:error )?(?:40\d|410|429|50\d) (?:not found|forbidden|unauthori[sz]ed|bad request|gone|bad gateway|service unavailable|internal server error|gateway time-?out|too many requests)",
-    r"access denied(?=[.!]|\s*$|\s+(?:the|you|your|try|go|we|an|this|if|error)\b)", r"internal server error", r"application error", r"something went wrong(?=[.!]|\s*$|\s+(?:the|you|your|try|go|we|an|this|if|error)\b)",
-    r"too many requests", r"bad gateway", r"service (?:temporarily )?unavailable", r"(?:page|file|site|record|volume|item|entry|folio|scan|text|document) not found(?=[.!]|\s*$)",
-    r"an exception occurred while", rf"{_THING} (?:has )?timed out while loading", r"try again (?:in a few minutes|later)", r"go back to the (?:start|home|previous) ?page",
-    r"if you keep seeing this", r"we could not load", r"you do not have permission to (?:open|view|access)", r"your browser is (?:too old|not supported|out of date)",
-    r"your session has (?:ended|expired)", r"checking your browser before", r"cookies and scripts must be", r"(?:cookies|scripts) must be (?:allowed|enabled)",
-    r"(?:you need to|please) (?:enable|turn on|activate) (?:javascript|scripts|cookies)", r"javascript (?:is|must be) (?:disabled|required|turned off|enabled)",
-    r"scripts are (?:blocked|disabled)", rf"{_THING} needs (?:scripts|javascript) to be", r"noscript:", r"the server met an unexpected condition",
-    r"the upstream [\w ]{2,30} (?:service|server) did not answer", rf"{_THING} cannot be (?:delivered|shown|displayed|loaded) at the moment", rf"{_THING} is gone \(\d+\)", rf"{_THING} you (?:asked for|requested|are looking for) (?:is not here|does not exist|could not be found|was not found)",
-    r"seite nicht gefunden", r"interner serverfehler", r"zugriff verweigert", r"(?:bitte )?aktivieren sie (?:bitte )?javascript", r"fehlercode\b", r"bitte versuchen sie es später", r"versuchen sie es später", r"javascript ist deaktiviert", r"ihre sitzung ist abgelaufen", r"dienst nicht verfügbar",
-    r"page introuvable", r"erreur interne du serveur", r"accès refusé", r"veuillez activer javascript", r"réessayez plus tard", r"code d[’']erreur\b", r"service indisponible", r"votre session a expiré", r"javascript est désactivé",
-    r"页面(?:不存在|未找到|找不到)", r"找不到(?:该|此)?页面", r"服务器(?:内部)?错误", r"系统繁忙", r"请启用(?:脚本|javascript)", r"错误代码", r"访问被拒绝", r"拒绝访问", r"请稍后再试", r"会话已过期", r"请(?:重新)?登录后",
-    r"ཤོག་ངོས་འདི་རྙེད་མ་སོང", r"ཡང་བསྐྱར་ཚོད་ལྟ་གནང་རོགས", r"དྲ་ངོས་ནོར་འཁྲུལ", r"ཞབས་ཞུ་ལག་ཆས་ལ་འབྲེལ་མ་ཐུབ", r"ནང་འཛུལ་བསྐྱར་དུ་གནང་རོགས", r"ཁྱེད་ལ་འདི་ལྟ་བའི་དབང་ཚད་མེད", r"javascript སྒོ་འབྱེད་རོགས", r"ནོར་ཨང",
-    r"серверийн алдаа", r"javascript асаана уу", r"дараа дахин оролдоно уу", r"хуудас олдсонгүй", r"хандах эрхгүй", r"कृपया जावास्क्रिप्ट चालू करें", r"पुनः प्रयास करें", r"पृष्ठ(?:ं)? न (?:लब्धम्|प्राप्तम्)", r"पृष्ठ नहीं मिला",
+WHOLE_FILLER = (
+    r"coming soon", r"untitled(?: document| page| post)?", r"no (?:description|content|title|text|abstract|summary)(?: available| provided| yet)?", r"(?:page |site )?under construction", r"lorem ipsum", r"tbd", r"tba", r"to be (?:announced|determined|written|completed)", rf"(?:{_PARTS}) here", r"hello world",
+    r"content (?:coming|pending)(?: soon)?", r"demnächst(?: hier| verfügbar)?", r"ohne titel", r"inhalt folgt", r"bientôt disponible", r"sans titre", r"à compléter", r"敬请期待", r"无标题", r"未命名", r"建设中", r"即将推出", r"暂无(?:描述|内容|标题|简介|数据)", r"скоро здесь", r"без названия", r"próximamente", r"sin título",
 )
 
 _NAME = r"[^\W\d][\w.\-ༀ-࿿]*(?: [\w.\-ༀ-࿿]+){0,3}"
 _STRONG = re.compile(
     rf"\{{\{{\{{?\s*{_NAME}\s*\}}?\}}\}}|\$\{{\s*{_NAME}\s*\}}|#\{{\s*{_NAME}\s*\}}|\{{%-?\s*{_NAME}\s*-?%\}}|<%[=\-]?\s*{_NAME}\s*-?%>|\[\[\s*{_NAME}\s*\]\]|@@\s*{_NAME}\s*@@|%\({_NAME}\)[sdf]"
-    rf"|\[(?:INSERT|insert|ADD|YOUR|your) {_NAME}\]|\[{_NAME} (?:goes )?here\]|\((?:your |insert |INSERT ){_NAME}(?: here)?\)|\((?:{_NAME}) goes here\)|(?<![\w_])__[^\W_]{_NAME[len(r'[^\W\d]'):]}__(?![\w_])|(?<![\w$])\${_NAME}\$|%%{_NAME}%%"
+    rf"|\[(?:INSERT|insert|ADD|YOUR|your) {_NAME}\]|\[{_NAME} (?:goes )?here\]|\((?:your |insert |INSERT ){_NAME}(?: here)?\)|\((?:{_NAME}) goes here\)|(?<![A-Za-z0-9_])__[^\W_]{_NAME[len(r"[^\W\d]"):]}__(?![A-Za-z0-9_])|(?<![\w$])\${_NAME}\$|%%{_NAME}%%"
 )
 _WEAK = re.compile(rf"\[\s*({_NAME})\s*\]|\{{\s*({_NAME})\s*\}}|<\s*({_NAME})\s*>|(?<![\w:]):({_NAME}):(?![\w:])|«\s*({_NAME})\s*»|(?<![\w%])%({_NAME})%(?![\w%])|(?<![\w#])#({_NAME})#(?![\w#])")
-_CODE = re.compile(r"```.*?```|`[^`\n]*`", re.S)
-_QUOTED = re.compile(r"[“\"‘'「『]")
-_UNIT_END = re.compile(r"[.!?。！？།༎༔༑।॥\n]")
-_BEGIN = r"(?:\A|(?<=[\n.!?。！？།༎༔༑।॥»”’)\]…:;]) *|(?<=[ༀ-࿿一-鿿ऀ-ॿЀ-ӿ]) *|(?<=[ༀ-࿿一-鿿ऀ-ॿ་]))"
+_CODE = re.compile(r"```.*?```|~~~.*?~~~|`[^`\n]*`|<(pre|code)\b.*?</\1>", re.S)
 _FOLD = {ord("༌"): "་", 0xA0: " ", 0x3000: " ", 0x2005: " ", 0x202F: " ", 0xAD: None, 0x34F: None, 0x200B: None, 0x200C: None, 0x200D: None, 0x2060: None, 0xFEFF: None}
 _HIDDEN = re.compile("[" + "".join(map(chr, _FOLD)) + "]")
 _ODD = re.compile(r"[Ͱ-ӿＡ-Ｚａ-ｚﬀ-ﬆ̀-ͯ]")
@@ -84,74 +80,12 @@ _DELIMITED = re.compile(r"[{$<\[@%«#]|__|(?<!\w):\w|\((?:your|insert|INSERT)\b|
 
 
 @lru_cache(1)
-def _phrases() -> tuple[re.Pattern, re.Pattern, re.Pattern, re.Pattern]:
-    notice = re.compile(_BEGIN + "(?P<hit>" + "|".join(map(normalize_text, NOTICES)) + ")")
-    filler = re.compile(_BEGIN + "(?P<hit>" + "|".join(map(normalize_text, FILLER)) + ")")
-    whole = re.compile(_BEGIN + "(?P<hit>" + "|".join(WHOLE_FILLER) + r")(?=\s*(?:[.!…。]|\Z|\n))")
+def _phrases() -> tuple[re.Pattern, re.Pattern, re.Pattern]:
+    filler = re.compile("|".join(f"(?:{normalize_text(p)})" for p in FILLER))
+    whole = re.compile("(?:" + "|".join(WHOLE_FILLER) + r")\s*")
     tokens = "|".join(map(re.escape, DUMMY_TOKENS))
     typed = re.compile(rf"(?<![\w])(?P<hit>(?:{tokens})(?:[ .,]+(?:{tokens})){{2,}})(?!\w)")
-    return notice, filler, whole, typed
-
-
-_MOST_FORMS = 64
-
-
-def _forms(op: object, arg: object) -> list[str] | None:
-    """All that one item of a parsed pattern matches, if that is a short list."""
-    if op is LITERAL:
-        return [chr(arg)]
-    if op is IN and all(kind is LITERAL for kind, _ in arg):
-        return [chr(c) for _, c in arg]
-    if op in (AT, ASSERT, ASSERT_NOT):
-        return [""]
-    if op is MAX_REPEAT and tuple(arg[:2]) == (0, 1):
-        items = [arg[2]]
-    elif op is SUBPATTERN:
-        items = [arg[3]]
-    elif op is BRANCH:
-        items = arg[1]
-    else:
-        return None
-    out = [""] if op is MAX_REPEAT else []
-    for item in items:
-        whole = [""]
-        for part in item:
-            forms = _forms(*part)
-            if forms is None or len(whole) * len(forms) > _MOST_FORMS:
-                return None
-            whole = [a + b for a in whole for b in forms]
-        out += whole
-    return out if len(out) <= _MOST_FORMS else None
-
-
-def _needed(pattern: Iterable) -> list[str]:
-    """Words of which every match of a parsed pattern holds one: of such lists, that with the longest shortest word. Empty if there is none."""
-    best: list[str] = []
-
-    def offer(words: list[str]) -> None:
-        nonlocal best
-        if words and min(map(len, words)) > min(map(len, best), default=0):
-            best = words
-
-    run = [""]
-    for op, arg in pattern:
-        forms = _forms(op, arg)
-        if forms is not None and len(run) * len(forms) <= _MOST_FORMS:
-            run = [a + b for a in run for b in forms]
-            continue
-        offer(run)
-        run = forms or [""]
-        if forms is not None:
-            continue
-        if op is SUBPATTERN:
-            offer(_needed(arg[3]))
-        elif op is BRANCH:
-            each = [_needed(item) for item in arg[1]]
-            offer([w for words in each for w in words] if all(each) else [])
-        elif op in (MAX_REPEAT, MIN_REPEAT) and arg[0] > 0:
-            offer(_needed(arg[2]))
-    offer(run)
-    return best
+    return filler, whole, typed
 
 
 _FILLER, _WHOLE, _TYPED, _LATIN, _NOTICE = (1 << k for k in range(5))
@@ -160,12 +94,9 @@ _FILLER, _WHOLE, _TYPED, _LATIN, _NOTICE = (1 << k for k in range(5))
 def trigger_words() -> dict[str, int]:
     """Words without which no pattern of a kind can match, with the kinds as bits. They are taken from the patterns, so that none is forgotten."""
     out: dict[str, int] = {}
-    for kind, patterns in ((_FILLER, map(normalize_text, FILLER)), (_WHOLE, WHOLE_FILLER), (_NOTICE, map(normalize_text, NOTICES))):
+    for kind, patterns in ((_FILLER, map(normalize_text, FILLER)), (_WHOLE, WHOLE_FILLER), (_NOTICE, map(normalize_text, notices.patterns()))):
         for pattern in patterns:
-            words = _needed(parse(pattern))
-            if not words:
-                raise ValueError(f"no word that each match of {pattern!r} has")
-            for w in words:
+            for w in needed_words(pattern):
                 out[w] = out.get(w, 0) | kind
     for w in (token + mark for token in DUMMY_TOKENS for mark in " .,"):
         out[w] = out.get(w, 0) | _TYPED
@@ -177,7 +108,7 @@ def trigger_words() -> dict[str, int]:
 
 @lru_cache(1)
 def _triggers():
-    """An automaton of the trigger words, so that most texts need no regular expression."""
+    """An automaton of the trigger words."""
     import ahocorasick
 
     found = ahocorasick.Automaton()
@@ -188,17 +119,34 @@ def _triggers():
     return found
 
 
-def _around(text: str, a: int, b: int) -> str:
-    """The sentence or line that holds ``text[a:b]``."""
-    start = max((m.end() for m in _UNIT_END.finditer(text, max(0, a - 300), a)), default=max(0, a - 300))
-    stop = _UNIT_END.search(text, b)
-    return text[start : stop.end() if stop else len(text)]
+_TOPIC, _EXPLAINING = re.compile(TOPIC), re.compile(EXPLAINING)
+#: A text of which this share of the other sentences is about templates, sites and programs is about them, unless this share of its sentences is residue.
+TOPIC_SHARE, RESIDUE_SHARE = 0.25, 0.5
+
+
+def _teaches(low: str, hits: set[tuple[int, int]], units: list[tuple[int, int]]) -> bool:
+    """Whether the text is about such things: by the share of its other sentences that are, and by how much of the text the residue makes up."""
+    others = [u for u in units if u not in hits]
+    if len(others) < 2 or len(hits) >= RESIDUE_SHARE * len(units):
+        return False
+    about = sum(bool(_TOPIC.search(low, *u)) for u in others)
+    return about >= max(2, TOPIC_SHARE * len(others))
+
+
+def _code_spans(text: str) -> list[tuple[int, int]]:
+    """Fenced and inline code, marked-up code, and indented lines in a text that has lines that are not."""
+    spans = [m.span() for m in _CODE.finditer(text)] if "`" in text or "<" in text else []
+    if "\n    " in text or "\n\t" in text or text.startswith(("    ", "\t")):
+        lines = [m.span() for m in re.finditer(r"(?m)^(?: {4}|\t).*$", text)]
+        if re.search(r"(?m)^\S", text):
+            spans += lines
+    return spans
 
 
 def _placeholders(text: str) -> list[tuple[int, int]]:
+    """Places of unfilled placeholders, without those in code."""
     if not _DELIMITED.search(text):
         return []
-    code = [m.span() for m in _CODE.finditer(text)] if "`" in text else []
     found = [m.span() for m in _STRONG.finditer(text)]
     for m in _WEAK.finditer(text):
         name = next(g for g in m.groups() if g).strip()
@@ -208,14 +156,26 @@ def _placeholders(text: str) -> list[tuple[int, int]]:
         label = text[max(0, m.start() - len(name) - 3) : m.start()].strip(" :：\n").lower()
         if low in FIELD_WORDS or re.search(r"\w[_.]\w", name) and not re.search(r"\d|\s", name) or re.fullmatch(r"[A-Z]{3,}(?:_[A-Z]+)*", name) or label == low:
             found.append(m.span())
-    kept = []
+    if not found:
+        return []
+    code = _code_spans(text)
+    return [(a, b) for a, b in found if not any(x <= a and b <= y for x, y in code)]
+
+
+def _unfilled(text: str, found: list[tuple[int, int]]) -> bool:
+    """Whether one of the placeholders is left over: its sentence does not explain it, and the text is not about templates."""
+    blank = list(text)
     for a, b in found:
-        if any(x <= a and b <= y for x, y in code):
-            continue
-        if re.search(EXPLAINING, _around(text, a, b).replace(text[a:b], " "), re.I):
-            continue
-        kept.append((a, b))
-    return kept
+        blank[a:b] = "x" * (b - a)
+    low = "".join(blank).lower()
+    units = notices.units(low)
+    starts = [a for a, _ in units]
+    hits: set[tuple[int, int]] = set()
+    for a, _ in found:
+        unit = units[max(0, bisect_right(starts, a) - 1)] if units else (0, len(low))
+        if not _EXPLAINING.search(low, *unit) and not _TOPIC.search(low, *unit):
+            hits.add(unit)
+    return bool(hits) and not _teaches(low, hits, units)
 
 
 def _dummy_latin(text: str) -> bool:
@@ -241,18 +201,31 @@ def residue_kinds(text: str | None) -> list[str]:
         text = normalize_text(text)
     if _HIDDEN.search(text):
         text = text.translate(_FOLD)
-    if _placeholders(text):
+    if (found := _placeholders(text)) and _unfilled(text, found):
         kinds.append("placeholder")
-    low = re.sub(r"[^\S\n]+", " ", text).lower()
-    maybe = 0
-    for _, kind in _triggers().iter(low):
+    low = re.sub(r"[^\S\n]+", " ", text).lower().replace("’", "'")
+    maybe, at = 0, []
+    for end, kind in _triggers().iter(low):
         maybe |= kind
-    if maybe:
-        notice, filler, whole, typed = _phrases()
-        if maybe & _FILLER and filler.search(low) or maybe & _WHOLE and whole.search(low) or maybe & _TYPED and typed.search(low) or maybe & _LATIN and _dummy_latin(low):
-            kinds.append("filler")
-        if maybe & _NOTICE and notice.search(low):
-            kinds.append("notice")
+        at.append(end)
+    if not maybe:
+        return kinds
+    filler, whole, typed = _phrases()
+    plain = notices.unquoted(low)
+    every = notices.units(plain)
+    ends = [b for _, b in every]
+    units = [every[k] for k in sorted({bisect_right(ends, e) for e in at}) if k < len(every)]
+    filled, told = set(), set()
+    for a, b in units:
+        unit = notices.lead(plain[a:b])
+        if maybe & _FILLER and filler.match(unit) or maybe & _WHOLE and whole.fullmatch(unit):
+            filled.add((a, b))
+        if maybe & _NOTICE and notices.is_notice(unit):
+            told.add((a, b))
+    if maybe & _TYPED and typed.search(low) or maybe & _LATIN and _dummy_latin(low) or filled and not _teaches(plain, filled, every):
+        kinds.append("filler")
+    if told and not _teaches(plain, told, every):
+        kinds.append("notice")
     return kinds
 
 
