@@ -58,8 +58,8 @@ Der Platzhalter {{titel}} steht für den Titel des Dokuments.
 Write `{{ message }}` in the markup and the framework fills it in.
 Un espace réservé comme {{ nom }} est remplacé par le nom du client.
 模板中的占位符 {{title}} 表示文章标题。
-Set the greeting first:\n\n    <p>{{ greeting }}</p>\n\nThen reload and look at the result.
-```html\n<h1>{{ title }}</h1>\n```\nThe heading is filled in by the server.
+Set the greeting first:\\n\\n    <p>{{ greeting }}</p>\\n\\nThen reload and look at the result.
+```html\\n<h1>{{ title }}</h1>\\n```\\nThe heading is filled in by the server.
 <pre>Hello ${first_name}</pre> is what the mail merge example looks like.
 The manuscript breaks off here [illegible] and resumes on the next leaf [sic].
 Choose an option from the menu (see page 4) and press the key <b>Enter</b>.
