@@ -307,13 +307,60 @@ def test_leaks(spark):
     frame = spark.createDataFrame([*docs.items()], "doc_id long, text string").withColumn("item_id", F.lit(0))
     want = {(2, 1), (3, 1), (5, 1), (9, 1), (9, 2), (10, 1)}
     assert {(r.doc_id, r.item_id) for r in contamination.leaks(frame, items).collect()} == want
-    before = contamination.BLOCK_LETTERS
+    before = contamination.BROADCAST_PRINTS, contamination.BROADCAST_PAIRS, contamination.FILTER_POWERS
     try:
-        contamination.BLOCK_LETTERS = 10  # one passage a block
+        contamination.BROADCAST_PRINTS, contamination.BROADCAST_PAIRS, contamination.FILTER_POWERS = 0, 0, (6, 7)  # shuffled, behind a filter that lets most through
         assert {(r.doc_id, r.item_id) for r in contamination.leaks(frame, items).collect()} == want
     finally:
-        contamination.BLOCK_LETTERS = before
+        contamination.BROADCAST_PRINTS, contamination.BROADCAST_PAIRS, contamination.FILTER_POWERS = before
     assert contamination.leaks(frame, items.limit(0)).count() == 0 and contamination.leaks(frame.limit(0), items).count() == 0
+    twice = contamination.leaks(frame.unionByName(frame.where("doc_id = 2")), items.unionByName(items))
+    assert sorted((r.doc_id, r.item_id) for r in twice.collect()) == sorted([*want, (2, 1)])
+
+
+def test_short_passages_leak(spark):
+    """A passage of some forty letters, whole in a text, after a change of one letter, and only its first words."""
+    passage = "the red abbot copied nine letters by the lake at dawn"
+    docs = spark.createDataFrame([(1, f"They say that {passage}, and left."), (2, passage.replace("nine", "five").upper()), (3, "the red abbot went home"), (4, "nothing of the kind")], "doc_id long, text string")
+    items = spark.createDataFrame([(7, passage)], "item_id long, passage string")
+    assert {r.doc_id for r in contamination.leaks(docs, items).collect()} == {1, 2}
+
+
+def test_long_stretches_are_bridged_and_mantras_take_no_time(spark):
+    random.seed(4)
+    letters = "".join(random.choices("abcdefghiklmnoprstuvw", k=12_000))
+    passage = letters[:6000] + "XQZ" + letters[6000:]
+    mantra = "om mani padme hum " * 40
+    docs = spark.createDataFrame([(1, letters), (2, "om mani padme hum " * 4000), (3, None)], "doc_id long, text string")
+    items = spark.createDataFrame([(1, passage), (2, mantra)], "item_id long, passage string")
+    began = time.time()
+    got = {(r.doc_id, r.item_id): r for r in contamination.leaks(docs, items).collect()}
+    assert set(got) == {(1, 1), (2, 2)} and got[1, 1].coverage > 0.99 and got[1, 1].start_pos == 0 and got[1, 1].end_pos == 12_000
+    assert time.time() - began < 60
+
+
+def test_hits_find_what_aligning_all_pairs_finds(spark):
+    """Every document whose id is divisible by 50 against every passage, on all diagonals."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").where("doc_id % 50 = 0")
+    items = spark.read.parquet("/root/testdata/sf0.1/eval_items.parquet")
+    passages = {r.item_id: contamination.fold([r.passage])[0] for r in items.collect() if r.passage}
+    places = defaultdict(list)
+    for item, passage in passages.items():
+        for i in range(len(passage) - 6):
+            places[passage[i : i + 7].tobytes()].append((item, i))
+    want = set()
+    for d in docs.where("text IS NOT NULL").collect():
+        text, shifts = contamination.fold([d.text])[0], defaultdict(set)
+        for j in range(len(text) - 6):
+            for item, i in places.get(text[j : j + 7].tobytes(), ()):
+                shifts[item].add(j - i)
+        for item, diagonals in shifts.items():
+            found = contamination._cover(passages[item], text, np.array(sorted(diagonals), np.int64))
+            if found and found[0] >= contamination.LEAST_COVERAGE:
+                want.add((d.doc_id, item))
+    assert len(want) > 4
+    got = {(r.doc_id, r.item_id) for r in contamination.leaks(docs, items).collect()}
+    assert got <= want and len(got) >= 0.9 * len(want)
 
 
 # ---- p7

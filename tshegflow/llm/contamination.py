@@ -1,8 +1,8 @@
 """Evaluation passages inside training texts, found by winnowed fingerprints.
 
 Both sides are reduced to folded letters and fingerprinted: of every ``WINDOW`` neighbouring ``GRAM``-letter hashes the least is kept, so any shared span of
-``WINDOW + GRAM - 1`` letters leaves a common fingerprint. Hits are extended along their diagonals, and the stretches that lie in the passage's order
-are chained; a document holds a passage if the chain covers enough of it.
+``WINDOW + GRAM - 1`` letters leaves a common fingerprint. The fingerprints of both sides are joined; hits are extended along their diagonals, and the stretches
+that lie in the passage's order are chained; a document holds a passage if the chain covers enough of it.
 """
 
 from __future__ import annotations
@@ -17,6 +17,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..sources.lineage import cut
+
 GRAM, WINDOW = 12, 8
 #: An ideograph counts as so many letters.
 PER_IDEOGRAPH = 3
@@ -24,10 +26,8 @@ PER_IDEOGRAPH = 3
 CANDIDATE_SHARE, LEAST_COVERAGE = 0.08, 0.45
 #: Shortest stretch of equal letters that counts, and the widest change inside running text that is bridged, in letters.
 LEAST_RUN, BRIDGE = 7, 16
-#: Shortest running stretch that counts, in letters: longer than a set phrase.
+#: Shortest running stretch that counts, in letters: longer than a set phrase. In a passage that is shorter, its least coverage counts.
 LEAST_STRETCH = 64
-#: Letters of passages that are broadcast at once; a larger test set is matched in as many blocks.
-BLOCK_LETTERS = 4_000_000
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
 
@@ -122,55 +122,6 @@ def winnow(letters: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndar
     return keep, hashes[keep]
 
 
-class Passages:
-    """Fingerprints of a block of test passages."""
-
-    def __init__(self, ids: list[int], texts: list[str]):
-        self.ids = np.array(ids, np.int64)
-        self.letters, _, self.bounds = fold(texts)
-        at, hashes = winnow(self.letters, self.bounds)
-        item = np.searchsorted(self.bounds, at, "right") - 1
-        order = np.argsort(hashes, kind="stable")
-        self.hashes, self.item, self.at = hashes[order], item[order], at[order] - self.bounds[item[order]]
-        self.prints = np.maximum(1, np.bincount(item, minlength=len(ids)))
-        self.near = np.zeros(1 << 20, bool)
-        self.near[(self.hashes & np.uint64((1 << 20) - 1)).astype(np.int64)] = True
-
-    def matches(self, texts: list[str]) -> Iterator[tuple[int, int, float, int, int]]:
-        """(text, item id, coverage, first and last+1 code point) for texts that hold a passage."""
-        letters, origin, bounds = fold(texts)
-        at, hashes = winnow(letters, bounds)
-        if not len(self.hashes) or not len(at):
-            return
-        maybe = self.near[(hashes & np.uint64((1 << 20) - 1)).astype(np.int64)]
-        at, hashes = at[maybe], hashes[maybe]
-        lo, hi = np.searchsorted(self.hashes, hashes, "left"), np.searchsorted(self.hashes, hashes, "right")
-        times = hi - lo
-        hit = np.repeat(np.arange(len(at)), times)
-        if not len(hit):
-            return
-        post = np.arange(len(hit)) - np.repeat(np.cumsum(times) - times, times) + np.repeat(lo, times)
-        text = np.searchsorted(bounds, at[hit], "right") - 1
-        pair = text * len(self.ids) + self.item[post]
-        # distinct fingerprints of the item that the text has, by pair
-        order = np.lexsort((self.at[post], pair))
-        pair, hit, post = pair[order], hit[order], post[order]
-        new_pair = np.concatenate([[True], pair[1:] != pair[:-1]])
-        new_print = new_pair | np.concatenate([[True], self.at[post][1:] != self.at[post][:-1]])
-        first = np.flatnonzero(new_pair)
-        distinct = np.add.reduceat(new_print, first)
-        stop = np.append(first[1:], len(pair))
-        item = pair[first] % len(self.ids)
-        for k in np.flatnonzero(distinct >= CANDIDATE_SHARE * self.prints[item]):
-            rows = slice(first[k], stop[k])
-            t, i = int(pair[first[k]] // len(self.ids)), int(item[k])
-            begin, end = int(bounds[t]), int(bounds[t + 1])
-            passage = self.letters[self.bounds[i] : self.bounds[i + 1]]
-            found = _cover(passage, letters[begin:end], np.unique(at[hit[rows]] - begin - self.at[post[rows]]))
-            if found and found[0] >= LEAST_COVERAGE:
-                yield t, int(self.ids[i]), found[0], int(origin[begin + found[1]]), int(origin[begin + found[2]]) + 1
-
-
 def _runs(passage: np.ndarray, text: np.ndarray, diagonal: int) -> np.ndarray:
     """(first letter in the passage, number of letters) of the equal stretches on a diagonal."""
     a, b = max(0, -diagonal), min(len(passage), len(text) - diagonal)
@@ -183,93 +134,174 @@ def _runs(passage: np.ndarray, text: np.ndarray, diagonal: int) -> np.ndarray:
     return runs[runs[:, 1] >= LEAST_RUN]
 
 
-def _cover(passage: np.ndarray, text: np.ndarray, diagonals: np.ndarray) -> tuple[float, int, int] | None:
-    """Share of the passage that a chain of running stretches covers, and the chain's first and last letter in the text."""
-    runs = sorted(((p + d, p, n) for d in diagonals.tolist() for p, n in _runs(passage, text, d).tolist()))
-    # running stretches: equal runs with nothing but small changes between them
+def _stretches(runs: list[tuple[int, int, int]], least: int) -> list[tuple[int, int, int, int, int]]:
+    """Running stretches, equal runs with nothing but small changes between them: (start and end in the text, start and end in the passage, letters).
+
+    ``runs`` are (start in the text, start in the passage, letters), sorted. What may come before a run ends near its start, so runs are looked up by their end.
+    """
     score = [n for _, _, n in runs]
     first = [*range(len(runs))]
     ends = [True] * len(runs)
+    ending: dict[int, list[int]] = {}
     for j, (s, p, n) in enumerate(runs):
         came = -1
-        for i in range(j - 1, -1, -1):
-            s0, p0, n0 = runs[i]
-            if s - s0 > 4096:
-                break
-            if p0 >= p or s0 >= s:
-                continue
-            gap, shift = p - p0 - n0, s - s0 - n0
-            if gap <= BRIDGE and shift <= BRIDGE and min(gap, shift) > -LEAST_RUN and (total := score[i] + n + max(gap, 0) + min(gap, shift, 0)) > score[j]:
-                score[j], first[j], came = total, first[i], i
+        for e0 in range(s - BRIDGE, s + LEAST_RUN):
+            for i in ending.get(e0, ()):
+                s0, p0, n0 = runs[i]
+                if p0 >= p or s0 >= s:
+                    continue
+                gap, shift = p - p0 - n0, s - e0
+                if gap <= BRIDGE and min(gap, shift) > -LEAST_RUN and (total := score[i] + n + max(gap, 0) + min(gap, shift, 0)) > score[j]:
+                    score[j], first[j], came = total, first[i], i
         if came >= 0:
             ends[came] = False
-    whole = []
-    for j, (s, p, n) in enumerate(runs):
-        s0, p0, _ = runs[first[j]]
-        if ends[j] and score[j] >= LEAST_STRETCH:
-            whole.append((s0, s + n, p0, p + n, score[j]))
+        ending.setdefault(s + n, []).append(j)
+    return sorted((runs[first[j]][0], s + n, runs[first[j]][1], p + n, score[j]) for j, (s, p, n) in enumerate(runs) if ends[j] and score[j] >= least)
+
+
+def _cover(passage: np.ndarray, text: np.ndarray, diagonals: np.ndarray) -> tuple[float, int, int] | None:
+    """Share of the passage that a chain of running stretches covers, and the chain's first and last letter in the text."""
+    runs = sorted((p + d, p, n) for d in diagonals.tolist() for p, n in _runs(passage, text, d).tolist())
+    whole = _stretches(runs, least_stretch(len(passage)))
     if not whole:
         return None
-    # the stretches that follow each other in the passage's order
-    whole.sort()
-    best = [w[4] for w in whole]
-    begin = [w[0] for w in whole]
-    for j, (s, _, p, _, n) in enumerate(whole):
-        for i, (_, e0, _, q0, _) in enumerate(whole[:j]):
+    # stretches that follow each other in the passage's order, by the best chain that ends at each letter of the passage
+    size = len(passage) + 1
+    closed, opened = np.zeros(size), np.zeros(size, np.int64)
+    running: list[tuple[int, int, float, int]] = []
+    best = (0.0, 0, 0)
+    for s, e, p, q, n in whole:
+        still = []
+        for e0, q0, total, begin in running:
+            if e0 > s:
+                still.append((e0, q0, total, begin))
+            elif total > closed[q0]:
+                closed[q0], opened[q0] = total, begin
+        running = still
+        total, begin = float(n), s
+        reach = min(size, p + max(1, n // 4))
+        laps = closed[:reach] - np.maximum(0, np.arange(reach) - p)
+        at = int(laps.argmax())
+        if closed[at] and n + laps[at] > total:
+            total, begin = n + float(laps[at]), int(opened[at])
+        for e0, q0, t0, b0 in running:
             lap = max(0, e0 - s, q0 - p)
-            if lap < n // 4 and best[i] + n - lap > best[j]:
-                best[j], begin[j] = best[i] + n - lap, begin[i]
-    j = max(range(len(best)), key=best.__getitem__)
-    return min(1.0, best[j] / max(1, len(passage))), begin[j], whole[j][1] - 1
+            if lap < n // 4 and t0 + n - lap > total:
+                total, begin = t0 + n - lap, b0
+        running.append((e, q, total, begin))
+        best = max(best, (total, begin, e - 1), key=lambda c: c[0])
+    return min(1.0, best[0] / max(1, len(passage))), best[1], best[2]
 
 
-_MATCH = T.ArrayType(T.StructType([
-    T.StructField("item_id", T.LongType()), T.StructField("coverage", T.DoubleType()), T.StructField("start_pos", T.IntegerType()), T.StructField("end_pos", T.IntegerType()),
-]))
-BATCH_CHARS = 2_000_000
+def least_stretch(letters: int) -> int:
+    """Shortest running stretch that counts in a passage of so many letters."""
+    return min(LEAST_STRETCH, int(LEAST_COVERAGE * letters))
 
 
-def leaks(documents: DataFrame, items: DataFrame) -> DataFrame:
-    """``(doc_id, item_id, coverage, start_pos, end_pos)`` for every document that holds about half or more of an item's passage as running text.
+# ---- the join ------------------------------------------------------------------
 
-    The passages are broadcast, ``BLOCK_LETTERS`` at a time; the documents are scanned once for each block and never shuffled. Null and empty texts and passages
-    match nothing; repeated rows give their rows again.
+BATCH_CHARS = 2_000_000
+#: Fingerprints of passages that are broadcast (16 bytes each); beyond that, both sides are shuffled by fingerprint.
+BROADCAST_PRINTS = 1_000_000
+#: Bits of the filter that tells which fingerprints the passages may have: 16 for each of them, within these powers of two.
+FILTER_POWERS = (16, 26)
+#: Candidates whose pairs of text and passage are broadcast.
+BROADCAST_PAIRS = 200_000
+
+
+def _chunks(texts: list[str]) -> Iterator[tuple[int, int]]:
+    begin = 0
+    while begin < len(texts):
+        end, size = begin, 0
+        while end < len(texts) and (end == begin or size + len(texts[end]) <= BATCH_CHARS):
+            size += len(texts[end])
+            end += 1
+        yield begin, end
+        begin = end
+
+
+def _prints(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, hash, place) of the fingerprints of all texts."""
+    letters, _, bounds = fold(texts)
+    at, hashes = winnow(letters, bounds)
+    text = np.searchsorted(bounds, at, "right") - 1
+    return text, hashes, at - bounds[text]
+
+
+def _passage_prints(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        ids, texts = batch["passage_id"].to_numpy(), batch["passage"].tolist()
+        for begin, end in _chunks(texts):
+            text, hashes, at = _prints(texts[begin:end])
+            each = np.bincount(text, minlength=end - begin)
+            yield pd.DataFrame({"passage_id": ids[begin:end][text], "hash": hashes.view(np.int64), "at": at.astype(np.int32), "prints": each[text].astype(np.int32)})
+
+
+def _filter(prints: DataFrame, count: int) -> np.ndarray:
+    """A set of bits, one for the lowest bits of each fingerprint. Its size is bounded, whatever the number of passages."""
+    low, high = FILTER_POWERS
+    bits = 1 << max(low, min(high, (16 * count).bit_length()))
+    slot = F.col("hash").bitwiseAND(F.lit(bits - 1))
+    rows = prints.groupBy(F.shiftright(slot, 6).alias("word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), slot.bitwiseAND(F.lit(63)).cast("int"))).alias("bits")).toPandas()
+    words = np.zeros(bits // 64, np.uint64)
+    words[rows["word"].to_numpy(np.int64)] = rows["bits"].to_numpy(np.int64).view(np.uint64)
+    return words
+
+
+def _known(words: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    slot = hashes & np.uint64(len(words) * 64 - 1)
+    return (words[(slot >> np.uint64(6)).astype(np.int64)] >> (slot & np.uint64(63)) & np.uint64(1)).astype(bool)
+
+
+def candidates(texts: DataFrame, prints: DataFrame, count: int, share: float | None = None) -> DataFrame:
+    """``(text_id, passage_id, diagonals)``: texts that have at least ``share`` of a passage's fingerprints, and how far text and passage are shifted at each.
+
+    ``texts`` has ``text_id`` and ``text``. Both sides meet on the fingerprint. Fingerprints of texts are first looked up in a filter of bounded size, so few of them
+    are more than read. Copies of a text have one ``text_id`` and are put together before the shuffle.
     """
-    rows = items.where(F.col("passage").rlike(r"\S")).select(F.col("item_id").cast("long").alias("item_id"), "passage", F.length("passage").alias("n"))
-    blocks: list[list] = [[]]
-    size = 0
-    for row in rows.orderBy("item_id").toLocalIterator():
-        if size + row.n > BLOCK_LETTERS and blocks[-1]:
-            blocks.append([])
-            size = 0
-        blocks[-1].append(row)
-        size += row.n
-    base = documents.where(F.col("text").rlike(r"\S")).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    out = None
-    for block in blocks:
-        part = _block(base, [r.item_id for r in block], [r.passage for r in block])
-        out = part if out is None else out.unionByName(part)
-    return out
+    words = texts.sparkSession.sparkContext.broadcast(_filter(prints, count))
+
+    def marks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            ids, found = batch["text_id"].to_numpy(), batch["text"].tolist()
+            for begin, end in _chunks(found):
+                text, hashes, at = _prints(found[begin:end])
+                kept = _known(words.value, hashes)
+                if kept.any():
+                    yield pd.DataFrame({"text_id": ids[begin:end][text[kept]], "hash": hashes[kept].view(np.int64), "place": at[kept].astype(np.int32)})
+
+    found = texts.mapInPandas(marks, "text_id long, hash long, place int")
+    met = found.join(F.broadcast(prints) if count <= BROADCAST_PRINTS else prints, "hash")
+    pairs = met.groupBy("text_id", "passage_id").agg(F.size(F.collect_set("at")).alias("shared"), F.max("prints").alias("prints"), F.collect_set(F.col("place") - F.col("at")).alias("diagonals"))
+    return pairs.where(F.col("shared") >= (CANDIDATE_SHARE if share is None else share) * F.col("prints")).select("text_id", "passage_id", "diagonals")
+
 
+_COVER = T.StructType([T.StructField("coverage", T.DoubleType()), T.StructField("start_pos", T.IntegerType()), T.StructField("end_pos", T.IntegerType())])
 
-def _block(base: DataFrame, ids: list[int], passages: list[str]) -> DataFrame:
-    shared = base.sparkSession.sparkContext.broadcast((ids, passages))
-
-    @F.pandas_udf(_MATCH)
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        known = Passages(*shared.value)
-        for series in batches:
-            texts = series.tolist()
-            out: list[list[dict]] = [[] for _ in texts]
-            begin = 0
-            while begin < len(texts):
-                end, size = begin, 0
-                while end < len(texts) and (end == begin or size + len(texts[end]) <= BATCH_CHARS):
-                    size += len(texts[end])
-                    end += 1
-                for t, item, coverage, a, b in known.matches(texts[begin:end]):
-                    out[begin + t].append({"item_id": item, "coverage": round(coverage, 4), "start_pos": a, "end_pos": b})
-                begin = end
-            yield pd.Series(out)
-
-    return base.select("doc_id", run.asNondeterministic()("text").alias("found")).select("doc_id", F.inline("found"))
+
+@F.pandas_udf(_COVER)
+def _extend(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+    for texts, passages, diagonals in batches:
+        rows = []
+        for text, passage, shifts in zip(texts, passages, diagonals):
+            letters, origin, _ = fold([text])
+            found = _cover(fold([passage])[0], letters, np.sort(np.asarray(shifts, np.int64)))
+            rows.append((round(found[0], 4), int(origin[found[1]]), int(origin[found[2]]) + 1) if found else (0.0, 0, 0))
+        yield pd.DataFrame(rows, columns=["coverage", "start_pos", "end_pos"])
+
+
+def leaks(documents: DataFrame, items: DataFrame, share: float | None = None) -> DataFrame:
+    """``(doc_id, item_id, coverage, start_pos, end_pos)`` for every document that holds about half or more of an item's passage as running text.
+
+    A stretch counts from ``LEAST_STRETCH`` letters on, or from the least coverage of a passage if that is shorter. A passage needs ``GRAM`` letters to have a
+    fingerprint, and ``WINDOW + GRAM - 1`` for the guarantee that a text that holds it has a common one. Null and empty texts and passages match nothing; repeated
+    documents give their rows again, repeated items count once, and an ``item_id`` with several passages gives a row for each that leaked. Other columns are ignored.
+    """
+    base = documents.where(F.col("text").rlike(r"\S")).select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_id"))
+    passages = cut(items.where(F.col("passage").rlike(r"\S")).select(F.col("item_id").cast("long").alias("item_id"), "passage").distinct().withColumn("passage_id", F.xxhash64("item_id", "passage")))
+    prints = cut(passages.select("passage_id", "passage").mapInPandas(_passage_prints, "passage_id long, hash long, at int, prints int"))
+    count = prints.count()
+    pairs = cut(candidates(base.select("text_id", "text"), prints, count, share))
+    few = F.broadcast if pairs.count() <= BROADCAST_PAIRS else (lambda df: df)
+    done = base.join(few(pairs), "text_id").join(passages, "passage_id").select("doc_id", "item_id", _extend.asNondeterministic()("text", "passage", "diagonals").alias("c"))
+    return done.where(F.col("c.coverage") >= LEAST_COVERAGE).select("doc_id", "item_id", "c.coverage", "c.start_pos", "c.end_pos")
