@@ -340,8 +340,8 @@ def test_long_stretches_are_bridged_and_mantras_take_no_time(spark):
 
 
 def test_hits_find_what_aligning_all_pairs_finds(spark):
-    """Every document whose id is divisible by 50 against every passage, on all diagonals."""
-    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").where("doc_id % 50 = 0")
+    """Every tenth document, those with an id divisible by 50 among them, against every passage, on all diagonals."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").where("doc_id % 10 = 0")
     items = spark.read.parquet("/root/testdata/sf0.1/eval_items.parquet")
     passages = {r.item_id: contamination.fold([r.passage])[0] for r in items.collect() if r.passage}
     places = defaultdict(list)
@@ -358,7 +358,7 @@ def test_hits_find_what_aligning_all_pairs_finds(spark):
             found = contamination._cover(passages[item], text, np.array(sorted(diagonals), np.int64))
             if found and found[0] >= contamination.LEAST_COVERAGE:
                 want.add((d.doc_id, item))
-    assert len(want) > 4
+    assert len(want) > 10
     got = {(r.doc_id, r.item_id) for r in contamination.leaks(docs, items).collect()}
     assert got <= want and len(got) >= 0.9 * len(want)
 
