@@ -29,7 +29,7 @@ def test_same_rows_as_sql(spark, name):
 
 
 def test_one_form():
-    same = [("ﬁn", "fin"), ("ｄｏｃ", "doc"), ("tаb", "tab"), ("дoчог", "дочог"), ("⻚边", "页边"), ("a b​", "a b"), ("ṣ", "ṣ"), ("ཪ༌", "ར་"), ("ནྰི", "ནཱི"), ("གྷ", "གྷ"), ("ཀཱི", "ཀཱི")]
+    same = [("гӏа", "гla"), ("ꓮꓐ", "AB"), ("Ꭺ", "A"), ("ո", "n"), ("ⲟ", "o"), ("ﬁn", "fin"), ("ｄｏｃ", "doc"), ("tаb", "tab"), ("дoчог", "дочог"), ("⻚边", "页边"), ("a b​", "a b"), ("ṣ", "ṣ"), ("ཪ༌", "ར་"), ("ནྰི", "ནཱི"), ("གྷ", "གྷ"), ("ཀཱི", "ཀཱི")]
     for a, b in same:
         assert unicode_forms.normalize_text(a) == unicode_forms.normalize_text(b), (a, b)
     for a, b in [("m²", "m2"), ("a", "A"), ("བོད།", "བོད"), ("མདིགས", "མདེགས"), ("½", "1/2")]:
@@ -54,6 +54,25 @@ def test_look_alike_pairs(spark):
     assert unicode_forms.look_alike_pairs(groups.limit(0)).count() == 0
 
 
+def test_one_spelling_with_half_of_all_records(spark):
+    """Salting changes nothing, and classes hold the same pairs."""
+    texts = [(i, "a b" if i % 2 else "a\u00a0b" if i % 5 else "a b\u200b" if i % 3 else f"text {i}") for i in range(120)]
+    fields = spark.createDataFrame(texts, "record_id long, original string").withColumn("field", F.lit("request")).select("field", "record_id", "original")
+    groups = unicode_forms.look_alike_groups(fields).cache()
+    form = {i: unicode_forms.normalize_text(t) for i, t in texts}
+    want = {(i, j) for i, t in texts for j, u in texts if i < j and t != u and form[i] == form[j]}
+    before = unicode_forms.PER_TASK, unicode_forms.BROADCAST_SPELLINGS
+    try:
+        unicode_forms.PER_TASK, unicode_forms.BROADCAST_SPELLINGS = 7, 0
+        rows = [(r.id_a, r.id_b) for r in unicode_forms.look_alike_pairs(groups).collect()]
+    finally:
+        unicode_forms.PER_TASK, unicode_forms.BROADCAST_SPELLINGS = before
+    assert want and len(rows) == len(want) and set(rows) == want
+    classes = {r.record_id: r for r in unicode_forms.look_alike_classes(groups).collect()}
+    assert {(i, j) for i, a in classes.items() for j, b in classes.items() if i < j and a.class_id == b.class_id and a.spelling_id != b.spelling_id} == want
+    assert all(r.records == len(classes) and r.spellings == 3 for r in classes.values())
+
+
 # ---- p2
 
 SENTENCES = [
@@ -282,6 +301,12 @@ def test_term_counts_against_counting(spark):
     assert term_counts.count_terms(df.limit(0), "t", "r").count() == 0
 
 
+def test_one_term_and_record_with_half_of_all_rows(spark):
+    rows = [("hot", 1, str(i % 900)) for i in range(1000)] + [(f"t{i % 50}", i % 7, str(i)) for i in range(1000)]
+    got = {r.term: (r.occurrences, r.records) for r in term_counts.count_terms(spark.createDataFrame(rows, "t string, r int, o string"), "t", "r", "o").collect()}
+    assert got["hot"] == (900, 1) and got["t3"] == (20, 7)
+
+
 # ---- p6
 
 

@@ -19,6 +19,11 @@ def p1_found(spark: SparkSession, folder: str) -> DataFrame:
     return unicode_forms.look_alike_pairs(cut(unicode_forms.look_alike_groups(fields)))
 
 
+def p1_classes(spark: SparkSession, folder: str) -> DataFrame:
+    fields = unicode_forms._fields(table(spark, folder, "word"), table(spark, folder, "check_requests"))
+    return unicode_forms.look_alike_classes(cut(unicode_forms.look_alike_groups(fields)))
+
+
 def p1_normalized(spark: SparkSession, folder: str) -> DataFrame:
     return unicode_forms.normalize_fields(table(spark, folder, "word"), table(spark, folder, "check_requests"))
 
@@ -81,4 +86,4 @@ def p8_residues(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p1_found, p1_normalized, p2_found, p2_sentences, p3_found, p3_paragraphs, p4_found, p4_restored, p5_found, p5_term_counts, p6_found, p6_leaks, p7_selection, p7_shares, p8_found, p8_residues)}
+    return {f.__name__: f for f in (p1_found, p1_classes, p1_normalized, p2_found, p2_sentences, p3_found, p3_paragraphs, p4_found, p4_restored, p5_found, p5_term_counts, p6_found, p6_leaks, p7_selection, p7_shares, p8_found, p8_residues)}

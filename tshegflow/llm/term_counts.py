@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: How many hash buckets of records a term's rows are spread over, so that a term that holds a third of all rows is still counted by many tasks.
-RECORD_BUCKETS = 64
+#: Into how many parts the records of a term, and the occurrences of a record, are hashed, so that a term or a record that holds a third of all rows is counted by many tasks.
+RECORD_BUCKETS, OCCURRENCE_BUCKETS = 64, 32
 RARE_BELOW = 3
 COMMON_SHARE = (1, 5)
 
@@ -14,27 +14,27 @@ COMMON_SHARE = (1, 5)
 def count_terms(rows: DataFrame, term: str, record: str, occurrence: str | None = None, buckets: int = RECORD_BUCKETS) -> DataFrame:
     """``(term, occurrences, records)`` for every distinct value of ``rows[term]``.
 
-    Rows are hash-partitioned by term and record bucket and ordered by record; a counter per term then only compares each row with the
-    record (and occurrence id) it saw last, so no set of records is ever held. A record falls into one bucket, hence the buckets' counts add up.
+    Rows are combined to one for each term, record and part of the occurrence ids first; each part's rows are ordered by id, so that a counter only compares each
+    id with the one it saw last. What is left is hash-partitioned by term and record bucket and ordered by record, and a counter for each term only compares each
+    record with the one it saw last: no set of records or ids is ever held. A record falls into one bucket, hence the buckets' counts add up.
 
     ``occurrence`` names a row id: rows that repeat an id within a term and record count once. Rows with a null term are left out; the
     empty string is a term like any other. A null record adds occurrences but no record. A null occurrence id always counts. An empty table gives no rows.
-    Other columns of ``rows`` are ignored, whatever their names.
+    Other columns of ``rows`` are ignored, whatever their names. Records and ids are told apart by 128-bit fingerprints.
     """
-    id_ = F.col(occurrence) if occurrence else F.lit(None)
-    base = rows.select(F.col(term).alias("term"), F.col(record).alias("record"), id_.cast("string").alias("occurrence")).where(F.col("term").isNotNull())
-    base = base.withColumn("bucket", F.pmod(F.xxhash64("record"), F.lit(buckets)))
+    print_ = lambda name: F.unhex(F.md5(F.col(name).cast("string")))
+    base = rows.where(F.col(term).isNotNull()).select(F.col(term).alias("term"), print_(record).alias("record"), (print_(occurrence) if occurrence else F.lit(None).cast("binary")).alias("occurrence"))
+    base = base.withColumn("bucket", F.pmod(F.xxhash64("record"), F.lit(buckets)).cast("int"))
     if occurrence is None:
-        base = base.groupBy("term", "bucket", "record").agg(F.count(F.lit(1)).alias("n"))
-        is_new: Column = F.col("n")
+        counted = base.groupBy("term", "bucket", "record").agg(F.count(F.lit(1)).alias("n"))
     else:
-        is_new = F.when(F.col("occurrence").isNull() | ~F.col("last_record").eqNullSafe(F.col("record")) | ~F.col("last_occurrence").eqNullSafe(F.col("occurrence")), 1).otherwise(0)
-    seen = Window.partitionBy("term", "bucket").orderBy("record", "occurrence") if occurrence else Window.partitionBy("term", "bucket").orderBy("record")
-    counted = base.withColumn("last_record", F.lag("record").over(seen))
-    if occurrence:
-        counted = counted.withColumn("last_occurrence", F.lag("occurrence").over(seen))
-    new_record = F.when(F.col("record").isNotNull() & ~F.col("last_record").eqNullSafe(F.col("record")), 1).otherwise(0)
-    partial = counted.groupBy("term", "bucket").agg(F.sum(is_new).alias("occurrences"), F.sum(new_record).alias("records"))
+        parted = base.withColumn("part", F.pmod(F.xxhash64("occurrence"), F.lit(OCCURRENCE_BUCKETS)).cast("int"))
+        last = Window.partitionBy("term", "bucket", "part").orderBy("record", "occurrence")
+        same = F.col("occurrence").isNotNull() & F.lag("record").over(last).eqNullSafe(F.col("record")) & F.lag("occurrence").over(last).eqNullSafe(F.col("occurrence")) & (F.row_number().over(last) > 1)
+        counted = parted.withColumn("again", same).where(~F.col("again")).groupBy("term", "bucket", "part", "record").agg(F.count(F.lit(1)).alias("n"))
+    seen = Window.partitionBy("term", "bucket").orderBy("record")
+    is_new = F.when(F.col("record").isNotNull() & ~F.lag("record").over(seen).eqNullSafe(F.col("record")), 1).otherwise(0)
+    partial = counted.select("term", "bucket", "record", "n").withColumn("new", is_new).groupBy("term", "bucket").agg(F.sum("n").alias("occurrences"), F.sum("new").alias("records"))
     return partial.groupBy("term").agg(F.sum("occurrences").cast("long").alias("occurrences"), F.sum("records").cast("long").alias("records"))
 
 

@@ -17,6 +17,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..sources.lineage import cut
+
 # Compatibility decompositions whose two sides look the same.
 SAME_LOOKING_TAGS = {"wide", "narrow", "noBreak", "compat", "initial", "medial", "final", "isolated"}
 
@@ -29,7 +31,13 @@ GREEK_LOOKALIKES = {
     "ο": "o", "ν": "v",
     "Α": "A", "Β": "B", "Ε": "E", "Ζ": "Z", "Η": "H", "Ι": "I", "Κ": "K", "Μ": "M", "Ν": "N", "Ο": "O", "Ρ": "P", "Τ": "T", "Υ": "Y", "Χ": "X",
 }
-OTHER_LOOKALIKES = {"ɑ": "a", "ɡ": "g", "օ": "o", "‐": "-", "‑": "-", "ʼ": "’"}
+OTHER_LOOKALIKES = {
+    "ɑ": "a", "ɡ": "g", "‐": "-", "‑": "-", "ʼ": "’", "ӏ": "l", "Ӏ": "I",
+    "օ": "o", "ո": "n", "ս": "u", "հ": "h", "յ": "j", "զ": "q", "Օ": "O", "Ս": "U",
+    "ⲟ": "o", "ⲣ": "p", "ⲥ": "c", "Ⲟ": "O", "Ⲣ": "P", "Ⲥ": "C", "Ⲏ": "H", "Ⲓ": "I", "Ⲕ": "K", "Ⲙ": "M", "Ⲛ": "N", "Ⲧ": "T", "Ⲭ": "X",
+    "Ꭰ": "D", "Ꭱ": "R", "Ꭲ": "T", "Ꭺ": "A", "Ꭻ": "J", "Ꭼ": "E", "Ꮃ": "W", "Ꮇ": "M", "Ꮋ": "H", "Ꮐ": "G", "Ꮓ": "Z", "Ꮩ": "V", "Ꮪ": "S", "Ꮮ": "L", "Ꮯ": "C", "Ꮲ": "P", "Ꮶ": "K", "Ᏼ": "B",
+    "ꓐ": "B", "ꓑ": "P", "ꓓ": "D", "ꓔ": "T", "ꓖ": "G", "ꓗ": "K", "ꓙ": "J", "ꓚ": "C", "ꓜ": "Z", "ꓝ": "F", "ꓠ": "N", "ꓡ": "L", "ꓢ": "S", "ꓣ": "R", "ꓦ": "V", "ꓧ": "H", "ꓪ": "W", "ꓫ": "X", "ꓬ": "Y", "ꓮ": "A", "ꓰ": "E", "ꓲ": "I", "ꓳ": "O", "ꓴ": "U",
+}
 
 # Tibetan characters that a reader cannot tell apart.
 TIBETAN_LOOKALIKES = {"༌": "་", "ཪ": "ར", "ྰ": "ཱ", "ༀ": "ཨོཾ", "༎": "།།"}
@@ -186,18 +194,43 @@ def look_alike_groups(fields: DataFrame) -> DataFrame:
     return kept.select("field", F.unhex(F.sha2(normalized(F.col("original")), 256)).alias("form"), F.unhex(F.sha2("original", 256)).alias("spelling"), "record_id")
 
 
+#: Records of one spelling that one task joins; a spelling with more is spread over so many tasks as it needs.
+PER_TASK = 50_000
+#: Spellings of forms with several of them that are broadcast to the records (about 100 bytes each).
+BROADCAST_SPELLINGS = 500_000
+
+
+def _several(groups: DataFrame) -> DataFrame:
+    """``(field, form, spelling, n)`` of the spellings whose form has several, with the number of their records."""
+    spellings = groups.groupBy("field", "form", "spelling").agg(F.count(F.lit(1)).alias("n"))
+    forms = spellings.groupBy("field", "form").agg(F.min("spelling").alias("least"), F.max("spelling").alias("most")).where("least <> most").select("field", "form")
+    return spellings.join(forms, ["field", "form"], "left_semi")
+
+
 def look_alike_pairs(groups: DataFrame) -> DataFrame:
     """``(field, id_a, id_b)``: records of one field whose texts have the same form but are spelled differently.
 
-    Pairs are formed between distinct spellings first, so any number of exact copies costs only the pairs that come out.
-    ``groups`` is read several times: pass it with its lineage cut.
+    Pairs are formed between distinct spellings first, so any number of exact copies costs only the pairs that come out. A spelling with many records is salted by
+    its records. ``groups`` is read several times: pass it with its lineage cut. Where the pairs are too many to be wanted, see ``look_alike_classes``.
     """
-    spellings = groups.groupBy("field", "form", "spelling").agg(F.count(F.lit(1)).alias("n")).drop("n")
-    several = spellings.groupBy("field", "form").agg(F.min("spelling").alias("least"), F.max("spelling").alias("most")).where("least <> most").select("field", "form")
-    kept = groups.join(several, ["field", "form"], "left_semi")
-    a, b = (spellings.select("field", "form", F.col("spelling").alias(x)) for x in ("spelling_a", "spelling_b"))
-    pairs = a.join(b, ["field", "form"]).where("spelling_a < spelling_b")
-    left = kept.select("field", "form", F.col("spelling").alias("spelling_a"), F.col("record_id").alias("left_id"))
-    right = kept.select("field", "form", F.col("spelling").alias("spelling_b"), F.col("record_id").alias("right_id"))
-    met = pairs.join(left, ["field", "form", "spelling_a"]).join(right, ["field", "form", "spelling_b"])
+    several = cut(_several(groups))
+    few = F.broadcast if several.count() <= BROADCAST_SPELLINGS else (lambda df: df)
+    tasks = F.floor(F.col("n") / PER_TASK).cast("int")
+    records = groups.join(few(several), ["field", "form", "spelling"]).withColumn("salt", F.pmod(F.xxhash64("record_id"), tasks + 1).cast("int"))
+    a, b = (several.select("field", "form", F.col("spelling").alias(f"spelling_{x}"), tasks.alias(f"tasks_{x}")) for x in "ab")
+    pairs = a.join(b, ["field", "form"]).where("spelling_a < spelling_b").withColumn("salt_a", F.explode(F.sequence(F.lit(0), "tasks_a")))
+    left, right = (records.select("field", "form", F.col("spelling").alias(f"spelling_{x}"), F.col("salt").alias(f"salt_{x}"), F.col("record_id").alias(f"id_{x}")) for x in "ab")
+    half = pairs.join(left.withColumnRenamed("id_a", "left_id"), ["field", "form", "spelling_a", "salt_a"]).withColumn("salt_b", F.explode(F.sequence(F.lit(0), "tasks_b")))
+    met = half.join(right.withColumnRenamed("id_b", "right_id"), ["field", "form", "spelling_b", "salt_b"])
     return met.select("field", F.least("left_id", "right_id").alias("id_a"), F.greatest("left_id", "right_id").alias("id_b")).where("id_a < id_b")
+
+
+def look_alike_classes(groups: DataFrame) -> DataFrame:
+    """``(field, record_id, class_id, spelling_id, spellings, records)`` for every record whose form is spelled in several ways: the pairs, without writing them out.
+
+    Two records are a pair if they share ``class_id`` and differ in ``spelling_id``; each is the least record id of its class or spelling.
+    """
+    spelled = groups.groupBy("field", "form", "spelling").agg(F.count(F.lit(1)).alias("n"), F.min("record_id").alias("spelling_id"))
+    classes = spelled.groupBy("field", "form").agg(F.min("spelling_id").alias("class_id"), F.count(F.lit(1)).alias("spellings"), F.sum("n").alias("records")).where("spellings > 1")
+    few = F.broadcast if (named := cut(spelled.join(classes, ["field", "form"]).drop("n"))).count() <= BROADCAST_SPELLINGS else (lambda df: df)
+    return groups.join(few(named), ["field", "form", "spelling"]).select("field", "record_id", "class_id", "spelling_id", "spellings", "records")
