@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from tests.llm import residue_cases
 from tests.oracle import connect, duckdb_rows, spark_rows
 
-from tshegflow.llm import contamination, mixing, mojibake, notices, oracles, queries, residue, scan_repair, sentences, term_counts, triggers, unicode_forms
+from tshegflow.llm import bits, contamination, mixing, mojibake, notices, oracles, queries, residue, scan_repair, sentences, term_counts, triggers, unicode_forms
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -332,12 +332,12 @@ def test_leaks(spark):
     frame = spark.createDataFrame([*docs.items()], "doc_id long, text string").withColumn("item_id", F.lit(0))
     want = {(2, 1), (3, 1), (5, 1), (9, 1), (9, 2), (10, 1)}
     assert {(r.doc_id, r.item_id) for r in contamination.leaks(frame, items).collect()} == want
-    before = contamination.BROADCAST_PRINTS, contamination.BROADCAST_PAIRS, contamination.FILTER_POWERS
+    before = contamination.BROADCAST_PRINTS, contamination.BROADCAST_PAIRS, bits.POWERS
     try:
-        contamination.BROADCAST_PRINTS, contamination.BROADCAST_PAIRS, contamination.FILTER_POWERS = 0, 0, (6, 7)  # shuffled, behind a filter that lets most through
+        contamination.BROADCAST_PRINTS, contamination.BROADCAST_PAIRS, bits.POWERS = 0, 0, (6, 7)  # shuffled, behind a filter that lets most through
         assert {(r.doc_id, r.item_id) for r in contamination.leaks(frame, items).collect()} == want
     finally:
-        contamination.BROADCAST_PRINTS, contamination.BROADCAST_PAIRS, contamination.FILTER_POWERS = before
+        contamination.BROADCAST_PRINTS, contamination.BROADCAST_PAIRS, bits.POWERS = before
     assert contamination.leaks(frame, items.limit(0)).count() == 0 and contamination.leaks(frame.limit(0), items).count() == 0
     twice = contamination.leaks(frame.unionByName(frame.where("doc_id = 2")), items.unionByName(items))
     assert sorted((r.doc_id, r.item_id) for r in twice.collect()) == sorted([*want, (2, 1)])

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..sources.lineage import cut
+from . import bits
 
 GRAM, WINDOW = 12, 8
 #: An ideograph counts as so many letters.
@@ -203,8 +204,6 @@ def least_stretch(letters: int) -> int:
 BATCH_CHARS = 2_000_000
 #: Fingerprints of passages that are broadcast (16 bytes each); beyond that, both sides are shuffled by fingerprint.
 BROADCAST_PRINTS = 1_000_000
-#: Bits of the filter that tells which fingerprints the passages may have: 16 for each of them, within these powers of two.
-FILTER_POWERS = (16, 26)
 #: Candidates whose pairs of text and passage are broadcast.
 BROADCAST_PAIRS = 200_000
 
@@ -237,36 +236,20 @@ def _passage_prints(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             yield pd.DataFrame({"passage_id": ids[begin:end][text], "hash": hashes.view(np.int64), "at": at.astype(np.int32), "prints": each[text].astype(np.int32)})
 
 
-def _filter(prints: DataFrame, count: int) -> np.ndarray:
-    """A set of bits, one for the lowest bits of each fingerprint. Its size is bounded, whatever the number of passages."""
-    low, high = FILTER_POWERS
-    bits = 1 << max(low, min(high, (16 * count).bit_length()))
-    slot = F.col("hash").bitwiseAND(F.lit(bits - 1))
-    rows = prints.groupBy(F.shiftright(slot, 6).alias("word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), slot.bitwiseAND(F.lit(63)).cast("int"))).alias("bits")).toPandas()
-    words = np.zeros(bits // 64, np.uint64)
-    words[rows["word"].to_numpy(np.int64)] = rows["bits"].to_numpy(np.int64).view(np.uint64)
-    return words
-
-
-def _known(words: np.ndarray, hashes: np.ndarray) -> np.ndarray:
-    slot = hashes & np.uint64(len(words) * 64 - 1)
-    return (words[(slot >> np.uint64(6)).astype(np.int64)] >> (slot & np.uint64(63)) & np.uint64(1)).astype(bool)
-
-
 def candidates(texts: DataFrame, prints: DataFrame, count: int, share: float | None = None) -> DataFrame:
     """``(text_id, passage_id, diagonals)``: texts that have at least ``share`` of a passage's fingerprints, and how far text and passage are shifted at each.
 
     ``texts`` has ``text_id`` and ``text``. Both sides meet on the fingerprint. Fingerprints of texts are first looked up in a filter of bounded size, so few of them
     are more than read. Copies of a text have one ``text_id`` and are put together before the shuffle.
     """
-    words = texts.sparkSession.sparkContext.broadcast(_filter(prints, count))
+    words = texts.sparkSession.sparkContext.broadcast(bits.build(prints, count))
 
     def marks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             ids, found = batch["text_id"].to_numpy(), batch["text"].tolist()
             for begin, end in _chunks(found):
                 text, hashes, at = _prints(found[begin:end])
-                kept = _known(words.value, hashes)
+                kept = bits.contains(words.value, hashes)
                 if kept.any():
                     yield pd.DataFrame({"text_id": ids[begin:end][text[kept]], "hash": hashes[kept].view(np.int64), "place": at[kept].astype(np.int32)})
 

@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from math import log
 
 import pandas as pd
@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..sources.lineage import cut
+from . import bits
 
 #: Marks that scanning puts between or in the place of characters.
 SPECKS = "·'.,|!lI"
@@ -553,44 +554,57 @@ _OUT = T.StructType([
 ])
 
 
-class _Everything(dict):
-    """Words that are all known; notes which are asked for."""
+class _Maybe(dict):
+    """Words that may be known; notes which are asked for."""
 
-    def __init__(self):
+    def __init__(self, known: bits.Probe):
         super().__init__()
+        self.known = known
         self.asked: set[str] = set()
 
     def __contains__(self, word: object) -> bool:
-        self.asked.add(word)
-        return True
+        if word in self.asked:
+            return True
+        if self.known(word_hash(word)):
+            self.asked.add(word)
+            return True
+        return False
 
     def get(self, word: str, default: int = 0) -> int:
-        self.asked.add(word)
-        return 1
+        return 1 if word in self else default
+
+
+def word_hash(word: str) -> int:
+    """What the JVM's xxhash64 gives for a string, without its sign."""
+    return xxhash.xxh64_intdigest(word, seed=42)
 
 
 class _Asking(PageReader):
-    """Notes the words that a reader may ask for, whichever of them are known."""
+    """Notes the words that a reader may ask for, of those that may be known."""
 
-    def __init__(self, channel: dict[tuple[str, str], float], longest: int):
-        super().__init__(Model(_Everything(), {}, 1, channel, Spelling({}, {}), longest))
+    def __init__(self, known: bits.Probe, channel: dict[tuple[str, str], float], longest: int):
+        super().__init__(Model(_Maybe(known), {}, 1, channel, Spelling({}, {}), longest))
         self.asked = self.model.words.asked
         self.joins = False
         self.seen: set[str] = set()
 
+    def ask(self, words: Iterable[str]) -> None:
+        for w in words:
+            self.model.words.get(w)
+
     def _broken(self, left: str, right: str, mark: str) -> bool:
         if mark in "¬\u00ad":
             return True
         self.undecided = True
         a, b = left.lower(), right.lower()
         head = a.rpartition("-")[2]
-        self.asked.update((a + b, head + b, f"{a}-{b}", head, b, *(w for w, _ in variants(a + b, self.model.meant))))
+        self.ask((a + b, head + b, f"{a}-{b}", head, b, *(w for w, _ in variants(a + b, self.model.meant))))
         return self.joins
 
     def _speckled(self, chunk: str) -> list[Reading]:
         letters = _RUN.split(chunk)[::2]
-        self.asked.update(word for i in range(len(letters)) for word, _, _ in self._arcs(letters, i) if word)
-        self.asked.update(mark_key("tibetan", c) for c in SPECKS)
+        self.ask(word for i in range(len(letters)) for word, _, _ in self._arcs(letters, i) if word)
+        self.ask(mark_key("tibetan", c) for c in SPECKS)
         return []
 
     def words(self, text: str, titles: list[int]) -> None:
@@ -602,7 +616,7 @@ class _Asking(PageReader):
                 if len(self.seen) > CACHED:
                     self.seen.clear()
                 self.seen.add(m.group())
-                self.asked.update(w for ws, _ in self.options(m, m.group().lower()) for w in ws)
+                self.ask(w for ws, _ in self.options(m, m.group().lower()) for w in ws)
             if not self.undecided:
                 break
 
@@ -802,15 +816,19 @@ class Corpus:
         self.counts = cut(texts.mapInPandas(_partial_counts, "word string, pair long, n long").groupBy("word", "pair").agg(F.sum("n").alias("n")))
         row = self.counts.agg(F.sum(F.when(_is_word(), F.col("n"))).alias("total"), F.max(F.when(F.col("word").rlike("^[ཀ-ྼ]"), F.length("word"))).alias("longest")).first()
         self.total, self.longest = int(row.total or 0), int(row.longest or 0)
+        size = self.counts.agg(F.count("word").alias("words"), F.count("pair").alias("pairs")).first()
+        self.known_words = bits.build(self.counts.select(F.when(F.col("word").isNotNull(), F.xxhash64("word")).alias("hash")), size.words)
+        self.known_pairs = bits.build(self.counts.select(F.col("pair").alias("hash")), size.pairs)
         self.spelling = learn_spelling(self.counts)
         self.channel = learn_channel(self.counts, scans, self.total, self.spelling)
 
     def model(self, scans: DataFrame) -> Model | None:
         """The words and pairs that ``scans`` can ask for: nothing else of the counts could change a reading. None if they are more than ``MODEL_ENTRIES``."""
         channel, longest = self.channel, self.longest
+        probes = scans.sparkSession.sparkContext.broadcast((self.known_words, self.known_pairs))
 
         def words_asked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            reader = _Asking(channel, longest)
+            reader = _Asking(bits.Probe(probes.value[0]), channel, longest)
             for batch in batches:
                 for text, titles in zip(batch["text"], batch["titles"]):
                     reader.words(text, _numbers(titles))
@@ -829,15 +847,15 @@ class Corpus:
         shared = scans.sparkSession.sparkContext.broadcast(words)
 
         def pairs_asked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            reader, asked = _Pairing(shared.value, channel, longest), set()
+            reader, asked, known = _Pairing(shared.value, channel, longest), set(), bits.Probe(probes.value[1])
             for batch in batches:
                 for text, titles in zip(batch["text"], batch["titles"]):
-                    asked |= reader.pairs(text, _numbers(titles))
+                    asked.update(key for p in reader.pairs(text, _numbers(titles)) if known(key := pair_key(*p)))
                     if len(asked) > CACHED:
-                        yield pd.DataFrame({"pair": [pair_key(*p) for p in asked]})
+                        yield pd.DataFrame({"pair": [*asked]})
                         asked.clear()
             if asked:
-                yield pd.DataFrame({"pair": [pair_key(*p) for p in asked]})
+                yield pd.DataFrame({"pair": [*asked]})
 
         near = read.mapInPandas(pairs_asked, "pair long").distinct()
         met = self._few(self.counts.where(F.col("pair").isNotNull()).select("pair", "n").join(near, "pair", "left_semi"))
