@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
+import re
+
+from pyspark.sql import functions as F
+
 from tshegflow.functions import letters as L
+from tshegflow.functions import text as X
 from tshegflow.operators import lexicon, syllables
 from tshegflow.plans import synthetic
 from tshegflow.streaming.checks import check_stream
@@ -59,6 +64,34 @@ def test_particles(spark):
     assert sorted(check_stream(texts).collect(), key=key) == sorted(found.where("severity <> 'info'").collect(), key=key)
 
 
+def test_syllables_beyond_the_broadcast(spark):
+    """The most frequent syllables are looked up and the others judged in place: the rows stay the same."""
+    texts = synthetic.texts(spark, "/root/testdata/sf0.001").unionByName(spark.createDataFrame([(-1, "ཡིབ་abc་ཀིུ"), (-2, "ནའང་ གི་x"), (-3, None)], "doc_id long, text string"))
+    inventory = spark.createDataFrame([("བོད",), ("གཀར",), ("ཀྱི",), (None,)], "syllable string")
+    before = syllables.BROADCAST_SYLLABLES
+    try:
+        rows = []
+        for most in (before, 3, 0):
+            syllables.BROADCAST_SYLLABLES = most
+            rows.append(sorted(map(str, syllables.check_texts(texts, inventory).collect())))
+    finally:
+        syllables.BROADCAST_SYLLABLES = before
+    assert rows[0] and rows[0] == rows[1] == rows[2]
+
+
+def test_tokens_stand_where_their_letters_are(spark):
+    """Against the definition, for texts that normalisation changes and for others, shorter and longer than a chunk."""
+    cases = ["", "་་", "བོད་ཡིག", " བོད\u200b་ཡིག། abc", "གྷ་ཀ", "é ü་中文 字", "डॉ. क़ ख", "བོད་" * 200, "།\n" + "ཀ ཁ་" * 333, None]
+    texts = spark.createDataFrame([*enumerate(cases)], "doc_id long, text string").withColumn("token_no", F.lit("clash"))
+    got = {}
+    for r in syllables.tokenize(texts).orderBy("doc_id", "token_no").collect():
+        got.setdefault(r.doc_id, []).append((r.syllable, r.position, r.before))
+    for i, text in enumerate(cases):
+        normal, places = X.position_map_of(text or "")
+        found = [(m.group(), places[m.start()]) for m in re.finditer(f"[^{L.TOKEN_DELIMITERS}]+", normal)]
+        assert got.get(i, []) == [(s, p, found[k - 1][0] if k else None) for k, (s, p) in enumerate(found)]
+
+
 def test_null_empty_long_and_extra_columns(spark):
     long = "བོད་ཡིག་" * 60_000
     texts = spark.createDataFrame([(1, None, "x", 1), (2, "", "x", 2), (3, long, "x", 3), (3, long, "x", 3)], "doc_id long, text string, error_type string, parts int")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
 
 from hypothesis import given, settings
@@ -80,3 +81,11 @@ def test_keyword_in_context(spark):
     df = spark.createDataFrame([("0123456789abcdefghijklmnopqrstuvwxyz", 22, "mn"), ("abc", 0, "ab"), ("abc", 2, "cde")], "t string, p int, w string")
     got = [r[0] for r in df.select(X.keyword_in_context(F.col("t"), F.col("p"), F.col("w"), 4)).collect()]
     assert got == ["ijkl[mn]opqr", "[ab]c", "ab[c]"]
+
+
+def test_stable_characters_are_left_alone():
+    """Every one, and every two of them in a row, is in NFC; the block's own cases are tested above."""
+    stable = [c for c in map(chr, range(0x10000)) if re.fullmatch(f"[{X.STABLE}]", c)]
+    assert all(unicodedata.is_normalized("NFC", c) and not unicodedata.combining(c) for c in stable if c not in "\u094d")
+    later = [c for c in stable if unicodedata.category(c).startswith("M")]
+    assert all(unicodedata.normalize("NFC", a + b) == a + b for a in stable for b in later)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
@@ -15,8 +16,15 @@ from . import letters as L
 
 _SUBJOINED_CHARS = "".join(map(chr, range(0xF90, 0xFBD)))
 _BASE_CHARS = "".join(chr(c - 0x50) for c in range(0xF90, 0xFBD))
-#: What may not be in NFC yet: the block's composition exclusions, two marks in a row, and whatever lies beyond ASCII and the block.
-_MAYBE_UNSTABLE = f"[^\\u0000-\\u007f{L.BLOCK}]|[{L.NOT_NFC}]|[\\u0f39\\u0f71\\u0f72\\u0f74\\u0f7a-\\u0f7d\\u0f80\\u0f84][\\u0f39\\u0f71-\\u0f84]"
+#: Characters that NFC leaves alone in any order: letters and signs that neither combine nor are taken apart.
+STABLE = "\u0000-\u007f\u00a0-\u017f\u0400-\u045f\u0904-\u0928\u092a-\u0930\u0932\u0933\u0935-\u0939\u093d-\u0950\u0964-\u0970\u2010-\u2027\u2030-\u205e\u3000-\u3029\u4e00-\u9fff\uff01-\uff5e"
+#: What may not be in NFC yet: other characters, the block's composition exclusions, and two marks in a row.
+_MAYBE_UNSTABLE = f"[^{STABLE.replace(chr(0), chr(92) + 'u0000')}{L.BLOCK}]|[{L.NOT_NFC}]|[\\u0f39\\u0f71\\u0f72\\u0f74\\u0f7a-\\u0f7d\\u0f80\\u0f84][\\u0f39\\u0f71-\\u0f84]"
+
+
+def may_change(text: Column) -> Column:
+    """Whether NFC or the loss of zero-width characters could change ``text``; false only if they cannot."""
+    return text.rlike(_MAYBE_UNSTABLE)
 
 
 @F.pandas_udf(T.StringType())
@@ -48,11 +56,16 @@ def _begins(char: str) -> bool:
     return unicodedata.is_normalized("NFC", char) and not unicodedata.category(char).startswith("M")
 
 
+_HIDDEN = re.compile(f"[{L.ZERO_WIDTH}]")
+
+
 def position_map_of(text: str) -> tuple[str, list[int]]:
     """The normalised text and, for each of its characters, the place in ``text`` it comes from: what a prefix of ``text`` adds to the length of its NFC."""
     out = unicodedata.normalize("NFC", text)
     if out == text:
         places = range(len(text))
+        if not _HIDDEN.search(text):
+            return text, [*places]
     else:
         # a character that neither combines nor is taken apart begins anew, so NFC grows from there on its own
         places, done, start, settled = [], 0, 0, 0

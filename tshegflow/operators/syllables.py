@@ -22,11 +22,12 @@ from ..sources.lineage import cut
 
 B, S, V = f"[{L.BASE}]", f"[{L.SUBJOINED}]", f"[{L.VOWEL}]"
 PARTS = ("prefix", "superscript", "root", "subscripts", "vowel", "suffix", "suffix_vowel", "post_suffix", "unparsed")
-#: Most distinct syllables whose outcomes are broadcast; beyond it, tokens and outcomes are joined by a shuffle.
+#: Syllables whose outcomes are broadcast, the most frequent ones. Rarer ones are judged where they stand.
 BROADCAST_SYLLABLES = 300_000
 
 _TOKENS = T.StructType([T.StructField("syllables", T.ArrayType(T.StringType())), T.StructField("positions", T.ArrayType(T.IntegerType()))])
 _PIECE = re.compile(f"[^{L.TOKEN_DELIMITERS}]+")
+_D = L.TOKEN_DELIMITERS
 
 
 @F.pandas_udf(_TOKENS)
@@ -42,9 +43,10 @@ def _tokens(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
 
 
 def tokenize(texts: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``(key, token_no, syllable, position, before)``: the syllables of each text, their places in the text as it stands, and the token before each.
+    """``(doc_id, token_no, syllable, position, before)``: the tokens of each text, where they start in it, and the token before.
 
-    Null and empty texts have no tokens. Texts with one key are separate texts only if the key is unique.
+    Null and empty texts have no tokens. Texts with one key are separate texts only if the key is unique. Places are found in Arrow batches: adding up lengths by
+    higher-order functions of the JVM took twice the time of the whole query.
     """
     base = texts.select(F.col(key).alias("doc_id"), _tokens.asNondeterministic()(F.col(text)).alias("t"))
     each = F.transform("t.syllables", lambda s, i: F.struct(s.alias("syllable"), F.get("t.positions", i).alias("position"), F.get("t.syllables", i - 1).alias("before")))
@@ -52,8 +54,9 @@ def tokenize(texts: DataFrame, key: str = "doc_id", text: str = "text") -> DataF
 
 
 def distinct_syllables(texts: DataFrame, text: str = "text") -> DataFrame:
-    """``(syllable)``: the distinct tokens of all texts, without their places and without leaving the JVM where texts are in NFC."""
-    return texts.select(F.explode(F.regexp_extract_all(X.normalize(F.col(text)), F.lit(f"[^{L.TOKEN_DELIMITERS}]+"), 0)).alias("syllable")).distinct()
+    """``(syllable, n)``: the distinct tokens with Tibetan letters, without leaving the JVM where texts are in NFC. Others need no outcome."""
+    each = texts.select(F.explode(F.regexp_extract_all(X.normalize(F.col(text)), F.lit(f"[^{_D}]+"), 0)).alias("syllable"))
+    return each.where(X.has_tibetan(F.col("syllable"))).groupBy("syllable").agg(F.count(F.lit(1)).alias("n"))
 
 
 def _class(chars: str) -> str:
@@ -202,6 +205,9 @@ def component_fault(parts: Column) -> Column:
     )
 
 
+OUTCOME = ("kind", "parts", "error_type", "severity", "component", "corpus_hit", "context")
+
+
 def outcomes(syllables: DataFrame, inventory: DataFrame | None = None) -> DataFrame:
     """For each distinct non-null ``syllable``: ``kind``, ``parts``, ``error_type``, ``severity``, ``component``, ``corpus_hit``, ``context``.
 
@@ -225,9 +231,11 @@ def judge(parsed: DataFrame, inventory: DataFrame | None = None) -> DataFrame:
     if inventory is None:
         base = base.withColumn("_hit", F.lit(None).cast("boolean"))
     else:
-        known = inventory.select(F.col(inventory.columns[0]).alias("syllable")).distinct().withColumn("_known", F.lit(True))
+        known = inventory.select(F.col(inventory.columns[0]).alias("_entry")).where(F.col("_entry").isNotNull()).distinct().withColumn("_known", F.lit(True))
         any_ = known.limit(1).agg((F.count(F.lit(1)) > 0).alias("_available"))
-        base = base.join(known, "syllable", "left").crossJoin(F.broadcast(any_))
+        # rows without a syllable ask for nothing, each by a key of its own, so that they do not gather in one task
+        asked = F.coalesce(x, F.concat(F.lit("\0"), F.rand().cast("string")))
+        base = base.withColumn("_asked", asked).join(known, F.col("_asked") == F.col("_entry"), "left").drop("_asked", "_entry").crossJoin(F.broadcast(any_))
         base = base.withColumn("_hit", F.when(F.col("_available"), F.coalesce("_known", F.lit(False)))).drop("_known", "_available")
     unknown = F.when((F.col("kind") == "syllable") & F.col("_plain").isNull() & F.col("_component").isNull() & ~F.col("_hit"), F.struct(F.lit("unknown_word").alias("error_type"), F.lit("warning").alias("severity"), _no_part().alias("component")))
     fault = F.coalesce("_plain", "_component", unknown)
@@ -263,16 +271,35 @@ def particle_fault(syllable: Column, context: Column) -> Column:
 # ---- texts ------------------------------------------------------------------
 
 
-def checked_tokens(tokens: DataFrame, inventory: DataFrame | None = None, known: DataFrame | None = None) -> DataFrame:
-    """``tokens`` with the outcome of each syllable and the context that the token before it gives. ``known`` are outcomes that are there already."""
+def known_outcomes(counts: DataFrame, inventory: DataFrame | None = None) -> tuple[DataFrame, bool]:
+    """Outcomes of the most frequent of ``(syllable, n)``, at most ``BROADCAST_SYLLABLES``, and whether these are all."""
+    counts = cut(counts)
+    all_of_them = counts.count() <= BROADCAST_SYLLABLES
+    return cut(outcomes(counts if all_of_them else counts.orderBy(F.desc("n"), "syllable").limit(BROADCAST_SYLLABLES), inventory)), all_of_them
+
+
+def checked_tokens(tokens: DataFrame, inventory: DataFrame | None = None, known: tuple[DataFrame, bool] | None = None) -> DataFrame:
+    """``tokens`` with the outcome of each syllable and the context that the token before it gives.
+
+    ``known`` are outcomes that are there already, and whether they are all; they are broadcast. Syllables beyond them are judged where they stand, so tokens are
+    never shuffled, and no frequent syllable gathers in one task.
+    """
     if known is None:
-        known = cut(outcomes(tokens, inventory))
-        few = known.count() <= BROADCAST_SYLLABLES
-    else:
-        few = known.limit(BROADCAST_SYLLABLES + 1).count() <= BROADCAST_SYLLABLES
-    side = F.broadcast if few else (lambda df: df)
-    before = known.select(F.col("syllable").alias("before"), F.col("context").alias("before_context"))
-    return tokens.join(side(known.drop("context")), "syllable").join(side(before), "before", "left")
+        seen = tokens.where(X.has_tibetan(F.col("syllable"))).groupBy("syllable").agg(F.count(F.lit(1)).alias("n"))
+        known = known_outcomes(seen, inventory)
+    few, whole = known
+    for place in ("syllable", "before"):
+        side = few.select(F.col("syllable").alias(place), F.struct(*OUTCOME).alias(f"_{place}"))
+        tokens = tokens.join(F.broadcast(side), place, "left")
+    if not whole:
+        for place in ("syllable", "before"):
+            rare = F.when(F.col(f"_{place}").isNull() & X.has_tibetan(F.col(place)), F.col(place))
+            kept = [F.col(c).alias("_syllable_kept" if c == "syllable" else c) for c in tokens.columns]
+            judged = judge(parse(tokens.select(*kept, rare.alias("syllable"))), inventory)
+            own = F.coalesce(f"_{place}", F.when(F.col("syllable").isNotNull(), F.struct(*OUTCOME)))
+            tokens = judged.select(*(own.alias(c) if c == f"_{place}" else F.col("_syllable_kept").alias(c) if c == "syllable" else F.col(c) for c in tokens.columns))
+    kind = F.coalesce("_syllable.kind", F.lit("other")).alias("kind")
+    return tokens.select("doc_id", "token_no", "syllable", "position", "before", kind, *(f"_syllable.{c}" for c in OUTCOME if c not in ("kind", "context")), F.col("_before.context").alias("before_context"))
 
 
 def token_errors(checked: DataFrame) -> DataFrame:
@@ -296,8 +323,8 @@ def check_texts(texts: DataFrame, inventory: DataFrame | None = None, key: str =
 
     Null and empty texts have none. ``key`` must be unique for faults to be told apart.
     """
-    known = cut(outcomes(distinct_syllables(texts, text), inventory))
-    faults = token_errors(checked_tokens(tokenize(texts, key, text), known=known))
+    known = known_outcomes(distinct_syllables(texts, text), inventory)
+    faults = token_errors(checked_tokens(tokenize(texts, key, text), inventory, known))
     info = info_rows(texts, key, text).select(
         "doc_id", F.lit(0).alias("position"), F.lit("").alias("word"), F.lit("non_tibetan_skipped").alias("error_type"), F.lit("info").alias("severity"),
         _no_part().alias("component"), F.lit(None).cast("boolean").alias("corpus_hit"), _no_part().alias("category"), _no_part().alias("suggestion"),
