@@ -113,5 +113,9 @@ def test_stream(spark, tmp_path):
 
 
 def test_messages(spark):
-    texts = spark.createDataFrame([(1, "བོད་གི་")], "doc_id long, text string")
-    assert [r.label for r in syllables.messages(syllables.check_texts(texts)).collect()] == ["Wrong Particle Form: གི (expected ཀྱི)"]
+    texts = spark.createDataFrame([(1, "བོད་གི་"), (2, "ཁྱི་ཀྱིས་ x"), (3, "ཪ"), (4, "པདྨ")], "doc_id long, text string")
+    got = sorted((r.doc_id, r.message) for r in syllables.check_texts(texts).collect())
+    assert got == [
+        (1, "Wrong relational particle 'གི' after a word ending in ད (da) (expected ཀྱི)"), (2, "1 non-Tibetan character(s) were skipped during spell checking"),
+        (2, "Wrong agentive particle 'ཀྱིས' after a word ending in no suffix"), (3, "Wrong ra character (U+0F6A instead of U+0F62)"), (4, "Characters 'ྨ' could not be assigned to any syllable component"),
+    ]

@@ -164,3 +164,8 @@ def severity_of(error_type: Column) -> Column:
 def runs(line: Column) -> Column:
     """A line cut at tshegs and spaces, which are kept as runs of their own."""
     return F.regexp_extract_all(line, F.lit(f"{L.TSHEG}| |[^{L.TSHEG} ]+"), 0)
+
+
+def recognised(text: Column) -> Column:
+    """A recogniser's line: white space at its ends is stripped, and the mark that stands for a space becomes one."""
+    return F.replace(strip(text), F.lit("§"), F.lit(" "))

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions import letters as L
 from ..functions import text as X
 
 
@@ -46,6 +47,34 @@ def upsert(existing: DataFrame, incoming: DataFrame) -> DataFrame:
     return existing.unionByName(new_headwords(incoming, existing), allowMissingColumns=True)
 
 
+def load(incoming: DataFrame, words: DataFrame, sources: DataFrame, links: DataFrame, replace: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The three tables of the lexicon after ``incoming`` was written to them; what is there already stays as it is.
+
+    ``incoming`` has ``word``, ``sources`` (keys joined by commas) and ``first_seen_in``, as ``cross_reference`` gives them; ``words`` has ``word``, ``word_normalized``,
+    ``first_seen_in``; ``sources`` has ``source_key``, ``display_name``; ``links`` has ``word``, ``source_key``. New words are their own normal form and new sources their
+    own display name. With ``replace``, words and links are emptied first; sources stay. A word that comes several times is written once, with its least ``first_seen_in``.
+    Rows with a null word or key are left out of what is written.
+    """
+    named = incoming.where(F.col("word").isNotNull())
+    each = named.select("word", F.explode(F.split("sources", ",")).alias("source_key")).where("source_key <> ''").distinct()
+    fresh = named.groupBy("word").agg(F.min("first_seen_in").alias("first_seen_in")).select("word", F.col("word").alias("word_normalized"), "first_seen_in")
+    words, sources, links = words.select("word", "word_normalized", "first_seen_in"), sources.select("source_key", "display_name"), links.select("word", "source_key")
+    if replace:
+        words, links = words.limit(0), links.limit(0)
+    keys = each.select("source_key").distinct().withColumn("display_name", F.col("source_key"))
+    return (
+        words.unionByName(fresh.join(words.select("word"), "word", "left_anti").select("word", "word_normalized", "first_seen_in")),
+        sources.unionByName(keys.join(sources.select("source_key"), "source_key", "left_anti").select("source_key", "display_name")),
+        links.unionByName(each.join(links, ["word", "source_key"], "left_anti")),
+    )
+
+
+def seed(spark: SparkSession) -> DataFrame:
+    """The seed list as ``load`` takes it."""
+    listed = spark.createDataFrame([(w,) for w in L.SEED_WORDS], "word string")
+    return listed.select(X.nfc(X.strip(F.col("word"))).alias("word"), F.lit("seed_corpus").alias("sources"), F.lit("seed_corpus").alias("first_seen_in")).distinct()
+
+
 _KEYS = T.ArrayType(T.StringType())
 
 

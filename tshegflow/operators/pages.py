@@ -71,14 +71,49 @@ def has_bad_font(fonts: Column) -> Column:
     return F.arrays_overlap(fonts, F.array(*map(F.lit, L.BAD_FONTS)))
 
 
-def route(pages: DataFrame) -> DataFrame:
-    """``(job_id, route, reason)``: ``ocr`` for scans and broken text layers, else ``digital``."""
+def route(pages: DataFrame, fonts: DataFrame | None = None) -> DataFrame:
+    """``(job_id, route, reason)``: ``ocr`` for scans, fonts and text layers that cannot be trusted, else ``digital``.
+
+    ``fonts`` has ``job_id`` and ``fonts``, the names of the fonts that a document embeds; jobs without a row there are not judged by it.
+    """
     facts = scanned(pages).select("job_id", "is_scanned").join(private_use(pages).select("job_id", "broken"), "job_id").join(phantoms(pages), "job_id")
+    font = F.lit(False)
+    if fonts is not None:
+        bad = fonts.groupBy("job_id").agg(F.bool_or(has_bad_font(F.col("fonts"))).alias("bad_font"))
+        facts, font = facts.join(bad, "job_id", "left"), F.coalesce("bad_font", F.lit(False))
     many = F.greatest(*(F.col(f"phantom_{i}") for i in range(1, len(L.PHANTOMS) + 1))) >= PHANTOMS_AT_LEAST
-    reason = F.when(F.col("is_scanned"), "scanned").when(F.col("broken"), "private_use").when(many, "phantoms").otherwise("text")
+    reason = F.when(F.col("is_scanned"), "scanned").when(font, "font").when(F.col("broken"), "private_use").when(many, "phantoms").otherwise("text")
     return facts.select("job_id", F.when(reason == "text", "digital").otherwise("ocr").alias("route"), reason.alias("reason"))
 
 
+def word_boxes(pages: DataFrame) -> DataFrame:
+    """``(page_id, word_no, word, x0, y0, x1, y1)``: the words of each page that are not blank, numbered from 1 as they stand in the list."""
+    each = pages.select("page_id", F.posexplode("words").alias("at", "w"))
+    return each.where(F.col("w.text").rlike(f"[^{L.WHITE_SPACE}]")).select("page_id", (F.col("at") + 1).alias("word_no"), F.col("w.text").alias("word"), "w.x0", "w.y0", "w.x1", "w.y1")
+
+
+def digital_boxes(pages: DataFrame, errors: DataFrame) -> DataFrame:
+    """``(page_id, word_no, word, x0, y0, x1, y1)``: the stretch of each word's box in which a marked syllable stands first, by its share of the word's characters."""
+    own = pages.where(F.col("text_layer") != "ocr").select("page_id", "job_id", "page_number", "words")
+    marked = error_words(errors).withColumnRenamed("word", "mark").join(own.select("page_id", "job_id", "page_number"), ["job_id", "page_number"]).select("page_id", "mark")
+    met = word_boxes(own).join(marked, "page_id").where(F.contains("word", "mark"))
+    n, at, wide = F.length("word"), F.call_function("locate", F.col("mark"), F.col("word")), F.col("x1") - F.col("x0")
+    left, right = F.col("x0") + wide * (at - 1) / n, F.col("x0") + wide * (at - 1 + F.length("mark")) / n
+    return met.select("page_id", "word_no", F.col("mark").alias("word"), F.round(left, 4).alias("x0"), "y0", F.round(right, 4).alias("x1"), "y1")
+
+
+def text_of_lines(lines: DataFrame) -> DataFrame:
+    """``(page_id, text)``: the recognised lines of each page that are not empty, in order, joined by line feeds; repeated lines once."""
+    once = lines.where(F.col("text") != "").select("page_id", "line_no", "text").distinct()
+    return once.groupBy("page_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "text"))), lambda x: x["text"]), "\n").alias("text"))
+
+
+def filled_errors(errors: DataFrame) -> DataFrame:
+    """``(id, word, page, error_type, severity, message, component, corpus_hit)``: errors with defaults for what is missing, repeated rows once."""
+    default = lambda name, value: F.coalesce(name, F.lit(value)).alias(name)
+    return errors.dropDuplicates(["id"]).select("id", default("word", ""), F.col("page_number").alias("page"), default("error_type", "unknown"), default("severity", "error"), "message", "component", "corpus_hit")
+
+
 def error_words(errors: DataFrame) -> DataFrame:
     """``(job_id, page_number, word)``: the distinct words that are marked on each page, warnings among them. Rows without a word or a page mark nothing."""
     return errors.where((F.col("word") != "") & F.col("page_number").isNotNull()).select("job_id", "page_number", "word").distinct()

@@ -89,3 +89,25 @@ def changelog_items(lines: DataFrame) -> DataFrame:
     words = F.array_sort(F.collect_list(F.struct("line_no", F.trim(F.regexp_extract(line, "^(?:- |  )(.+)", 1)).alias("t"))))
     grouped = kept.groupBy("file_id", "version", "released", "category", "c", "item_no").agg(words.alias("w"))
     return grouped.select("file_id", "version", F.when(F.col("released") != "", F.col("released")).alias("released"), "category", F.col("item_no").cast("int").alias("item_no"), F.array_join(F.transform("w", lambda x: x["t"]), " ").alias("item"))
+
+
+def unreleased(lines: DataFrame) -> DataFrame:
+    """``(file_id, version, at)``: the versions that a reader lists without items, which are the unreleased ones, by the line they open on."""
+    version = F.regexp_extract("line", r"^## \[([^\]]+)\]", 1)
+    return lines.where(version == "Unreleased").select("file_id", version.alias("version"), F.col("line_no").alias("at"))
+
+
+def log_lines(log: DataFrame, source: str) -> DataFrame:
+    """``(doc_id, line)``: one line of structured log for each row of ``syllables.check_log``."""
+    pairs = (("text_length", "text_length"), ("error_count", "error_count"), ("phase1_errors", "structural_errors"), ("unknown_words", "unknown_words"), ("corpus_hits", "corpus_hits"), ("dict_active", "dict_active"))
+    inside = [F.concat(F.lit(f'"{name}": '), F.col(column).cast("string")) for name, column in pairs]
+    return log.select("doc_id", F.concat(F.lit(f'spellcheck_result {{"source": "{source}", '), F.concat_ws(", ", *inside), F.lit("}")).alias("line"))
+
+
+def console_report(errors: DataFrame) -> DataFrame:
+    """``(job_id, report, exit_code)``: the summary of each job's errors as a reader sees it at a console; severities without errors are left out."""
+    counts = severity_counts(errors).select("job_id", *SEVERITIES)
+    total = sum((F.col(s) for s in SEVERITIES[1:]), F.col(SEVERITIES[0]))
+    lines = [F.when(F.col(s) > 0, F.concat(F.lit(f"  {s.upper()}: "), F.col(s).cast("string"))) for s in ("critical", "error", "info")]
+    report = F.concat_ws("\n", F.concat(F.lit("Total errors found: "), total.cast("string")), *lines)
+    return counts.select("job_id", report.alias("report"), F.when(total == 0, 0).otherwise(1).alias("exit_code"))

@@ -147,8 +147,15 @@ def _settled(c: Column) -> Column:
     return F.when(F.spark_partition_id() >= 0, c)
 
 
-def _fault(error_type: str, severity: str, component: str) -> Column:
-    return F.struct(F.lit(error_type).alias("error_type"), F.lit(severity).alias("severity"), F.lit(component).alias("component"))
+def _message(key: str, *parts: Column) -> Column:
+    """The message ``key`` with its places filled in, those that are null by nothing."""
+    fixed = L.MESSAGES[key].split("{}")
+    return F.concat(F.lit(fixed[0]), *(x for p, f in zip(parts, fixed[1:]) for x in (F.coalesce(p.cast("string"), F.lit("")), F.lit(f))))
+
+
+def _fault(error_type: str, severity: str, component: str, message: Column | None = None) -> Column:
+    told = _message(error_type) if message is None else message
+    return F.struct(F.lit(error_type).alias("error_type"), F.lit(severity).alias("severity"), F.lit(component).alias("component"), told.alias("message"))
 
 
 def _first(*cases: tuple[Column, Column]) -> Column:
@@ -162,8 +169,9 @@ def _count(x: Column, chars: str) -> Column:
 def pattern_fault(x: Column) -> Column:
     """The first fault that the letters show by themselves; null if there is none."""
     return _first(
-        (_count(x, L.BLOCK) >= 8, _fault("syllable_too_long", "error", "pattern")),
-        (x.contains(L.WRONG_A) | x.contains(L.WRONG_RA), _fault("encoding_error", "critical", "encoding")),
+        (_count(x, L.BLOCK) >= 8, _fault("syllable_too_long", "error", "pattern", _message("syllable_too_long", _count(x, L.BLOCK)))),
+        (x.contains(L.WRONG_A), _fault("encoding_error", "critical", "encoding", _message("wrong_a"))),
+        (x.contains(L.WRONG_RA), _fault("encoding_error", "critical", "encoding", _message("wrong_ra"))),
         (x.rlike(V + V), _fault("double_vowel", "error", "pattern")),
         (x.rlike(L.TSA_PHRU + B), _fault("unusual_mark_position", "error", "pattern")),
     )
@@ -178,12 +186,12 @@ def completeness_fault(x: Column, parts: Column) -> Column:
     places = F.when(suffix.isNotNull(), 1).otherwise(0) + F.when(post.isNotNull(), 1).otherwise(0)
     last = F.regexp_extract(x, f"(?s).*({B})", 1)
     return _first(
-        ((vowels > 1) & ~second_on_achung & (x.rlike(f"{V}{_NOT_V}+{V}") | (vowels > 2)), _fault("multiple_vowels", "error", "structure")),
-        (x.rlike(f"(?s){V}.*{S}"), _fault("consonant_after_vowel", "error", "structure")),
-        (_count(after_vowel, L.BASE) > places, _fault("unparsed_characters", "error", "structure")),
-        (_count(x, L.BASE) > 5, _fault("too_many_consonants", "error", "structure")),
-        ((last != "") & post.isNotNull() & (last != post), _fault("unparsed_characters", "error", "structure")),
-        ((last != "") & post.isNull() & suffix.isNotNull() & F.call_function("substring_index", x, suffix, F.lit(-1)).rlike(B), _fault("invalid_post_suffix", "error", "structure")),
+        ((vowels > 1) & ~second_on_achung & (x.rlike(f"{V}{_NOT_V}+{V}") | (vowels > 2)), _fault("multiple_vowels", "error", "structure", _message("multiple_vowels", vowels))),
+        (x.rlike(f"(?s){V}.*{S}"), _fault("consonant_after_vowel", "error", "structure", _message("consonant_after_vowel", F.regexp_extract(x, f"(?s)^{_NOT_V}*{V}[^{L.SUBJOINED}]*({S})", 1)))),
+        (_count(after_vowel, L.BASE) > places, _fault("unparsed_characters", "error", "structure", _message("too_many_after_vowel", _count(after_vowel, L.BASE), places))),
+        (_count(x, L.BASE) > 5, _fault("too_many_consonants", "error", "structure", _message("too_many_consonants", _count(x, L.BASE)))),
+        ((last != "") & post.isNotNull() & (last != post), _fault("unparsed_characters", "error", "structure", _message("trailing_consonant", last))),
+        ((last != "") & post.isNull() & suffix.isNotNull() & F.call_function("substring_index", x, suffix, F.lit(-1)).rlike(B), _fault("invalid_post_suffix", "error", "structure", _message("after_suffix", last))),
     )
 
 
@@ -195,21 +203,21 @@ def component_fault(parts: Column) -> Column:
     """The first fault of the parts against each other; null if there is none."""
     root = parts["root"]
     prefixes, subscripts = _pairs(L.PREFIX_ROOTS), _pairs(L.SUBSCRIPT_ROOTS)
-    wrong_sub = F.exists(F.filter(F.split(parts["subscripts"], ""), lambda s: s != ""), lambda s: ~F.concat(s, root).isin(subscripts))
+    wrong_sub = F.get(F.filter(F.split(parts["subscripts"], ""), lambda s: (s != "") & ~F.concat(s, root).isin(subscripts)), F.lit(0))
     return _first(
         (root.isNull(), _fault("missing_root", "error", "root")),
-        (parts["prefix"].isNotNull() & parts["superscript"].isNull() & ~F.concat(parts["prefix"], root).isin(prefixes), _fault("invalid_prefix_combination", "error", "prefix")),
-        (wrong_sub, _fault("invalid_subscript_combination", "error", "subscript")),
-        (~parts["suffix"].isin(*L.SUFFIXES), _fault("invalid_suffix", "error", "suffix")),
-        (parts["unparsed"] != "", _fault("unparsed_characters", "error", "structure")),
+        (parts["prefix"].isNotNull() & parts["superscript"].isNull() & ~F.concat(parts["prefix"], root).isin(prefixes), _fault("invalid_prefix_combination", "error", "prefix", _message("invalid_prefix_combination", parts["prefix"], root))),
+        (wrong_sub.isNotNull(), _fault("invalid_subscript_combination", "error", "subscript", _message("invalid_subscript_combination", wrong_sub, root))),
+        (~parts["suffix"].isin(*L.SUFFIXES), _fault("invalid_suffix", "error", "suffix", _message("invalid_suffix", parts["suffix"]))),
+        (parts["unparsed"] != "", _fault("unparsed_characters", "error", "structure", _message("unparsed_characters", parts["unparsed"]))),
     )
 
 
-OUTCOME = ("kind", "parts", "error_type", "severity", "component", "corpus_hit", "context")
+OUTCOME = ("kind", "parts", "error_type", "severity", "component", "message", "corpus_hit", "context")
 
 
 def outcomes(syllables: DataFrame, inventory: DataFrame | None = None) -> DataFrame:
-    """For each distinct non-null ``syllable``: ``kind``, ``parts``, ``error_type``, ``severity``, ``component``, ``corpus_hit``, ``context``.
+    """For each distinct non-null ``syllable``: ``kind``, ``parts``, ``error_type``, ``severity``, ``component``, ``message``, ``corpus_hit``, ``context``.
 
     ``kind`` is other (no Tibetan), skipped (numerals and signs), exception, or syllable. ``inventory`` has the known syllables in its first column; with none,
     or an empty one, ``corpus_hit`` is null and no word is unknown. ``context`` is what a particle after the syllable looks at: null where it has none to look
@@ -237,12 +245,12 @@ def judge(parsed: DataFrame, inventory: DataFrame | None = None) -> DataFrame:
         asked = F.coalesce(x, F.concat(F.lit("\0"), F.rand().cast("string")))
         base = base.withColumn("_asked", asked).join(known, F.col("_asked") == F.col("_entry"), "left").drop("_asked", "_entry").crossJoin(F.broadcast(any_))
         base = base.withColumn("_hit", F.when(F.col("_available"), F.coalesce("_known", F.lit(False)))).drop("_known", "_available")
-    unknown = F.when((F.col("kind") == "syllable") & F.col("_plain").isNull() & F.col("_component").isNull() & ~F.col("_hit"), F.struct(F.lit("unknown_word").alias("error_type"), F.lit("warning").alias("severity"), _no_part().alias("component")))
+    unknown = F.when((F.col("kind") == "syllable") & F.col("_plain").isNull() & F.col("_component").isNull() & ~F.col("_hit"), F.struct(F.lit("unknown_word").alias("error_type"), F.lit("warning").alias("severity"), _no_part().alias("component"), _message("unknown_word", x).alias("message")))
     fault = F.coalesce("_plain", "_component", unknown)
     base = base.withColumn("_fault", _settled(fault))
     looked_up = F.col("_component").isNotNull() | (F.col("_fault.error_type") == "unknown_word")
     context = F.when(F.col("kind").isin("syllable", "exception") & F.col("_fault").isNull(), F.struct(F.coalesce(parts["suffix"], F.lit(L.NO_SUFFIX)).alias("suffix"), parts["post_suffix"].alias("post_suffix")))
-    return base.select(*own, "kind", "parts", "_fault.error_type", "_fault.severity", "_fault.component", F.when(looked_up, F.col("_hit")).alias("corpus_hit"), _settled(context).alias("context"))
+    return base.select(*own, "kind", "parts", "_fault.error_type", "_fault.severity", "_fault.component", "_fault.message", F.when(looked_up, F.col("_hit")).alias("corpus_hit"), _settled(context).alias("context"))
 
 
 # ---- particles --------------------------------------------------------------
@@ -303,13 +311,17 @@ def checked_tokens(tokens: DataFrame, inventory: DataFrame | None = None, known:
 
 
 def token_errors(checked: DataFrame) -> DataFrame:
-    """``(doc_id, position, word, error_type, severity, component, corpus_hit, category, suggestion)``, one row for each fault of a token."""
+    """``(doc_id, position, word, error_type, severity, component, message, corpus_hit, category, suggestion)``, one row for each fault of a token."""
+    labels = F.create_map(*(F.lit(x) for pair in L.SUFFIX_LABELS.items() for x in pair))
     wrong = F.when(F.col("error_type").isNull() & F.col("kind").isin("syllable", "exception"), particle_fault(F.col("syllable"), F.col("before_context")))
     found = checked.withColumn("particle", _settled(wrong)).where("error_type IS NOT NULL OR particle IS NOT NULL")
     bad = F.col("particle").isNotNull()
+    hint = F.concat(F.lit(" (expected "), F.col("particle.suggestion"), F.lit(")"))
+    suffix = F.col("before_context.suffix")
+    told = _message("wrong_particle_form", F.col("particle.category"), F.col("syllable"), F.coalesce(F.try_element_at(labels, suffix), suffix), hint)
     return found.select(
         "doc_id", "position", F.col("syllable").alias("word"), F.when(bad, "wrong_particle_form").otherwise(F.col("error_type")).alias("error_type"), F.when(bad, "error").otherwise(F.col("severity")).alias("severity"),
-        F.when(bad, "particle").otherwise(F.col("component")).alias("component"), "corpus_hit", "particle.category", "particle.suggestion",
+        F.when(bad, "particle").otherwise(F.col("component")).alias("component"), F.when(bad, told).otherwise(F.col("message")).alias("message"), "corpus_hit", "particle.category", "particle.suggestion",
     )
 
 
@@ -327,17 +339,11 @@ def check_texts(texts: DataFrame, inventory: DataFrame | None = None, key: str =
     faults = token_errors(checked_tokens(tokenize(texts, key, text), inventory, known))
     info = info_rows(texts, key, text).select(
         "doc_id", F.lit(0).alias("position"), F.lit("").alias("word"), F.lit("non_tibetan_skipped").alias("error_type"), F.lit("info").alias("severity"),
-        _no_part().alias("component"), F.lit(None).cast("boolean").alias("corpus_hit"), _no_part().alias("category"), _no_part().alias("suggestion"),
+        _no_part().alias("component"), _message("non_tibetan_skipped", F.col("skipped")).alias("message"), F.lit(None).cast("boolean").alias("corpus_hit"), _no_part().alias("category"), _no_part().alias("suggestion"),
     )
     return faults.unionByName(info)
 
 
-def messages(errors: DataFrame) -> DataFrame:
-    """``errors`` with ``label``: what to tell a reader about the fault, in the words of the error type."""
-    hint = F.when(F.col("suggestion").isNotNull(), F.concat(F.lit(" (expected "), F.col("suggestion"), F.lit(")"))).otherwise(F.lit(""))
-    return errors.withColumn("label", F.concat(X.title_case(F.col("error_type")), F.when(F.col("word") != "", F.concat(F.lit(": "), F.col("word"))).otherwise(F.lit("")), hint))
-
-
 def check_log(texts: DataFrame, errors: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row for each text: length, errors, structural errors, unknown words, corpus hits, and whether the corpus was asked at all."""
     severity = F.col("severity")

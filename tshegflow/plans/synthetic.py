@@ -21,6 +21,18 @@ GOLDEN = tuple(
 སྐདའི syllable invalid_post_suffix structure . .|ཀཔ syllable invalid_suffix suffix . .|ངྲ syllable invalid_subscript_combination subscript . .|ཀཁགངཅཆ syllable too_many_consonants structure . .
 """.replace("\n", "|").strip("|").split("|")
 )
+# The check that finds the fault of each faulty syllable of the corpus.
+STAGES = {
+    "pattern": "ཕ༹ཀལ ཀྰ ཀིུ ཀཁགངཅཆཇཉ".split(), "completeness": "བོདབ ལའར ཨེརྡ ཨེཨོརོ སྐདའི ཀཁགངཅཆ".split(), "component": "གཀར ེབ ཧཧིབ པདྨ བྱབབ ཀཔ ངྲ".split(),
+}
+# Syllable, then prefix, superscript, root, subscripts, vowel, suffix, suffix vowel, post-suffix and what is left; a dot where there is none.
+GOLDEN_PARTS = """
+བོད . . བ . ོ ད . . .|ཡིག . . ཡ . ི ག . . .|སྐད . ས ཀ . . ད . . .|ཀྱི . . ཀ ྱ ི . . . .|གི . . ག . ི . . . .|གྱི . . ག ྱ ི . . . .|འི . . འ . ི . . . .|ཡི . . ཡ . ི . . . .|ཀྱིས . . ཀ ྱ ི ས . . .|གིས . . ག . ི ས . . .
+གྱིས . . ག ྱ ི ས . . .|སུ . . ས . ུ . . . .|ཏུ . . ཏ . ུ . . . .|དུ . . ད . ུ . . . .|རུ . . ར . ུ . . . .|ན . . ན . . . . . .|ལ . . ལ . . . . . .|ཤིག . . ཤ . ི ག . . .|ཞིག . . ཞ . ི ག . . .|ཤིང . . ཤ . ི ང . . .
+ཡུལ . . ཡ . ུ ལ . . .|དེབ . . ད . ེ བ . . .|ཚོགས . . ཚ . ོ ག . ས .|དགའ ད . ག . . འ . . .|ཁྱི . . ཁ ྱ ི . . . .|རྒྱལ . ར ག ྱ . ལ . . .|བསྒྲུབས བ ས ག ྲ ུ བ . ས .|ནའང . . ན . . འ . . ང|གཀར ག . ཀ . . ར . . .
+བོདབ . . བ . ོ ད . . བ|ལའར . . ལ . . འ . . ར|ཨེརྡ . ར ད . . . . . .|ཨེཨོརོ . . ཨ . ེ ཨ . . ོརོ|ཕ༹ཀལ . . ཕ . . . . . ༹ཀལ|ཀྰ . . ཀ ྰ . . . . .|ཀིུ . . ཀ . ི . . . ུ|ཀཁགངཅཆཇཉ . . ཀ . . ཁ . . གངཅཆཇཉ|ེབ . . . . ེ བ . . .
+ཧཧིབ . . ཧ . ི བ . . ཧ|པདྨ . . པ . . ད . . ྨ|བྱབབ . . བ ྱ . བ . . བ|ཡིབ . . ཡ . ི བ . . .|མཐོའི མ . ཐ . ོ འ ི . .|སྐདའི . ས ཀ . . ད . . འི|ཀཔ . . ཀ . . པ . . .|ངྲ . . ང ྲ . . . . .|ཀཁགངཅཆ . . ཀ . . ཁ . . གངཅཆ
+"""
 DELIMITERS = ("\u0f0b", "\u0f0b", "\u0f0b", "\u0f0d ", "\u200b\u0f0b", "\n")
 
 

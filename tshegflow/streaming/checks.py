@@ -15,5 +15,5 @@ def check_stream(texts: DataFrame, inventory: DataFrame | None = None, key: str
     """
     tokens = syllables.tokenize(texts, key, text)
     judged = syllables.judge(syllables.parse(tokens), inventory).drop("context")
-    before = syllables.judge(syllables.parse(judged.select(*(F.col(c).alias("token" if c == "syllable" else c) for c in judged.columns if c not in ("kind", "parts", "error_type", "severity", "component", "corpus_hit")), F.struct("kind", "parts", "error_type", "severity", "component", "corpus_hit").alias("own")).withColumn("syllable", F.col("before"))), inventory)
+    before = syllables.judge(syllables.parse(judged.select(*(F.col(c).alias("token" if c == "syllable" else c) for c in judged.columns if c not in ("kind", "parts", "error_type", "severity", "component", "message", "corpus_hit")), F.struct("kind", "parts", "error_type", "severity", "component", "message", "corpus_hit").alias("own")).withColumn("syllable", F.col("before"))), inventory)
     return syllables.token_errors(before.select("doc_id", "token_no", "position", F.col("token").alias("syllable"), "own.*", F.when(F.col("before").isNotNull(), F.col("context")).alias("before_context")))
