@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import datetime as dt
 
+from pyspark.sql import functions as F
+
 from tshegflow.functions import letters as L
 from tshegflow.operators import boxes, lexicon, pages, reports
+from tshegflow.sources import texts
 from tshegflow.sources.lineage import cut
 
 
@@ -96,3 +99,65 @@ def test_parity(spark):
 def test_cut_survives_reuse(spark):
     df = cut(spark.range(10).selectExpr("id", "id % 3 AS k"))
     assert df.groupBy("k").count().count() == 3 and df.count() == 10
+
+
+def test_text_files(spark, tmp_path):
+    """Plain text, Markdown, RTF and an unknown ending; a byte order mark, bytes that are no UTF-8, an empty file."""
+    files = {"a.txt": "བོད་ཡིག".encode(), "b.md": "\ufeff# Title".encode(), "c.rtf": rb"{\rtf1\ansi\ansicpg1252{\fonttbl{\f0 Arial;}}\f0 Caf\'e9 \u3926?\u3964? A\par B\tab {\*\generator X;}\{x\} \u-10179?\u-8704?}", "d.xyz": b"ok\xff", "e.txt": b"", "f.RTF": b"no rtf"}
+    for name, content in files.items():
+        (tmp_path / name).write_bytes(content)
+    got = {r.file_name: (r.format, r.text) for r in texts.read_texts(spark, str(tmp_path)).collect()}
+    assert got == {
+        "a.txt": ("text", "བོད་ཡིག"), "b.md": ("markdown", "# Title"), "c.rtf": ("rtf", "Café ཝོ A\nB\t{x} 😀".replace("ཝོ", chr(3926) + chr(3964))), "d.xyz": ("text", "ok\ufffd"), "f.RTF": ("rtf", "no rtf"),
+    }
+    (tmp_path / "CHANGELOG.md").write_text("# Log\n## [Unreleased]\n## [1.0.0] - 2024-02-01\n### Fixed\n- one\n  more\n")
+    lines = texts.lines_of(texts.read_texts(spark, str(tmp_path / "CHANGELOG.md")))
+    assert [(r.version, r.item) for r in reports.changelog_items(lines).collect()] == [("1.0.0", "one more")] and [(r.version, r.at) for r in reports.unreleased(lines).collect()] == [("Unreleased", 1)]
+
+
+def test_loading_the_lexicon(spark):
+    incoming = spark.createDataFrame([("ཀ", "a,b", "a"), ("ཁ", "b", "b"), ("ཁ", "c", "c"), (None, "a", "a")], "word string, sources string, first_seen_in string").withColumn("word_normalized", F.lit("clash"))
+    words = spark.createDataFrame([("ཀ", "x", None)], "word string, word_normalized string, first_seen_in string").withColumn("id", F.lit(1))
+    sources, links = spark.createDataFrame([("a", "A")], "source_key string, display_name string"), spark.createDataFrame([("ཀ", "a")], "word string, source_key string")
+    rows = lambda tables: [sorted(map(tuple, t.collect()), key=str) for t in tables]
+    assert rows(lexicon.load(incoming, words, sources, links)) == [[("ཀ", "x", None), ("ཁ", "ཁ", "b")], [("a", "A"), ("b", "b"), ("c", "c")], [("ཀ", "a"), ("ཀ", "b"), ("ཁ", "b"), ("ཁ", "c")]]
+    assert rows(lexicon.load(incoming, words, sources, links, replace=True))[0] == [("ཀ", "ཀ", "a"), ("ཁ", "ཁ", "b")]
+    again = lexicon.load(incoming, *lexicon.load(incoming, words, sources, links))
+    assert rows(again) == rows(lexicon.load(incoming, words, sources, links))
+    assert rows(lexicon.load(incoming.limit(0), words, sources, links))[0] == [("ཀ", "x", None)] and lexicon.seed(spark).count() == 52
+
+
+def test_words_and_boxes_of_pages(spark):
+    word = "struct<text: string, x0: double, y0: double, x1: double, y1: double>"
+    rows = [(1, "j", 1, "embedded", [("བོད་ཡིག", 0.0, 0.0, 70.0, 9.0), (" ", 0.0, 0.0, 1.0, 1.0), (None, 0.0, 0.0, 1.0, 1.0)]), (2, "j", 2, "ocr", [("བོད", 0.0, 0.0, 3.0, 1.0)]), (3, None, None, None, None)]
+    own = spark.createDataFrame(rows, f"page_id long, job_id string, page_number int, text_layer string, words array<{word}>")
+    errors = spark.createDataFrame([("j", 1, "ཡིག"), ("j", 2, "བོད"), ("j", 1, ""), ("j", None, "བོད")], "job_id string, page_number int, word string")
+    assert sorted((r.page_id, r.word_no) for r in pages.word_boxes(own).collect()) == [(1, 1), (2, 1)]
+    assert [(r.page_id, r.word_no, r.word, r.x0, r.x1) for r in pages.digital_boxes(own, errors).collect()] == [(1, 1, "ཡིག", 40.0, 70.0)]
+    assert pages.digital_boxes(own.limit(0), errors).count() == 0
+    lines = spark.createDataFrame([(1, 2, "b"), (1, 1, "a"), (1, 1, "a"), (1, 3, ""), (1, 4, None)], "page_id long, line_no int, text string")
+    assert [r.text for r in pages.text_of_lines(lines).collect()] == ["a\nb"]
+
+
+def test_boxes_of_lines(spark):
+    schema = "page_id long, line_id long, x int, y int, width int, height int"
+    lines = spark.createDataFrame([(1, 1, 0, 0, 400, 11), (1, 1, 0, 0, 400, 11), (1, 2, 0, 50, 100, 10), (1, 3, 300, 52, 101, 10), (2, 4, 5, 5, 10, 10)], schema)
+    centers = boxes.centers(lines)
+    assert {(r.line_id, r.x_center, r.y_center) for r in centers.collect()} == {(1, 200, 5), (2, 50, 55), (3, 350, 57), (4, 10, 10)}
+    groups = boxes.line_groups(centers.select("page_id", F.col("line_id").alias("box_no"), F.col("x_center").alias("x"), F.col("y_center").alias("y")))
+    got = sorted((r.page_id, r.line_no, r.x, r.y, r.width, r.height) for r in boxes.merged(centers, groups).collect())
+    assert got == [(1, 1, 0, 50, 401, 12), (1, 2, 0, 0, 400, 11), (2, 1, 5, 5, 10, 10)]
+    assert {r.page_id: (r.boxes, r.threshold) for r in boxes.line_threshold(lines).collect()} == {1: (2, 15.0), 2: (0, 0.0)}
+    assert boxes.line_threshold(lines.limit(0)).count() == 0 and boxes.merged(centers.limit(0), groups).count() == 0
+    assert [(r.lines, r.share) for r in boxes.curved_share(spark.createDataFrame([(1, True), (1, None), (1, False)], "page_id long, curved boolean")).collect()] == [(3, round(1 / 3, 6))]
+    one, two = (spark.createDataFrame([(1, x)], "page_id long, items array<string>") for x in (["a", "b", "c"], ["x", None]))
+    assert [(r.place, r.left, r.right) for r in boxes.paired(one, two).collect()] == [(1, "a", "x"), (2, "b", None)] and boxes.paired(one, two.limit(0)).count() == 0
+
+
+def test_routes_and_reports(spark):
+    own = spark.createDataFrame([("a", 1, 1, "བོད་ཡིག་" * 9), ("b", 2, 1, "བོད་ཡིག་" * 9), ("c", 3, 1, None)], "job_id string, page_id long, page_number int, text string")
+    fonts = spark.createDataFrame([("a", ["Jomolhari"]), ("b", ["X", "MicrosoftHimalaya"]), ("b", None), ("c", ["MicrosoftHimalaya"])], "job_id string, fonts array<string>")
+    assert {r.job_id: r.reason for r in pages.route(own, fonts).collect()} == {"a": "text", "b": "font", "c": "scanned"}
+    errors = spark.createDataFrame([("1", "j", "critical"), ("1", "j", "critical"), ("2", "j", "warning"), ("3", "k", None)], "id string, job_id string, severity string")
+    got = {r.job_id: (r.report, r.exit_code) for r in reports.console_report(errors).collect()}
+    assert got == {"j": ("Total errors found: 2\n  CRITICAL: 1", 1), "k": ("Total errors found: 0", 0)}

@@ -8,6 +8,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Control words of RTF that open a group without text, and those that stand for a character.
 RTF_HIDDEN = (
@@ -79,7 +80,7 @@ def rtf_text(source: str) -> str:
     return "".join(out).encode("utf-16-le", "surrogatepass").decode("utf-16-le", "replace")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _rtf(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
     for texts in batches:
         yield texts.map(rtf_text, na_action="ignore")
@@ -88,9 +89,9 @@ def _rtf(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
 def read_texts(spark: SparkSession, path: str) -> DataFrame:
     """``(path, file_name, format, text)``: each file whole, decoded from UTF-8, without a byte order mark. Files that end in ``.rtf`` are reduced to their text.
 
-    Other endings, known or not, are read as text; undecodable bytes become U+FFFD. An empty file has the empty text.
+    Other endings, known or not, are read as text; undecodable bytes become U+FFFD. The file source leaves empty files out.
     """
-    files = spark.read.format("binaryFile").load(path).select("path", F.element_at(F.split("path", "/"), -1).alias("file_name"), F.decode("content", F.lit("UTF-8")).alias("raw"))
+    files = spark.read.format("binaryFile").load(path).select("path", F.element_at(F.split("path", "/"), -1).alias("file_name"), F.make_valid_utf8(F.col("content").cast("string")).alias("raw"))
     is_rtf = F.lower("file_name").endswith(".rtf")
     raw = F.regexp_replace("raw", "^\ufeff", "")
     text = F.coalesce(_rtf.asNondeterministic()(F.when(is_rtf, raw)), raw)
