@@ -189,9 +189,10 @@ def _fields(words: DataFrame, requests: DataFrame) -> DataFrame:
 
 
 def look_alike_groups(fields: DataFrame) -> DataFrame:
-    """``(field, form, spelling, record_id)``: 32-byte fingerprints of the one form and of the stored text for every non-blank value."""
+    """``(field, form, spelling, record_id)``: fingerprints of 128 bits of the one form and of the stored text for every non-blank value."""
+    print_ = lambda text: F.substring(F.unhex(F.sha2(text, 256)), 1, 16)
     kept = fields.where(F.col("original").isNotNull() & F.col("original").rlike(r"[^\s]"))
-    return kept.select("field", F.unhex(F.sha2(normalized(F.col("original")), 256)).alias("form"), F.unhex(F.sha2("original", 256)).alias("spelling"), "record_id")
+    return kept.select("field", print_(normalized(F.col("original"))).alias("form"), print_(F.col("original")).alias("spelling"), "record_id")
 
 
 #: Records of one spelling that one task joins; a spelling with more is spread over so many tasks as it needs.
