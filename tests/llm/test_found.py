@@ -82,6 +82,7 @@ SENTENCES = [
     ["« Où est la marge ? » demanda Buban.", "V. Didis nota : « Tout va. »", "Fin…"],
     ["“刻本在哪里？”边卓问道。", "他说：“值得。”", "老年至此中断……但仍在。", "谁写了？"],
     ["༄༅། །བོད་ཡིག །", "ལོ་ ༡༨༤༥ གྱི་དུས།།", "སུག", "མི་དང་།"],
+    ["He said no.", "Inc. firms agree with Sen. Smith and Gov. Brown in no. 5 and vol. IV."], ["Это, т. е. книга, важна.", "Он ушёл."], ["วันนี้อากาศดี", "เราไปตลาด", "ดีมากๆ จริง"],
     ["डॉ. ककख पुनः पठति।", "किं लघु?", "९.५ अङ्गुल वदति॥"],
 ]
 

@@ -24,11 +24,13 @@ from .unicode_forms import normalize_text
 
 # Abbreviations that do not end a sentence, whatever follows.
 ABBREVIATIONS = (
-    "Dr Prof Mr Mrs Ms St Ven Rev Hon Gen Col Lt Capt Sgt Sr Jr Hr Fr Frl Mme Mlle MM Mgr Mt Messrs "
-    "vol vols no nos ch chap ed eds p pp fol fols ff ll ms mss fig figs art sec par v vs viz ca approx cf e.g i.e resp "
-    "Bd Bde Nr Abb Abs Anm Aufl Hg Hrsg Kap Jh Jhd Str Vgl bzw evtl ggf vgl sog geb gest "
-    "t env av apr chap art éd c.-à-d p.ex par.ex"
+    "Dr Prof Mr Mrs Ms St Ven Rev Hon Gen Col Lt Capt Sgt Sr Jr Hr Fr Frl Mme Mlle MM Mgr Mt Messrs Sen Gov Rep Pres Maj Adm Cmdr Brig Supt Msgr "
+    "ed eds ff ms mss vs viz ca approx cf e.g i.e resp "
+    "Abb Abs Anm Aufl Hg Hrsg Jh Jhd Str Vgl bzw evtl ggf vgl sog geb gest "
+    "env av apr éd c.-à-d p.ex par.ex акад проф им ул гр"
 ).split()
+# Abbreviations before a number; before anything else they are words, or the number is missing.
+BEFORE_NUMBERS = "vol vols no nos ch chap p pp fol fols ll fig figs art sec par v Bd Bde Nr Kap t стр рис гл см".split()
 # Month names before which a number with a point is a day.
 GERMAN_MONTHS = "Januar Jänner Februar März April Mai Juni Juli August September Oktober November Dezember".split()
 # Chinese verbs of saying that tie a quotation to the clause after it.
@@ -36,10 +38,10 @@ CHINESE_SAYING = "问道 说道 答道 喊道 叫道 写道 笑道 叹道 问 
 
 SYMBOLS = (
     "DOC SPACE BLANK IGNORE LOWER UPPER CASELESS DIGIT OTHER OPEN CLOSE POINT MARK STRONG "  # MARK: ? ! and … in cased scripts; STRONG: ends whatever follows
-    "TIB_BARE TIB_LETTER TIB_SIGN TIB_DIGIT SHAD"
+    "TIB_BARE TIB_LETTER TIB_SIGN TIB_DIGIT SHAD SPACED"  # SPACED: letters of scripts that end sentences by white space alone
 ).split()
 S = {name: i for i, name in enumerate(SYMBOLS)}
-STATES = "START INSIDE BARE BARE_SPACE OPENING SHUT WEAK WEAK_SPACE STRONG STRONG_SPACE".split()
+STATES = "START INSIDE BARE BARE_SPACE OPENING SHUT WEAK WEAK_SPACE STRONG STRONG_SPACE SPACED SPACED_SPACE".split()
 Q = {name: i for i, name in enumerate(STATES)}
 #: What the transducer writes at a character: the sentence before it has ended (BREAK), this character may be a sentence's last (END).
 BREAK, END = 1, 2
@@ -60,7 +62,7 @@ def transducer() -> tuple[np.ndarray, np.ndarray]:
 
     word = "LOWER UPPER CASELESS DIGIT OTHER OPEN CLOSE TIB_LETTER TIB_DIGIT"
     # where a character leads that opens or continues a sentence
-    leads = dict.fromkeys(word.split(), "INSIDE") | {"TIB_BARE": "BARE", "POINT": "WEAK", "MARK": "WEAK", "STRONG": "STRONG", "SHAD": "SHUT", "TIB_SIGN": "INSIDE"}
+    leads = dict.fromkeys(word.split(), "INSIDE") | {"TIB_BARE": "BARE", "SPACED": "SPACED", "POINT": "WEAK", "MARK": "WEAK", "STRONG": "STRONG", "SHAD": "SHUT", "TIB_SIGN": "INSIDE"}
     for state in STATES:
         for name, to in leads.items():
             rule(state, name, to, END)
@@ -77,6 +79,9 @@ def transducer() -> tuple[np.ndarray, np.ndarray]:
     rule("BARE", "SPACE", "BARE_SPACE")
     for name in leads.keys() - {"SHAD", "TIB_SIGN"}:
         rule("BARE_SPACE", name, leads[name], END | BREAK)
+    # scripts without marks: white space between two of their letters ends the sentence
+    rule("SPACED", "SPACE", "SPACED_SPACE")
+    rule("SPACED_SPACE", "SPACED", "SPACED", END | BREAK)
     # after a shad: more shads and closing marks belong to it, also after white space
     for name in leads.keys() - {"SHAD", "CLOSE", "TIB_SIGN"}:
         rule("SHUT", name, leads[name], END | BREAK)
@@ -86,6 +91,7 @@ def transducer() -> tuple[np.ndarray, np.ndarray]:
         rule(state, "UPPER CASELESS OPEN", "INSIDE", END | BREAK)
         rule(state, "TIB_LETTER TIB_DIGIT", "INSIDE", END | BREAK)
         rule(state, "TIB_BARE", "BARE", END | BREAK)
+        rule(state, "SPACED", "SPACED", END | BREAK)
     rule("WEAK", "CLOSE POINT MARK", "WEAK", END)
     rule("WEAK", "SPACE", "WEAK_SPACE")
     rule("WEAK_SPACE", "DIGIT", "INSIDE", END | BREAK)
@@ -116,6 +122,8 @@ def _classify(char: str) -> str:
         if char in "ཀགཤ":
             return "TIB_BARE"
         return "TIB_LETTER"
+    if (0xE01 <= code <= 0xE4E or 0xE81 <= code <= 0xECD) and char not in "ๆຯฯໆ":
+        return "SPACED"
     if char == ".":
         return "POINT"
     if char in "?!‼⁇⁈⁉…":
@@ -150,7 +158,7 @@ def _lexer() -> re.Pattern:
     german = r"„[^“”„\n]*(?P<german>“)"
     unseen = "[" + UNSEEN + "]*"
     saying = "|".join(unseen.join(verb) for verb in CHINESE_SAYING)
-    quoted = rf"(?P<quoted>[。！？…?!]+)[”」』](?=[^。！？“”「」：:，,；\n]{{1,40}}(?:{saying})(?:[。！？，,…\s]|\Z))"
+    quoted = rf"(?P<quoted>[。！？…?!]+)[”」』](?=[^。！？“”「」：:，,；\n]+(?:{saying})(?:[。！？，,…\s]|\Z))"
     ellipsis = r"(?<=[⺀-鿿豈-﫿])(?P<ellipsis>…+)"
     point = r"(?P<point>\.)"
     apostrophe = r"(?<=\w)(?P<apostrophe>['’])(?=\w)"
@@ -161,6 +169,9 @@ def _lexer() -> re.Pattern:
 _BEFORE = re.compile(rf"(?:[^\W\d_]|[{UNSEEN}\u0300-\u036f.\-])+$")
 _NEXT_WORD = re.compile(rf"[\s{UNSEEN}]*([\w{UNSEEN}\u0300-\u036f]+)")
 _KNOWN = {*ABBREVIATIONS} | {a[0].upper() + a[1:] for a in ABBREVIATIONS}
+_NUMBERING = {*BEFORE_NUMBERS} | {a[0].upper() + a[1:] for a in BEFORE_NUMBERS}
+#: A number, in figures or Roman, or a single letter.
+_NUMBER_NEXT = re.compile(rf"[\s{UNSEEN}\u00a0(\[]*(?:\d|[IVXLCDMivxlcdm]+\b|[^\W\d_]\b)")
 
 
 def _point(text: str, at: int) -> str:
@@ -180,6 +191,8 @@ def _point(text: str, at: int) -> str:
     if "." in word and len(last) == 1 and not (after.isalpha() and after.isascii() and text[at + 2 : at + 3] == "."):
         # the last point of a.m., A.D.: an end if a sentence seems to follow, but z.B., i.e. and initials go on
         return "OTHER" if word in _KNOWN or all(len(x) == 1 and x.isupper() for x in word.split(".")) and word not in ("A.D", "B.C", "C.E", "B.C.E", "U.S") else "POINT"
+    if last in _NUMBERING and len(last) > 1:
+        return "OTHER" if _NUMBER_NEXT.match(text, at + 1) or after.islower() else "POINT"
     if word in _KNOWN or last in _KNOWN or len(last) == 1:
         return "OTHER"
     if after.islower():
