@@ -425,6 +425,23 @@ def test_mix(spark):
     assert mixing.mix(docs.limit(0), targets)[0].count() == 0
 
 
+def test_shares_of_the_tables(spark):
+    """Shares are those of the selection, no document is used too often, and sources below their limit keep the proportions of their targets."""
+    selection, shares = (x.cache() for x in mixing.mix(*(spark.read.parquet(f"{FOLDER}/{t}.parquet") for t in ("documents", "mix_targets"))))
+    used, limits = defaultdict(int), {r.source: r.max_repeats for r in shares.collect()}
+    for r in selection.collect():
+        assert 1 <= r.copies <= limits[r.source]
+        used[r.source] += r.copies * r.n_tokens
+    every, free = sum(used.values()), []
+    for r in shares.collect():
+        assert r.selected_tokens == used[r.source] and abs(r.actual_share - used[r.source] / every) < 1e-9
+        at_limit = r.selected_tokens >= 0.98 * r.available_tokens * r.max_repeats
+        if r.available_tokens and not at_limit:
+            free.append((r.selected_tokens / r.target_share, r.selected_tokens / max(1, r.available_documents)))
+    middle = sum(x for x, _ in free) / len(free)
+    assert len(shares.collect()) == spark.read.parquet(f"{FOLDER}/mix_targets.parquet").count() and free and all(abs(x - middle) < 0.1 * middle for x, _ in free)
+
+
 # ---- p8
 
 

@@ -18,6 +18,8 @@ from pyspark.sql import types as T
 
 #: Most texts that the classifier is fitted on; the fitted tables have a fixed size, whatever the corpus.
 TRAINING_TEXTS = 2_000
+#: Longest text that the classifier is fitted on, in characters; with the number of texts it bounds what the driver holds.
+TRAINING_LENGTH = 20_000
 BUCKETS = 1 << 16
 SMOOTHING = 0.01
 #: How many nats a chain must lead the clean class by.
@@ -204,8 +206,8 @@ class Classifier:
 
 
 def training_texts(pages: DataFrame, limit: int = TRAINING_TEXTS) -> list[str]:
-    """At most ``limit`` texts, spread over the corpus by hash, of the layers whose text was not imported."""
-    rows = pages.where(F.col("text_layer").isin("embedded", "ocr") & F.col("text").rlike(r"\S")).select("text", F.xxhash64("page_id").alias("at"))
+    """At most ``limit`` texts of at most ``TRAINING_LENGTH`` characters, spread over the corpus by hash, of the layers whose text was not imported."""
+    rows = pages.where(F.col("text_layer").isin("embedded", "ocr") & F.col("text").rlike(r"\S") & (F.length("text") <= TRAINING_LENGTH)).select("text", F.xxhash64("page_id").alias("at"))
     texts = [r.text for r in rows.orderBy("at", "text").limit(limit).collect()]
     # leave out what shows damage by itself
     return [t for t in texts if "�" not in t and not re.search("[\x80-\x9f]", t)]
