@@ -3,12 +3,16 @@
 from __future__ import annotations
 
 import datetime as dt
+import io
+import zipfile
+from xml.etree import ElementTree
 
 from pyspark.sql import functions as F
 
+from tshegflow.checker import Checker
 from tshegflow.functions import letters as L
 from tshegflow.operators import boxes, lexicon, pages, reports
-from tshegflow.sources import texts
+from tshegflow.sources import documents, texts
 from tshegflow.sources.lineage import cut
 
 
@@ -161,3 +165,26 @@ def test_routes_and_reports(spark):
     errors = spark.createDataFrame([("1", "j", "critical"), ("1", "j", "critical"), ("2", "j", "warning"), ("3", "k", None)], "id string, job_id string, severity string")
     got = {r.job_id: (r.report, r.exit_code) for r in reports.console_report(errors).collect()}
     assert got == {"j": ("Total errors found: 2\n  CRITICAL: 1", 1), "k": ("Total errors found: 0", 0)}
+
+
+def test_word_documents(spark):
+    own = spark.createDataFrame([("j", 2, 5, "བོད་ཡིག <x>\nb"), ("j", 1, 4, " "), ("k", 1, 6, None), (None, 1, 7, "x")], "job_id string, page_number int, page_id long, text string").withColumn("marked", F.lit(1))
+    errors = spark.createDataFrame([("j", 2, "ཡིག"), ("j", 2, "ཡིག"), ("j", 1, "")], "job_id string, page_number int, word string")
+    got = {r.job_id: bytes(r.content) for r in documents.word_documents(own, errors).collect()}
+    assert set(got) == {"j", "k"}
+    with zipfile.ZipFile(io.BytesIO(got["j"])) as packed:
+        body = ElementTree.fromstring(packed.read("word/document.xml"))
+    name = lambda tag: "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}" + tag
+    assert ["".join(t.text for t in p.iter(name("t"))) for p in body.iter(name("p"))] == ["Page 1", "[no text]", "", "Page 2", "བོད་ཡིག <x>", "b"]
+    assert [r.find(name("t")).text for r in body.iter(name("r")) if r.find(name("rPr")) is not None] == ["ཡིག"]
+    assert documents.word_documents(own.limit(0), errors).count() == 0
+
+
+def test_checker(spark):
+    texts_ = spark.createDataFrame([(1, "བོད་གི་x"), (2, None)], "doc_id long, text string")
+    words = spark.createDataFrame([("བོད",)], "word_normalized string")
+    kinds = lambda checker: sorted((r.doc_id, r.error_type) for r in checker.check(texts_).collect())
+    assert kinds(Checker()) == [(1, "non_tibetan_skipped"), (1, "wrong_particle_form")] and kinds(Checker(words)) == [(1, "non_tibetan_skipped"), (1, "unknown_word")]
+    assert {r.doc_id: r.error_count for r in Checker(words).log(texts_).collect()} == {1: 2, 2: 0}
+    rows = spark.createDataFrame([("བོད",)], "syllable string")
+    assert Checker().parse(rows).first().parts.root == "བ" and Checker(words.limit(0)).check_syllables(rows).first().error_type is None
