@@ -143,6 +143,12 @@ _LOG = """SELECT doc_id, text_length, count(e.error_type) AS error_count, count(
 _LOADED = f"""keyed AS (SELECT id, CASE WHEN id % 2 = 0 THEN 'reader_' || source_key ELSE source_key END AS source_key FROM lexicon_source), read AS (SELECT DISTINCT {_CLEAN('word')} AS word, k.source_key, k.id FROM spell_errors JOIN keyed k ON k.id = 1 + page_number % 6),
       kept AS (SELECT * FROM read WHERE word <> '' AND regexp_matches(word, '{TIB}')), incoming AS (SELECT word, min_by(source_key, id) AS first_seen_in FROM kept GROUP BY word HAVING count(*) >= 2),
       links AS (SELECT word, source_key FROM kept WHERE word IN (SELECT word FROM incoming))"""
+_CENTERS = "SELECT DISTINCT page_id, line_id, x, y, width, height, CAST(x + width // 2 AS INTEGER) AS x_center, CAST(y + height // 2 AS INTEGER) AS y_center FROM ocr_lines"
+_SAME_LINE = "abs(s.total / s.n - b.y) <= 20"
+_LINE_GROUPS = f"""centers AS ({_CENTERS}), b AS (SELECT page_id, x_center AS x, y_center AS y, row_number() OVER (PARTITION BY page_id ORDER BY line_id) AS i FROM centers),
+      s AS (SELECT page_id, i, x, y, 1 AS line, CAST(y AS DOUBLE) AS total, 1 AS n FROM b WHERE i = 1
+        UNION ALL SELECT b.page_id, b.i, b.x, b.y, CASE WHEN {_SAME_LINE} THEN s.line ELSE s.line + 1 END, CASE WHEN {_SAME_LINE} THEN s.total + b.y ELSE b.y END, CASE WHEN {_SAME_LINE} THEN s.n + 1 ELSE 1 END FROM s JOIN b ON b.page_id = s.page_id AND b.i = s.i + 1),
+      lines AS (SELECT page_id, CAST(max(line) OVER (PARTITION BY page_id) - line + 1 AS INTEGER) AS line_no, CAST(row_number() OVER (PARTITION BY page_id, line ORDER BY x, i) AS INTEGER) AS place, x, y FROM s)"""
 _SEEDS = _values([(w,) for w in L.SEED_WORDS], "word")
 _WORDS = "SELECT page_id, job_id, page_number, text_layer, unnest(words) AS w, generate_subscripts(words, 1) AS word_no FROM page_content"
 
@@ -199,7 +205,10 @@ ORACLES = {
     "console_report": f"""WITH c AS (SELECT job_id, count(*) FILTER (severity = 'critical') AS c, count(*) FILTER (severity = 'error') AS e, count(*) FILTER (severity = 'warning') AS w, count(*) FILTER (severity = 'info') AS i FROM {ONCE} GROUP BY job_id)
       SELECT job_id, 'Total errors found: ' || (c + e + w + i) || CASE WHEN c > 0 THEN chr(10) || '  CRITICAL: ' || c ELSE '' END || CASE WHEN e > 0 THEN chr(10) || '  ERROR: ' || e ELSE '' END || CASE WHEN i > 0 THEN chr(10) || '  INFO: ' || i ELSE '' END AS report, CASE WHEN c + e + w + i = 0 THEN 0 ELSE 1 END AS exit_code FROM c""",
     "changelog_unreleased": "SELECT DISTINCT l_orderkey AS file_id, 'Unreleased' AS version, l_linenumber * 10000000000 + l_partkey * 100000 + l_suppkey AS at FROM lineitem WHERE l_partkey % 8 = 5",
-    "ocr_centers": "SELECT DISTINCT page_id, line_id, x, y, width, height, CAST(x + width // 2 AS INTEGER) AS x_center, CAST(y + height // 2 AS INTEGER) AS y_center FROM ocr_lines",
+    "ocr_centers": _CENTERS,
+    "ocr_line_groups": f"WITH RECURSIVE {_LINE_GROUPS} SELECT * FROM lines",
+    "ocr_merged_lines": f"""WITH RECURSIVE {_LINE_GROUPS}, first AS (SELECT * FROM centers QUALIFY row_number() OVER (PARTITION BY page_id, x_center, y_center ORDER BY line_id) = 1)
+      SELECT l.page_id, l.line_no, min(f.x) AS x, min(f.y) AS y, max(f.x + f.width) - min(f.x) AS width, max(f.y + f.height) - min(f.y) AS height FROM lines l JOIN first f ON f.page_id = l.page_id AND f.x_center = l.x AND f.y_center = l.y GROUP BY ALL""",
     "ocr_line_threshold": """WITH once AS (SELECT DISTINCT page_id, line_id, x, y, width, height FROM ocr_lines), frame AS (SELECT page_id, min(x) AS l, CAST(((max(x + width) - min(x)) // 20) // 2 AS INTEGER) AS step FROM once GROUP BY page_id),
       starts AS (SELECT page_id, unnest([l + step * i FOR i IN range(1, step + 1)]) AS s FROM frame), met AS (SELECT page_id, s, y + height // 2 AS c FROM starts JOIN once USING (page_id) WHERE x < s + 20 AND x + width > s),
       each AS (SELECT page_id, s, count(*) AS n, median(c) AS m FROM met GROUP BY ALL), best AS (SELECT * FROM each QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY n DESC, s) = 1)
