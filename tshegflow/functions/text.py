@@ -38,9 +38,18 @@ def nfc(text: Column) -> Column:
     return F.coalesce(_nfc(F.when(text.rlike(_MAYBE_UNSTABLE), text)), text)
 
 
+_NO_WIDTH = dict.fromkeys(map(ord, L.ZERO_WIDTH))
+
+
+@F.pandas_udf(T.StringType())
+def _normal(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    for texts in batches:
+        yield texts.map(lambda t: unicodedata.normalize("NFC", t).translate(_NO_WIDTH), na_action="ignore")
+
+
 def normalize(text: Column) -> Column:
-    """NFC without zero-width spaces and joiners."""
-    return F.translate(nfc(text), L.ZERO_WIDTH, "")
+    """NFC without zero-width spaces and joiners. Only rows that may change are sent to Python; none of the others has such a character."""
+    return F.coalesce(_normal(F.when(may_change(text), text)), text)
 
 
 def strip(text: Column) -> Column:

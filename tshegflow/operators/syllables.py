@@ -55,8 +55,8 @@ def tokenize(texts: DataFrame, key: str = "doc_id", text: str = "text") -> DataF
 
 def distinct_syllables(texts: DataFrame, text: str = "text") -> DataFrame:
     """``(syllable, n)``: the distinct tokens with Tibetan letters, without leaving the JVM where texts are in NFC. Others need no outcome."""
-    each = texts.select(F.explode(F.regexp_extract_all(X.normalize(F.col(text)), F.lit(f"[^{_D}]+"), 0)).alias("syllable"))
-    return each.where(X.has_tibetan(F.col("syllable"))).groupBy("syllable").agg(F.count(F.lit(1)).alias("n"))
+    each = texts.select(F.explode(F.regexp_extract_all(X.normalize(F.col(text)), F.lit(f"[^{_D}]*?[{L.BLOCK}&&[^{_D}]][^{_D}]*+"), 0)).alias("syllable"))
+    return each.groupBy("syllable").agg(F.count(F.lit(1)).alias("n"))
 
 
 def _class(chars: str) -> str:
@@ -283,7 +283,7 @@ def known_outcomes(counts: DataFrame, inventory: DataFrame | None = None) -> tup
     """Outcomes of the most frequent of ``(syllable, n)``, at most ``BROADCAST_SYLLABLES``, and whether these are all."""
     counts = cut(counts)
     all_of_them = counts.count() <= BROADCAST_SYLLABLES
-    return cut(outcomes(counts if all_of_them else counts.orderBy(F.desc("n"), "syllable").limit(BROADCAST_SYLLABLES), inventory)), all_of_them
+    return outcomes(counts if all_of_them else counts.orderBy(F.desc("n"), "syllable").limit(BROADCAST_SYLLABLES), inventory), all_of_them
 
 
 def checked_tokens(tokens: DataFrame, inventory: DataFrame | None = None, known: tuple[DataFrame, bool] | None = None) -> DataFrame:
