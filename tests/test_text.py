@@ -43,7 +43,7 @@ def test_position_map_of_every_text(spark):
     """All rows come out, the texts that NFC changes by the definition: what each prefix adds to the length of its NFC."""
     folder = "/root/testdata/sf0.01"
     texts = {r.request_id: r.text for r in spark.read.parquet(f"{folder}/check_requests.parquet").select("request_id", "text").collect()}
-    rows = [(r.request_id, r.value) for r in registry.queries()["fn_position_map_all"](spark, folder).collect()]
+    rows = [(r.request_id, r.value) for r in registry.queries()["fn_position_map"](spark, folder).collect()]
     got, changed = dict(rows), 0
     assert len(rows) == spark.read.parquet(f"{folder}/check_requests.parquet").count() and set(got) == set(texts)
     for i, text in texts.items():
