@@ -285,6 +285,7 @@ def title_lines(lines: DataFrame) -> DataFrame:
 
 # ---- one page ---------------------------------------------------------------
 
+_HYPHENS = "-‐‑¬\u00ad"
 _HYPHEN = re.compile(r"(?P<word>[^\W\d_][\w\-’'|·]*|\w)(?P<mark>[-‐‑¬­])\s*$")
 _CONTINUES = re.compile(r"\s*(?P<word>[^\W\d_ༀ-࿿一-鿿][^\W_]*)")
 _WORD = re.compile(
@@ -495,7 +496,8 @@ class PageReader:
                 add("\n\n", i)
                 continue
             follow = lines[running[k + 1]] if k + 1 < len(running) else ""
-            m = _HYPHEN.search(line)
+            last = line.rstrip()[-1:]
+            m = _HYPHEN.search(line) if last in _HYPHENS else None
             c = _CONTINUES.match(follow) if m else None
             if m and c and self._broken(m["word"], c["word"], m["mark"]):
                 faults.append((i + 1, "hyphen"))
@@ -506,7 +508,7 @@ class PageReader:
                 add(" ", running[k + 1])
             elif m and c:
                 add(line.rstrip(), i)
-            elif re.search(r"[་一-鿿。，；：！？、”》]\s*$", line):
+            elif last in "་。，；：！？、”》" or "一" <= last <= "鿿":
                 add(line.rstrip(), i)
             else:
                 add(line.rstrip() + " ", i)
@@ -580,17 +582,27 @@ def word_hash(word: str) -> int:
 
 
 class _Asking(PageReader):
-    """Notes the words that a reader may ask for, of those that may be known."""
+    """Notes the words and the pairs of neighbours that a reader may ask for, of those that may be known."""
 
-    def __init__(self, known: bits.Probe, channel: dict[tuple[str, str], float], longest: int):
-        super().__init__(Model(_Maybe(known), {}, 1, channel, Spelling({}, {}), longest))
+    def __init__(self, words: bits.Probe, pairs: bits.Probe, channel: dict[tuple[str, str], float], longest: int):
+        super().__init__(Model(_Maybe(words), {}, 1, channel, Spelling({}, {}), longest))
         self.asked = self.model.words.asked
+        self.may_follow = pairs
+        self.pairs: set[int] = set()
+        self.neighbours: set[tuple[str, str]] = set()
         self.joins = False
-        self.seen: set[str] = set()
+        self.seen: dict[str, tuple[bool, list[str], list[str]]] = {}
+
+    def ask(self, words: Iterable[str]) -> list[str]:
+        """The words of these that may be known."""
+        known = self.model.words
+        return [w for w in words if w in known]
 
-    def ask(self, words: Iterable[str]) -> None:
-        for w in words:
-            self.model.words.get(w)
+    def meet(self, before: Iterable[str], after: list[str]) -> None:
+        for a in before:
+            for b in after:
+                if self.may_follow(key := pair_key(a, b)):
+                    self.pairs.add(key)
 
     def _broken(self, left: str, right: str, mark: str) -> bool:
         if mark in "¬\u00ad":
@@ -601,76 +613,53 @@ class _Asking(PageReader):
         self.ask((a + b, head + b, f"{a}-{b}", head, b, *(w for w, _ in variants(a + b, self.model.meant))))
         return self.joins
 
-    def _speckled(self, chunk: str) -> list[Reading]:
-        letters = _RUN.split(chunk)[::2]
-        self.ask(word for i in range(len(letters)) for word, _, _ in self._arcs(letters, i) if word)
-        self.ask(mark_key("tibetan", c) for c in SPECKS)
-        return []
-
-    def words(self, text: str, titles: list[int]) -> None:
-        for self.joins in (True, False):
-            self.undecided = False
-            for m in _WORD.finditer(self.running(text, titles)[0]):
-                if m.group() in self.seen:
-                    continue
-                if len(self.seen) > CACHED:
-                    self.seen.clear()
-                self.seen.add(m.group())
-                self.ask(w for ws, _ in self.options(m, m.group().lower()) for w in ws)
-            if not self.undecided:
-                break
-
-
-class _Pairing(PageReader):
-    """Finds the pairs that a reader may ask for: neighbours of which one has more than one reading."""
-
-    def __init__(self, words: dict[str, int], channel: dict[tuple[str, str], float], longest: int):
-        super().__init__(Model(words, {}, 1, channel, Spelling({}, {}), longest))
-        self.inner: set[tuple[str, str]] = set()
-        self.seen: dict[str, tuple[bool, list[str], list[str]]] = {}
-
     def _speckled(self, chunk: str) -> list[Reading]:
         """All first and last words of the lattice, as readings; the pairs inside are noted."""
         letters, known = _RUN.split(chunk)[::2], self.model.words
-        arcs = [[(w, j) for w, j, _ in self._arcs(letters, i)] for i in range(len(letters))]
+        self.ask(mark_key("tibetan", c) for c in SPECKS)
         # words that may stand before each cut, through arcs without letters too
         last: list[set[str | None]] = [set() for _ in range(len(letters) + 1)]
         last[0].add(None)
         firsts: set[str] = set()
-        for i, each in enumerate(arcs):
-            for w, j in each:
+        for i in range(len(letters)):
+            for w, j, _ in self._arcs(letters, i):
                 if not w:
                     last[j] |= last[i]
                     continue
                 if None in last[i]:
                     firsts.add(w)
                 if w in known:
-                    self.inner.update((b, w) for b in last[i] if b in known)
+                    self.meet((b for b in last[i] if b and b in known), [w])
                 last[j].add(w)
-        solid = [x for x in letters if x]
-        self.inner.update((a, b) for a, b in zip(solid, solid[1:]) if a in known and b in known)
+        solid = self.ask(x for x in letters if x)
+        for a, b in zip(solid, solid[1:]):
+            self.meet([a], [b])
         return [((chunk,), 0.0), *(((w,), 0.0) for w in sorted(firsts | (last[-1] - {None})))]
 
-    def _readings(self, m: re.Match) -> tuple[bool, list[str], list[str]]:
-        """Whether there are several, and their known first and last words."""
+    def _ends(self, m: re.Match) -> tuple[bool, list[str], list[str]]:
+        """Whether a word has several readings, and the first and last words of them that may be known."""
         if (r := self.seen.get(m.group())) is None:
-            known, here = self.model.words, self.options(m, m.group().lower())
+            here = self.options(m, m.group().lower())
             if len(self.seen) > CACHED:
                 self.seen.clear()
-            r = self.seen[m.group()] = (len(here) > 1, [*{ws[0] for ws, _ in here if ws[0] in known}], [*{ws[-1] for ws, _ in here if ws[-1] in known}])
+            r = self.seen[m.group()] = (len(here) > 1, self.ask({ws[0] for ws, _ in here}), self.ask({ws[-1] for ws, _ in here}))
         return r
 
-    def pairs(self, text: str, titles: list[int]) -> set[tuple[str, str]]:
-        out: set[tuple[str, str]] = set()
-        before, before_open = [], False
-        for m in _WORD.finditer(self.running(text, titles)[0]):
-            is_open, firsts, lasts = self._readings(m)
-            if is_open or before_open:
-                out.update((a, b) for a in before for b in firsts)
-            before, before_open = lasts, is_open
-        out |= self.inner
-        self.inner.clear()
-        return out
+    def note(self, text: str, titles: list[int]) -> None:
+        for self.joins in (True, False):
+            self.undecided = False
+            before, before_open, chunk = [], False, ""
+            for m in _WORD.finditer(self.running(text, titles)[0]):
+                is_open, firsts, lasts = self._ends(m)
+                two = (chunk, chunk := m.group())
+                if (is_open or before_open) and two not in self.neighbours:
+                    if len(self.neighbours) > CACHED:
+                        self.neighbours.clear()
+                    self.neighbours.add(two)
+                    self.meet(before, firsts)
+                before, before_open = lasts, is_open
+            if not self.undecided:
+                break
 
 
 class _Forms(PageReader):
@@ -827,40 +816,32 @@ class Corpus:
         channel, longest = self.channel, self.longest
         probes = scans.sparkSession.sparkContext.broadcast((self.known_words, self.known_pairs))
 
-        def words_asked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            reader = _Asking(bits.Probe(probes.value[0]), channel, longest)
-            for batch in batches:
-                for text, titles in zip(batch["text"], batch["titles"]):
-                    reader.words(text, _numbers(titles))
-                    if len(reader.asked) > CACHED:
-                        yield pd.DataFrame({"word": [*reader.asked]})
-                        reader.asked.clear()
-            if reader.asked:
-                yield pd.DataFrame({"word": [*reader.asked]})
-
-        read = scans.select("text", "titles")
-        asked = read.mapInPandas(words_asked, "word string").distinct()
-        found = self._few(self.counts.where("pair IS NULL").select("word", "n").join(asked, "word", "left_semi"))
-        if found is None:
-            return None
-        words = dict(zip(found["word"], found["n"].astype(int)))
-        shared = scans.sparkSession.sparkContext.broadcast(words)
+        def asked_by(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            known_words, known_pairs = probes.value
+            reader = _Asking(bits.Probe(known_words), bits.Probe(known_pairs), channel, longest)
+
+            def flush() -> pd.DataFrame:
+                words, pairs = [*reader.asked], [*reader.pairs]
+                reader.asked.clear()
+                reader.pairs.clear()
+                reader.seen.clear()
+                reader.neighbours.clear()
+                return pd.DataFrame({"word": [*words, *[None] * len(pairs)], "pair": pd.array([*[None] * len(words), *pairs], dtype="Int64")})
 
-        def pairs_asked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            reader, asked, known = _Pairing(shared.value, channel, longest), set(), bits.Probe(probes.value[1])
             for batch in batches:
                 for text, titles in zip(batch["text"], batch["titles"]):
-                    asked.update(key for p in reader.pairs(text, _numbers(titles)) if known(key := pair_key(*p)))
-                    if len(asked) > CACHED:
-                        yield pd.DataFrame({"pair": [*asked]})
-                        asked.clear()
-            if asked:
-                yield pd.DataFrame({"pair": [*asked]})
-
-        near = read.mapInPandas(pairs_asked, "pair long").distinct()
-        met = self._few(self.counts.where(F.col("pair").isNotNull()).select("pair", "n").join(near, "pair", "left_semi"))
-        shared.unpersist()
-        return None if met is None else Model(words, dict(zip(met["pair"].astype("int64"), met["n"].astype(int))), self.total, channel, self.spelling, longest)
+                    reader.note(text, _numbers(titles))
+                    if len(reader.asked) + len(reader.pairs) > CACHED:
+                        yield flush()
+            if reader.asked or reader.pairs:
+                yield flush()
+
+        asked = cut(scans.select("text", "titles").mapInPandas(asked_by, "word string, pair long").distinct())
+        found = self._few(self.counts.where("pair IS NULL").select("word", "n").join(asked.where("pair IS NULL").select("word"), "word", "left_semi"))
+        met = self._few(self.counts.where(F.col("pair").isNotNull()).select("pair", "n").join(asked.where(F.col("pair").isNotNull()).select("pair"), "pair", "left_semi"))
+        if found is None or met is None:
+            return None
+        return Model(dict(zip(found["word"], found["n"].astype(int))), dict(zip(met["pair"].astype("int64"), met["n"].astype(int))), self.total, channel, self.spelling, longest)
 
     @staticmethod
     def _few(entries: DataFrame) -> pd.DataFrame | None:
