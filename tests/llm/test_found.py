@@ -387,6 +387,8 @@ def test_hits_find_what_aligning_all_pairs_finds(spark):
     assert len(want) > 10
     got = {(r.doc_id, r.item_id) for r in contamination.leaks(docs, items).collect()}
     assert got <= want and len(got) >= 0.9 * len(want)
+    # nor does the least share of fingerprints drop a pair that extension would keep
+    assert {(r.doc_id, r.item_id) for r in contamination.leaks(docs, items, share=0.0).collect()} == got
 
 
 # ---- p7
