@@ -23,7 +23,7 @@ SCRIPT = {
 }
 #: The script must be switched on. ``{s}`` stands for the script words.
 NEEDS = {
-    "en": r"(?:^|\b(?:please|must|to|should|you|and|then|need to|have to)\s)(?:re-?)?(?:enable|activate|allow|turn on|switch on|accept)\s(?:[\w-]+\s){{0,3}}?(?:{s})\b|\b(?:needs?|requires?|depends? on|relies on|works? (?:only|best) with|not work (?:properly )?without|empty without|limited without)\s(?:[\w-]+\s){{0,3}}?(?:{s})\b"
+    "en": r"(?:^|\b(?:please|must|to|should|you|and|then|need to|have to)\s)(?:re-?)?(?:enable|activate|allow|turn on|switch on|accept)\s(?:[\w-]+\s){{0,3}}?(?:{s})\b|\b(?:needs?|requires?|depends? on|relies on|works? (?:only|best) with|(?:not|n't) work (?:properly )?without|empty without|limited without)\s(?:[\w-]+\s){{0,3}}?(?:{s})\b"
     r"|(?:{s})(?:\s(?:and|or)\s(?:{s}))?(?:\ssupport)?\s(?:is|are|must|should|has|have|seems?|appears?|needs?)\s(?:[\w-]+\s){{0,3}}?(?:disabled|blocked|required|needed|off|enabled|allowed|turned on|switched on|active|accepted|mandatory|necessary)\b|(?:{s}) (?:disabled|blocked|required|is off)\b|\bturn (?:{s}) on\b|\bnoscript\b",
     "de": r"(?:{s})\b.*\b(?:aktivieren|einschalten|zulassen|aktiviert|deaktiviert|ausgeschaltet|abgeschaltet|blockiert|erforderlich|benötigt|notwendig|erlauben|akzeptieren)\b|\b(?:aktivieren|schalten|benötigt|erfordert|braucht|erlauben|akzeptieren|ohne)\b.*(?:{s})\b",
     "fr": r"\b(?:activer|activez|autoriser|autorisez|accepter|acceptez|nécessite|nécessitent|requiert|sans|besoin)\b.*(?:{s})\b|(?:{s})\b.*\b(?:désactivée?s?|bloquée?s?|requis|requise?s?|nécessaires?|activée?s?|autorisée?s?|obligatoires?)\b",
@@ -34,7 +34,7 @@ NEEDS = {
 }
 #: A failure that only sites have.
 FAILS = {
-    "en": rf"(?:page|file|url|site|document|record|item|entry|article|resource|text|content|host|address|link) (?:(?:can ?not|could not|couldn't|can't) be found|(?:was |is )?not found|does(?: not|n't) exist|no longer exists|is no longer available|has (?:been )?(?:moved|removed|deleted))|(?:internal|server|application|network|gateway|runtime|database|fatal|proxy|connection) error|{REASONS.replace('|forbidden|not found', '').replace('|conflict|gone', '').replace('|not acceptable', '').replace('|payment required', '').replace('|not implemented', '').replace('|length required', '').replace('unauthori[sz]ed|', '')}"
+    "en": rf"not found on this (?:server|site|website)|(?:page|file|url|site|document|record|item|entry|article|resource|text|content|host|address|link) (?:(?:can ?not|could not|couldn't|can't) be found|(?:was |is )?not found|does(?: not|n't) exist|(?:is not|isn't) available|no longer exists|is no longer available|has (?:been )?(?:moved|removed|deleted))|(?:internal|server|application|network|gateway|runtime|database|fatal|proxy|connection) error|{REASONS.replace('|forbidden|not found', '').replace('|conflict|gone', '').replace('|not acceptable', '').replace('|payment required', '').replace('|not implemented', '').replace('|length required', '').replace('unauthori[sz]ed|', '')}"
     r"|something (?:has gone|went|is) wrong|(?:exception|error) (?:has )?occurred|an? (?:unexpected|unknown|internal) (?:error|exception|condition)|error code|session (?:has |is )?(?:been )?(?:expired|ended|timed out|closed)|(?:has |have )?timed out|time ?out while|(?:service|server|system|site|upstream|gateway|host|backend)\b.* (?:did not|does not|is not|failed to|refused to) (?:answer|respond|connect|answering|responding)|(?:server|service|system|site) is (?:busy|down|overloaded|offline|unavailable|under maintenance)"
     r"|(?:temporarily|currently) (?:unavailable|offline|out of service)|down for maintenance|browser is (?:too old|not supported|no longer supported|out of date|outdated|unsupported)|(?:do not|don't) have (?:the )?(?:permission|rights?|access)|(?:not|aren't) (?:authori[sz]ed|allowed|permitted) to (?:view|access|open|see)|checking your (?:browser|connection)|verify(?:ing)? (?:that )?you are (?:a )?human|unusual traffic|security check|rate limit|(?:could not|couldn't|cannot|can't|unable to|failed to) (?:be )?(?:load|loaded|connect|render|rendered|retrieve)\b|(?:could not|cannot|can't) be (?:\w+) (?:at the moment|right now|at this time|currently)"
     rf"|^(?:the|this|that) [\w-]+ (?:that )?you(?:'re| are| were| have|'ve)? (?:asked|request|look|tri|search|want|access|select)\w*\b.*\b(?:not|no longer|gone|moved|removed|unavailable|missing|deleted)\b|\b(?:is|are|has been) (?:gone|missing|removed|moved|deleted) \((?:http |error )?(?:{'|'.join(STATUS)})\)",
@@ -59,10 +59,10 @@ ACTS = {
 #: A closed door: said in two or three words by sites, and in whole sentences by others.
 TERSE = r"access (?:is |has been )?(?:denied|forbidden|restricted)|permission denied|forbidden|unauthori[sz]ed|not found|page not found|service unavailable|maintenance|unavailable|timeout|error|oops|(?:the |this )?[\w-]+ (?:not found|unavailable)|connection (?:lost|refused|reset|closed)|login required|captcha|zugriff verweigert|nicht gefunden|accès refusé|introuvable|nicht verfügbar|indisponible"
 #: The visitor is spoken to.
-ADDRESSED = re.compile(r"\b(?:you|your|you're|please|sorry|oops|we're|we are|we could|we couldn't|we cannot|we can't|sie|ihre?n?|bitte|leider|vous|votre|veuillez|désolés?|usted|su|por favor|пожалуйста|вы|ваш\w*)\b|[您请]|抱歉|对不起|རོགས|ཁྱེད|कृपया|таны?\b|уу\b")
+ADDRESSED = re.compile(r"\b(?:you|your|you're|please|sorry|oops|we're|we are|we could|we couldn't|we cannot|we can't|ihre?n?|bitte|leider|this (?:server|site|website|page|app|browser)|vous|votre|veuillez|désolés?|usted|su|por favor|пожалуйста|вы|ваш\w*)\b|[您请]|抱歉|对不起|རོགས|ཁྱེད|कृपया|таны?\b|уу\b")
 #: Told of the past, of oneself, or of what people do.
 TOLD = re.compile(
-    r"\b(?:i|my|me|he|she|his|her|they|their|them|was|were|had|once|said|wrote|yesterday|(?:some|many|most) (?:of|readers|people|users|visitors)|when|because|whether|means?|meant|called|ich|mein\w*|er|war|waren|wurden?|hatte|gestern|manche|viele|wenn|weil|bedeutet|je|mon|ma|il|elle|était|avait|fut|hier|quand|parce|certains|signifie)\b|意思|表示|曾经|昨天|有些"
+    r"\b(?:i|my|me|he|she|his|her|they|their|them|was|were|had|once|said|wrote|yesterday|(?:some|many|most) (?:of|readers|people|users|visitors)|when|because|whether|means?|meant|called|ich|mein\w*|er|war|waren|hatte|gestern|manche|viele|wenn|weil|bedeutet|je|mon|ma|il|elle|était|avait|fut|hier|quand|parce|certains|signifie)\b|意思|表示|曾经|昨天|有些"
 )
 _QUOTED = re.compile(r"“[^”\n]*”|„[^“”\n]*[“”]|«[^»\n]*»|‘[^’\n]{2,}’|\"[^\"\n]*\"|(?<![\w])'[^'\n]{2,}'(?!\w)|「[^」\n]*」|『[^』\n]*』|《[^》\n]*》|`[^`\n]*`")
 _UNIT = re.compile(r"[^\n.!?;。！？；।॥།༎༔༑…]+(?:\.(?=\S)[^\n.!?;。！？；।॥།༎༔༑…]+)*")
