@@ -163,6 +163,8 @@ def _stretches(runs: list[tuple[int, int, int]], least: int) -> list[tuple[int,
 def _cover(passage: np.ndarray, text: np.ndarray, diagonals: np.ndarray) -> tuple[float, int, int] | None:
     """Share of the passage that a chain of running stretches covers, and the chain's first and last letter in the text."""
     runs = sorted((p + d, p, n) for d in diagonals.tolist() for p, n in _runs(passage, text, d).tolist())
+    if sum(n + BRIDGE for _, _, n in runs) < LEAST_COVERAGE * len(passage):
+        return None  # bridged gaps and all, the runs are too few
     whole = _stretches(runs, least_stretch(len(passage)))
     if not whole:
         return None
@@ -262,13 +264,18 @@ def candidates(texts: DataFrame, prints: DataFrame, count: int, share: float | N
 _COVER = T.StructType([T.StructField("coverage", T.DoubleType()), T.StructField("start_pos", T.IntegerType()), T.StructField("end_pos", T.IntegerType())])
 
 
+@lru_cache(4096)
+def _letters(passage: str) -> np.ndarray:
+    return fold([passage])[0]
+
+
 @F.pandas_udf(_COVER)
 def _extend(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
     for texts, passages, diagonals in batches:
         rows = []
         for text, passage, shifts in zip(texts, passages, diagonals):
             letters, origin, _ = fold([text])
-            found = _cover(fold([passage])[0], letters, np.sort(np.asarray(shifts, np.int64)))
+            found = _cover(_letters(passage), letters, np.sort(np.asarray(shifts, np.int64)))
             rows.append((round(found[0], 4), int(origin[found[1]]), int(origin[found[2]]) + 1) if found else (0.0, 0, 0))
         yield pd.DataFrame(rows, columns=["coverage", "start_pos", "end_pos"])
 
