@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 import time
+import tracemalloc
 import unicodedata
 from collections import Counter, defaultdict
 
@@ -155,6 +156,30 @@ def test_scan_repair(spark):
         scan_repair.MODEL_ENTRIES = before
 
 
+def test_parts_of_any_size(spark, monkeypatch):
+    """A page that asks for more than a part may hold is a part of its own; so are pages that ask for nothing, and pages without an id. The driver holds no model."""
+    pages = _scan_fixture(spark).drop("line_no", "titles").unionByName(spark.createDataFrame([(9, "k", 6, "12 34", "ocr"), (None, "k", 7, "The fo1io", "ocr")], "page_id long, job_id string, page_number int, text string, text_layer string"))
+    rows = lambda: Counter((r.page_id, str(r.faults), str(r.paragraphs)) for r in scan_repair.repair(pages).collect())
+    want = rows()
+    assert want[9, "[]", "['12 34']"] and want[None, "[Row(line_no=1, fault='misread')]", "['The folio']"]
+    monkeypatch.setattr(scan_repair, "MODEL_ENTRIES", 2)
+    monkeypatch.setattr(scan_repair, "repair_scans", None)
+    assert rows() == want
+
+
+def test_a_large_set_of_bits_takes_little_memory_of_the_driver(spark):
+    arrow = "spark.sql.execution.arrow.pyspark.enabled"
+    before = spark.conf.get(arrow)
+    spark.conf.set(arrow, "false")
+    tracemalloc.start()
+    try:
+        words = bits.build(spark.range(300_000).select((F.col("id") * 64).alias("hash")), 4_000_000)
+        assert tracemalloc.get_traced_memory()[1] < 3 * words.nbytes and (words == 1).sum() == 300_000
+    finally:
+        tracemalloc.stop()
+        spark.conf.set(arrow, before)
+
+
 def test_pages_without_text_are_made_of_their_lines(spark):
     lines = spark.createDataFrame([(6, 2, "kept."), (6, 1, "The folio was"), (6, 1, "The folio was"), (6, 3, None), (5, 1, "་"), (2, 1, "not used")], "page_id long, line_no int, text string").withColumn("job_id", F.lit("clash"))
     got = {r.page_id: r.paragraph for r in scan_repair.paragraphs(scan_repair.repair(_scan_fixture(spark), lines)).collect()}

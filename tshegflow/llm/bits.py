@@ -16,9 +16,9 @@ def build(hashes: DataFrame, count: int, powers: tuple[int, int] | None = None)
     bits = 1 << max(low, min(high, (16 * count).bit_length()))
     slot = F.col("hash").bitwiseAND(F.lit(bits - 1))
     one = F.call_function("shiftleft", F.lit(1).cast("long"), slot.bitwiseAND(F.lit(63)).cast("int"))
-    rows = hashes.where(F.col("hash").isNotNull()).groupBy(F.shiftright(slot, 6).alias("word")).agg(F.bit_or(one).alias("bits")).toPandas()
+    rows = hashes.where(F.col("hash").isNotNull()).groupBy(F.shiftright(slot, 6).alias("word")).agg(F.bit_or(one).alias("bits")).toArrow()  # toPandas may make a Python object of every number
     words = np.zeros(bits // 64, np.uint64)
-    words[rows["word"].to_numpy(np.int64)] = rows["bits"].to_numpy(np.int64).view(np.uint64)
+    words[rows["word"].to_numpy()] = rows["bits"].to_numpy().view(np.uint64)
     return words
 
 

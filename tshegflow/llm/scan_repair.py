@@ -14,13 +14,14 @@ from collections import Counter
 from collections.abc import Iterable, Iterator
 from math import log
 
+import numpy as np
 import pandas as pd
 import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..sources.lineage import cut
+from ..sources.lineage import cut, release
 from . import bits
 
 #: Marks that scanning puts between or in the place of characters.
@@ -33,8 +34,8 @@ ROUNDS, LEAST_EXPECTED = 4, 1.5
 UNKNOWN_IDEOGRAPH = 1e-8
 #: Share of the pairs in a word's likelihood, and how often a word must be seen for its followers to get half of that.
 PAIR_SHARE, BACKOFF = 0.7, 5
-#: Entries of one broadcast model; scanned pages that ask for more are read in parts, by hash of their page.
-MODEL_ENTRIES = 3_000_000
+#: Entries of one model. Scanned pages that ask for more are read in parts, each of which ends with the page that reaches this or ``PART_TEXT`` characters.
+MODEL_ENTRIES, PART_TEXT = 400_000, 2_000_000
 #: Entries that a Python worker remembers between pages.
 CACHED = 400_000
 
@@ -697,7 +698,7 @@ def _scanned_forms(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def read_scans(pages: DataFrame, lines: DataFrame | None = None) -> DataFrame:
-    """``(page_id, text, titles)`` of every scanned page; ``titles`` holds the numbers of title lines, or is null.
+    """``(page_id, text, titles, at)`` of every scanned page; ``titles`` holds the numbers of title lines, or is null, and ``at`` rises along each stored partition.
 
     With ``lines``, the recognised lines, a page whose text is blank is made of its distinct lines in their order.
     """
@@ -711,7 +712,7 @@ def read_scans(pages: DataFrame, lines: DataFrame | None = None) -> DataFrame:
         scans = scans.join(made, "page_id", "left").select("page_id", "job_id", F.when(F.trim("text") == "", F.coalesce("lines_text", "text")).otherwise(F.col("text")).alias("text"))
     each = scans.where(F.trim("text") != "").select("page_id", "job_id", F.posexplode(F.split("text", "\n", -1)).alias("at", "line")).select("page_id", "job_id", (F.col("at") + 1).cast("int").alias("line_no"), "line")
     titles = title_lines(each.where(F.trim("line") != "")).groupBy("page_id").agg(F.sort_array(F.collect_list("line_no")).alias("titles"))  # lines of one page
-    return cut(scans.join(titles, "page_id", "left").select("page_id", "text", "titles"))
+    return cut(scans.join(titles, "page_id", "left").select("page_id", "text", "titles", F.monotonically_increasing_id().alias("at")))
 
 
 # ---- the channel --------------------------------------------------------------
@@ -781,6 +782,7 @@ def learn_channel(counts: DataFrame, scans: DataFrame, total: int, spelling: Spe
     evidence = cut(near.join(alone, "seen", "left").select("form", "scanned", "n", "seen", "meant", "share", null.alias("null"), start.alias("start")))
     parts = forms.select("n", F.explode(F.when(is_triple, F.array(F.substring("form", 2, 1))).otherwise(F.concat(F.split("form", ""), F.transform(_gaps(F.col("form"), 2), lambda g: g["part"])))).alias("meant"))
     often = cut(parts.where("meant <> ''").groupBy("meant").agg(F.sum("n").alias("cases")))
+    release(scans.sparkSession)
     channel = None
     for _ in range(ROUNDS):
         p = F.col("start") if channel is None else F.col("p")
@@ -790,7 +792,7 @@ def learn_channel(counts: DataFrame, scans: DataFrame, total: int, spelling: Spe
         expected = cases.select("seen", "meant", "start", F.greatest(F.lit(0.0), F.col("e") - F.col("usual") - 2 * F.sqrt("usual")).alias("expected"))
         p = (F.col("expected") + PRIOR * F.col("start")) / (F.coalesce("cases", F.lit(0)) + F.col("expected") + PRIOR)
         channel = expected.join(often, "meant", "left").select("seen", "meant", "expected", p.alias("p"))
-    rows = channel.where(F.col("expected") >= LEAST_EXPECTED).collect()
+    rows = cut(channel.where(F.col("expected") >= LEAST_EXPECTED)).collect()  # collected from its plan, the shuffle files of all rounds would stay
     return {(r.seen, r.meant): log(r.p) for r in rows}
 
 
@@ -809,54 +811,62 @@ class Corpus:
         self.known_words = bits.build(self.counts.select(F.when(F.col("word").isNotNull(), F.xxhash64("word")).alias("hash")), size.words)
         self.known_pairs = bits.build(self.counts.select(F.col("pair").alias("hash")), size.pairs)
         self.spelling = learn_spelling(self.counts)
+        release(scans.sparkSession)
         self.channel = learn_channel(self.counts, scans, self.total, self.spelling)
 
-    def model(self, scans: DataFrame) -> Model | None:
-        """The words and pairs that ``scans`` can ask for: nothing else of the counts could change a reading. None if they are more than ``MODEL_ENTRIES``."""
-        channel, longest = self.channel, self.longest
+    def asked(self, scans: DataFrame) -> DataFrame:
+        """``(part, words, pairs)``: what each part of ``scans`` can ask for, nothing twice; nothing else of the counts could change a reading.
+
+        A part is a run of neighbouring pages, named by the ``at`` of the first. It is stored, so entries are kept in arrays, which take less room than rows.
+        """
+        channel, longest, most_entries, most_text = self.channel, self.longest, MODEL_ENTRIES, PART_TEXT
         probes = scans.sparkSession.sparkContext.broadcast((self.known_words, self.known_pairs))
 
         def asked_by(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             known_words, known_pairs = probes.value
             reader = _Asking(bits.Probe(known_words), bits.Probe(known_pairs), channel, longest)
+            part, size = None, 0
 
             def flush() -> pd.DataFrame:
-                words, pairs = [*reader.asked], [*reader.pairs]
+                out = pd.DataFrame({"part": [part], "words": [[*reader.asked]], "pairs": [[*reader.pairs]]})
                 reader.asked.clear()
                 reader.pairs.clear()
                 reader.seen.clear()
                 reader.neighbours.clear()
-                return pd.DataFrame({"word": [*words, *[None] * len(pairs)], "pair": pd.array([*[None] * len(words), *pairs], dtype="Int64")})
+                return out
 
             for batch in batches:
-                for text, titles in zip(batch["text"], batch["titles"]):
+                for at, text, titles in zip(batch["at"], batch["text"], batch["titles"]):
+                    part = at if part is None else part
                     reader.note(text, _numbers(titles))
-                    if len(reader.asked) + len(reader.pairs) > CACHED:
+                    size += len(text)
+                    if size >= most_text or len(reader.asked) + len(reader.pairs) >= most_entries:
                         yield flush()
-            if reader.asked or reader.pairs:
+                        part, size = None, 0
+            if part is not None:
                 yield flush()
 
-        asked = cut(scans.select("text", "titles").mapInPandas(asked_by, "word string, pair long").distinct())
-        found = self._few(self.counts.where("pair IS NULL").select("word", "n").join(asked.where("pair IS NULL").select("word"), "word", "left_semi"))
-        met = self._few(self.counts.where(F.col("pair").isNotNull()).select("pair", "n").join(asked.where(F.col("pair").isNotNull()).select("pair"), "pair", "left_semi"))
-        if found is None or met is None:
+        return cut(scans.select("at", "text", "titles").mapInPandas(asked_by, "part long, words array<string>, pairs array<long>"))
+
+    def entries(self, asked: DataFrame) -> DataFrame:
+        """``(part, word, pair, n)``: the counts of what is asked for. ``pair`` is 0 for words, as pandas would make fractions of numbers beside nulls."""
+        words = self.counts.where("pair IS NULL").select("word", "n").join(asked.select("part", F.explode("words").alias("word")), "word")
+        pairs = self.counts.where("pair IS NOT NULL").select("pair", "n").join(asked.select("part", F.explode("pairs").alias("pair")), "pair")
+        return words.select("part", "word", F.lit(0).cast("long").alias("pair"), "n").unionByName(pairs.select("part", F.lit(None).cast("string").alias("word"), "pair", "n"))
+
+    def model(self, scans: DataFrame, asked: DataFrame | None = None) -> Model | None:
+        """One model for all of ``scans``, made on the driver. None if they ask for more than ``MODEL_ENTRIES``."""
+        asked = self.asked(scans) if asked is None else asked
+        if (asked.agg(F.sum(F.size("words") + F.size("pairs")).alias("n")).first().n or 0) > MODEL_ENTRIES:
             return None
-        return Model(dict(zip(found["word"], found["n"].astype(int))), dict(zip(met["pair"].astype("int64"), met["n"].astype(int))), self.total, channel, self.spelling, longest)
+        found = self.entries(asked).select("word", "pair", "n").distinct().toArrow().to_pandas()
+        return _model(found, self.total, self.channel, self.spelling, self.longest)
 
-    @staticmethod
-    def _few(entries: DataFrame) -> pd.DataFrame | None:
-        got = entries.limit(MODEL_ENTRIES + 1).toPandas()
-        return got if len(got) <= MODEL_ENTRIES else None
 
-    def models(self, scans: DataFrame, depth: int = 0) -> Iterator[tuple[DataFrame, Model]]:
-        """All of ``scans`` in parts, each with its model: one part, unless it asks for too much to be broadcast."""
-        if (model := self.model(scans)) is not None:
-            yield scans, model
-            return
-        if depth >= 48:
-            raise ValueError("one page asks for more words than MODEL_ENTRIES")
-        for half in (0, 1):
-            yield from self.models(scans.where(F.pmod(F.shiftright(F.xxhash64("page_id"), depth), F.lit(2)) == half), depth + 1)
+def _model(entries: pd.DataFrame, *rest: object) -> Model:
+    is_word = entries["word"].notna()
+    words, pairs = entries[is_word], entries[~is_word]
+    return Model(dict(zip(words["word"], words["n"].tolist())), dict(zip(pairs["pair"].tolist(), pairs["n"].tolist())), *rest)
 
 
 def repair(pages: DataFrame, lines: DataFrame | None = None) -> DataFrame:
@@ -866,23 +876,46 @@ def repair(pages: DataFrame, lines: DataFrame | None = None) -> DataFrame:
     Other columns of ``pages`` are ignored. Repeated rows of a page give its rows again.
     """
     scans = read_scans(pages, lines)
-    out = None
-    for part, model in Corpus(pages, scans).models(scans):
-        done = repair_scans(part, model)
-        out = done if out is None else out.unionByName(done)
-    return out
+    corpus = Corpus(pages, scans)
+    asked = corpus.asked(scans)
+    release(scans.sparkSession)  # here, because Py4J lets go of what Python has dropped some time later
+    model = corpus.model(scans, asked)
+    return repair_parts(scans, corpus, asked) if model is None else repair_scans(scans, model)
+
+
+def repair_parts(scans: DataFrame, corpus: Corpus, asked: DataFrame) -> DataFrame:
+    """The rows of ``repair`` for any number of pages: each part meets its model where it is read, and the driver gets one number for each part."""
+    starts = np.sort(asked.select("part").toArrow()["part"].to_numpy())
+    shared = scans.sparkSession.sparkContext.broadcast((corpus.total, corpus.channel, corpus.spelling, corpus.longest))
+
+    @F.pandas_udf("long")
+    def part_of(at: pd.Series) -> pd.Series:
+        return pd.Series(starts[np.searchsorted(starts, at.to_numpy(), "right") - 1])
+
+    def read(pages: pd.DataFrame, entries: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"page_id": pages["page_id"], **_read(PageReader(_model(entries, *shared.value)), pages["text"], pages["titles"])})
+
+    # ids go to pandas and back as strings, because an id may be null
+    parted = scans.select(F.col("page_id").cast("string").alias("page_id"), "text", "titles", part_of("at").alias("part"))
+    schema = T.StructType([T.StructField("page_id", T.StringType()), *_OUT.fields])
+    done = parted.groupBy("part").cogroup(corpus.entries(asked).groupBy("part")).applyInPandas(read, schema)
+    return done.select(F.col("page_id").cast("long").alias("page_id"), "faults", "paragraphs")
+
+
+def _read(reader: PageReader, texts: pd.Series, heads: pd.Series) -> dict[str, list]:
+    rows = [reader.page(t, _numbers(h)) for t, h in zip(texts, heads)]
+    return {"faults": [[{"line_no": a, "fault": b} for a, b in f] for f, _ in rows], "paragraphs": [p for _, p in rows]}
 
 
 def repair_scans(scans: DataFrame, model: Model) -> DataFrame:
-    """The rows of ``repair`` for the pages that ``read_scans`` gave."""
+    """The rows of ``repair`` for the pages that ``read_scans`` gave, by a model that every worker holds."""
     shared = scans.sparkSession.sparkContext.broadcast((model.words, model.pairs, model.total, model.channel, model.spelling, model.longest))
 
     @F.pandas_udf(_OUT)
     def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
         reader = PageReader(Model(*shared.value))
         for texts, heads in batches:
-            rows = [reader.page(t, _numbers(h)) for t, h in zip(texts, heads)]
-            yield pd.DataFrame({"faults": [[{"line_no": a, "fault": b} for a, b in f] for f, _ in rows], "paragraphs": [p for _, p in rows]})
+            yield pd.DataFrame(_read(reader, texts, heads))
 
     return scans.select("page_id", run.asNondeterministic()("text", "titles").alias("r")).select("page_id", "r.faults", "r.paragraphs")
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -22,3 +23,9 @@ def cut(df: DataFrame) -> DataFrame:
     """``df``, computed once and stored in the shared folder, so that later plans read it and a lost executor costs nothing."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def release(spark: SparkSession) -> None:
+    """Deletes shuffle files and checkpoints that no plan can need any more: Spark does so when the driver's JVM collects its garbage, which a driver that holds little seldom does."""
+    gc.collect()  # frames that Python still holds keep their files
+    spark.sparkContext._jvm.System.gc()
